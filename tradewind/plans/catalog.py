@@ -31,4 +31,5 @@ def load_all() -> None:
     """Import every plan module so that all keys are registered."""
     from tradewind.plans import (  # noqa: F401
         dashboard_plans,
+        feature_plans,
     )
