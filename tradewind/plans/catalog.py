@@ -32,4 +32,5 @@ def load_all() -> None:
     from tradewind.plans import (  # noqa: F401
         dashboard_plans,
         feature_plans,
+        rule_plans,
     )

@@ -13,7 +13,7 @@ b_first_ship AS (
   SELECT l_orderkey, min(l_shipdate) AS first_ship FROM lineitem GROUP BY l_orderkey
 ),
 b_orders_base AS (
-  SELECT o_orderkey,
+  SELECT o_orderkey, o_custkey,
          md5('order-' || CAST(o_orderkey AS VARCHAR)) AS order_id,
          md5('customer-' || CAST(o_custkey AS VARCHAR)) AS customer_id,
          CASE WHEN o_orderstatus = 'F' THEN 'delivered'

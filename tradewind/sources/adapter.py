@@ -73,7 +73,7 @@ def delivery_dates(spark: SparkSession, d: str) -> DataFrame:
 def orders(spark: SparkSession, d: str, with_delivery: bool = True) -> DataFrame:
     o = read_table(spark, d, "orders")
     base = o.select(
-        "o_orderkey",
+        "o_orderkey", "o_custkey",
         order_id().alias("order_id"),
         customer_id().alias("customer_id"),
         _status().alias("order_status"),
