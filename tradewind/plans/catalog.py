@@ -33,4 +33,5 @@ def load_all() -> None:
         dashboard_plans,
         feature_plans,
         rule_plans,
+        alert_plans,
     )

@@ -173,7 +173,7 @@ ct AS (
 """
 
 
-@register("churn_rules", with_views("""
+CHURN_RULES_BODY = """
 SELECT customer_id, 'rule1_vip' AS rule FROM ct WHERE churn_prob > 70 AND monetary > 2000
 UNION ALL SELECT customer_id, 'rule2_comeback' FROM ct WHERE churn_prob > 70 AND NOT (monetary > 2000)
 UNION ALL SELECT customer_id, 'rule3_survey' FROM ct WHERE churn_prob >= 50 AND churn_prob <= 70
@@ -181,7 +181,11 @@ UNION ALL SELECT customer_id, 'rule4_missyou' FROM ct WHERE frequency = 1 AND da
 UNION ALL SELECT customer_id, 'rule5_refund' FROM ct WHERE avg_review_score = 1.0
 UNION ALL SELECT customer_id, 'rule6_suggest' FROM ct WHERE days_since_last > 60 AND fav_category IS NOT NULL
 UNION ALL SELECT customer_id, 'rule7_review' FROM ct WHERE days_since_delivery = 3 AND avg_review_score = 0.0
-""", _CHURN_RULE_CTES))
+"""
+CHURN_RULE_CTES = _CHURN_RULE_CTES
+
+
+@register("churn_rules", with_views(CHURN_RULES_BODY, CHURN_RULE_CTES))
 def churn_rules(spark, d):
     return RU.churn_rules(churn_rule_table(from_testdata(spark, d)))
 
@@ -214,7 +218,7 @@ stv AS (
 """
 
 
-@register("seller_rules", with_views("""
+SELLER_RULES_BODY = """
 SELECT seller_id, 'rule1_toxic' AS rule FROM stv WHERE cancellation_rate > 0.15
 UNION ALL SELECT seller_id, 'rule2_price' FROM stv WHERE price_increase_pct > 30
 UNION ALL SELECT seller_id, 'rule3_return' FROM stv WHERE return_rate > 0.10
@@ -222,7 +226,11 @@ UNION ALL SELECT seller_id, 'rule4_rating' FROM stv WHERE rating_drop_weeks >= 3
 UNION ALL SELECT seller_id, 'rule5_star' FROM stv WHERE cluster IN (0, 3) AND NOT viol
 UNION ALL SELECT seller_id, 'rule5_star_withheld' FROM stv WHERE cluster IN (0, 3) AND viol
 UNION ALL SELECT seller_id, 'rule6_newbie' FROM stv WHERE days_on_platform < 30 AND total_orders = 0
-""", _SELLER_RULE_CTES))
+"""
+SELLER_RULE_CTES = _SELLER_RULE_CTES
+
+
+@register("seller_rules", with_views(SELLER_RULES_BODY, SELLER_RULE_CTES))
 def seller_rules(spark, d):
     return RU.seller_rules(seller_rule_table(from_testdata(spark, d)))
 
@@ -230,20 +238,31 @@ def seller_rules(spark, d):
 # ---------------------------------------------------------------- newest ids
 
 
-def newest_orders(b: Biz, n: int, statuses: tuple[str, ...] | None = None) -> DataFrame:
+def _with_pos(top: DataFrame, order) -> DataFrame:
+    """Rank rows of an already limited (bounded) result in the same order."""
+    from pyspark.sql import Window
+    return top.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def newest_orders(b: Biz, n: int, statuses: tuple[str, ...] | None = None,
+                  with_pos: bool = False) -> DataFrame:
     o = b.orders_nodates
     if statuses:
         o = o.where(F.col("order_status").isin(*statuses))
-    return (o.orderBy(F.col("order_purchase_timestamp").desc_nulls_first(), F.col("order_id").asc())
-             .limit(n).select("order_id", "customer_id", "order_purchase_timestamp"))
+    order = [F.col("order_purchase_timestamp").desc_nulls_first(), F.col("order_id").asc()]
+    top = o.orderBy(*order).limit(n).select("order_id", "customer_id", "order_purchase_timestamp")
+    return _with_pos(top, order) if with_pos else top
 
 
-def newest_item_sellers(b: Biz, n: int) -> DataFrame:
+def newest_item_sellers(b: Biz, n: int, with_pos: bool = False) -> DataFrame:
     j = (b.items.select("order_id", "order_item_id", "product_id", "seller_id")
          .join(b.orders_nodates.select("order_id", "order_purchase_timestamp"), "order_id"))
-    return (j.orderBy(F.col("order_purchase_timestamp").desc_nulls_first(), "order_id",
-                      "order_item_id", "product_id", "seller_id")
-             .limit(n).select("seller_id", "order_id", "order_purchase_timestamp"))
+    order = [F.col("order_purchase_timestamp").desc_nulls_first(), F.col("order_id"),
+             F.col("order_item_id"), F.col("product_id"), F.col("seller_id")]
+    top = j.orderBy(*order).limit(n)
+    if with_pos:
+        return _with_pos(top, order)
+    return top.select("seller_id", "order_id", "order_purchase_timestamp")
 
 
 OPEN_STATUSES = ("processing", "shipped")
