@@ -34,4 +34,5 @@ def load_all() -> None:
         feature_plans,
         rule_plans,
         alert_plans,
+        service_plans,
     )
