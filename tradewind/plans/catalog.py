@@ -35,4 +35,5 @@ def load_all() -> None:
         rule_plans,
         alert_plans,
         service_plans,
+        ml_plans,
     )
