@@ -67,8 +67,8 @@ def cooldown(requests: DataFrame, entity: str = "entity_id", action: str = "acti
                         F.col(ts).alias("t"))
     r = r.withColumn("us", F.unix_micros(F.col("t").cast("timestamp")))
     r = r.withColumn("rid", F.xxhash64("e", "a", "us"))
-    # Ties (same entity, action, time) fold into one request id: the first of
-    # them passes or none does, and all copies share the verdict.
+    # Exact copies (same entity, action, time) share one request id in the
+    # chain; afterwards only one copy can pass (the rest are 0 h after it).
     first_of_key = F.min("us").over(Window.partitionBy("e", "a"))
     w_next = (Window.partitionBy("e", "a").orderBy(F.col("neg"))
               .rangeBetween(Window.unboundedPreceding, -limit_us))
@@ -87,9 +87,10 @@ def cooldown(requests: DataFrame, entity: str = "entity_id", action: str = "acti
         jump = (jump.alias("x").join(jump.alias("y"), F.col("x.j") == F.col("y.rid"), "left")
                 .select(F.col("x.rid").alias("rid"), F.col("y.j").alias("j")).checkpoint(eager=True))
     passed = chain.withColumn("allowed", F.lit(True))
+    copy_no = F.row_number().over(Window.partitionBy("rid").orderBy("us"))
     return (r.join(passed, "rid", "left")
              .select(F.col("e").alias(entity), F.col("a").alias(action), F.col("t").alias(ts),
-                     F.coalesce("allowed", F.lit(False)).alias("allowed")))
+                     (F.coalesce("allowed", F.lit(False)) & (copy_no == 1)).alias("allowed")))
 
 
 def cooldown_window_check(passed: DataFrame, entity="entity_id", action="action", ts="ts",

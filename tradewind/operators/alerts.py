@@ -22,16 +22,21 @@ FALLBACK_ORDER_ID = "e481f51cbdc5"
 FALLBACK_CUSTOMER_ID = "053fbd86c4da"
 FALLBACK_SELLER_ID = "729f0699"
 
-VALID_ALERT = F.expr(
+VALID_ALERT_SQL = (
     "json_object_keys(raw) IS NOT NULL AND "
     "coalesce(schema_of_variant(try_variant_get(try_parse_json(raw), '$.message', 'variant')),"
     " 'STRING') = 'STRING'")
 
 
+def valid_alert() -> F.Column:
+    """A JSON object whose ``message`` is missing or a string."""
+    return F.expr(VALID_ALERT_SQL)
+
+
 def parse_alerts(raw: DataFrame) -> DataFrame:
     """(seq, event_time, raw) -> parsed alert rows; bad rows are skipped."""
     g = lambda path: F.get_json_object("raw", path)
-    return raw.where(VALID_ALERT).select(
+    return raw.where(valid_alert()).select(
         "seq", "event_time",
         g("$.order_id").alias("order_id"),
         g("$.risk_score").try_cast("double").alias("risk_score"),

@@ -36,4 +36,5 @@ def load_all() -> None:
         alert_plans,
         service_plans,
         ml_plans,
+        stream_plans,
     )
