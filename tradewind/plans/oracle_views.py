@@ -14,8 +14,8 @@ b_first_ship AS (
 ),
 b_orders_base AS (
   SELECT o_orderkey, o_custkey,
-         md5('order-' || CAST(o_orderkey AS VARCHAR)) AS order_id,
-         md5('customer-' || CAST(o_custkey AS VARCHAR)) AS customer_id,
+         CAST(o_orderkey AS VARCHAR) AS order_id,
+         CAST(o_custkey AS VARCHAR) AS customer_id,
          CASE WHEN o_orderstatus = 'F' THEN 'delivered'
               WHEN o_orderstatus = 'O' THEN 'shipped'
               WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 'canceled'
@@ -35,10 +35,10 @@ b_orders AS (
 ),
 b_items AS (
   SELECT l_orderkey AS o_orderkey,
-         md5('order-' || CAST(l_orderkey AS VARCHAR)) AS order_id,
+         CAST(l_orderkey AS VARCHAR) AS order_id,
          l_linenumber AS order_item_id,
-         md5('product-' || CAST(l_partkey AS VARCHAR)) AS product_id,
-         md5('seller-' || CAST(l_suppkey AS VARCHAR)) AS seller_id,
+         CAST(l_partkey AS VARCHAR) AS product_id,
+         CAST(l_suppkey AS VARCHAR) AS seller_id,
          l_extendedprice AS price,
          l_extendedprice * l_tax AS freight_value,
          l_returnflag = 'R' AS is_returned,
@@ -47,7 +47,7 @@ b_items AS (
 ),
 b_ptype AS (
   SELECT o_orderkey, o_totalprice,
-         md5('order-' || CAST(o_orderkey AS VARCHAR)) AS order_id,
+         CAST(o_orderkey AS VARCHAR) AS order_id,
          CASE o_orderpriority WHEN '1-URGENT' THEN 'credit_card' WHEN '2-HIGH' THEN 'boleto'
               WHEN '3-MEDIUM' THEN 'voucher' WHEN '4-NOT SPECIFIED' THEN 'debit_card'
               WHEN '5-LOW' THEN 'credit_card' END AS payment_type
@@ -65,7 +65,7 @@ b_payments AS (
 ),
 b_reviews AS (
   SELECT o_orderkey,
-         md5('order-' || CAST(o_orderkey AS VARCHAR)) AS order_id,
+         CAST(o_orderkey AS VARCHAR) AS order_id,
          CAST(1 + (o_orderkey * 7 + o_custkey) % 5 AS INTEGER) AS review_score,
          o_orderdate + INTERVAL '31' DAY AS review_creation_date,
          o_orderdate + INTERVAL '32' DAY AS review_answer_timestamp
@@ -73,7 +73,7 @@ b_reviews AS (
 ),
 b_products AS (
   SELECT p_partkey,
-         md5('product-' || CAST(p_partkey AS VARCHAR)) AS product_id,
+         CAST(p_partkey AS VARCHAR) AS product_id,
          ' ' || replace(p_name, ' ', '_') AS product_category_name,
          p_size * CAST(400.0 AS DOUBLE) AS product_weight_g
   FROM part
@@ -85,13 +85,13 @@ b_categories AS (
 ),
 b_customers AS (
   SELECT c_custkey,
-         md5('customer-' || CAST(c_custkey AS VARCHAR)) AS customer_id,
+         CAST(c_custkey AS VARCHAR) AS customer_id,
          c_name AS customer_unique_id,
          c_name AS customer_name
   FROM customer
 ),
 b_sellers AS (
-  SELECT s_suppkey, md5('seller-' || CAST(s_suppkey AS VARCHAR)) AS seller_id,
+  SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS seller_id,
          s_name AS seller_name
   FROM supplier
 )

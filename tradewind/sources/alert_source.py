@@ -33,7 +33,7 @@ MALFORMED_EVERY = 50
 
 
 def _id(tag: str, key: Column) -> Column:
-    return F.md5(F.concat(F.lit(tag + "-"), key.cast("string")))
+    return key.cast("string")
 
 
 def score_text(c: Column) -> Column:
@@ -113,7 +113,7 @@ def build_raw_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sql_id(tag, key):
-    return f"md5('{tag}-' || CAST({key} AS VARCHAR))"
+    return f"CAST({key} AS VARCHAR)"
 
 
 def raw_alerts_sql() -> str:
