@@ -60,17 +60,59 @@ def exact_median(df: DataFrame, column: str, accuracy: int = ACCURACY) -> float
     raise RuntimeError("median bounds did not converge")
 
 
+def exact_medians(df: DataFrame, columns: list[str], accuracy: int = ACCURACY) -> dict[str, float | None]:
+    """``exact_median`` for several columns in two passes in total."""
+    if not columns:
+        return {}
+    margin = 2.0 / accuracy
+    vals = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    aggs = []
+    for i, c in enumerate(columns):
+        aggs += [F.count(vals[c]).alias(f"n{i}"),
+                 F.percentile_approx(vals[c], [0.5 - margin, 0.5 + margin], accuracy).alias(f"b{i}")]
+    row = df.agg(*aggs).first()
+    out: dict[str, float | None] = {}
+    plan = []
+    for i, c in enumerate(columns):
+        n = row[f"n{i}"]
+        if not n:
+            out[c] = None
+            continue
+        lo, hi = row[f"b{i}"]
+        plan.append((i, c, n, lo, hi))
+    if not plan:
+        return out
+    stats = df.agg(*[x for i, c, n, lo, hi in plan for x in (
+        F.count(F.when(vals[c] < lo, 1)).alias(f"below{i}"),
+        F.count(F.when((vals[c] >= lo) & (vals[c] <= hi), 1)).alias(f"inside{i}"))]).first()
+    for i, c, n, lo, hi in plan:
+        k1, k2 = (n - 1) // 2, n // 2
+        below, inside = stats[f"below{i}"], stats[f"inside{i}"]
+        if below <= k1 and k2 < below + inside:
+            need = k2 - below + 1
+            cand = (df.select(vals[c].alias("v")).where((F.col("v") >= lo) & (F.col("v") <= hi))
+                      .orderBy("v").limit(need).collect())
+            v = [r["v"] for r in cand]
+            a, b = v[k1 - below], v[k2 - below]
+            out[c] = a if k1 == k2 else a + (b - a) * 0.5
+        else:  # sketch bounds missed (should not happen): the one-column path
+            out[c] = exact_median(df, c, accuracy)
+    return out
+
+
 def fill_with_median(df: DataFrame, columns: list[str], source: DataFrame | None = None) -> DataFrame:
-    """``fillna(median)`` per column; medians only for columns that have nulls."""
+    """``fillna(median)`` per column; medians only for columns that have nulls
+    (one pass to count nulls, then two passes for all medians together)."""
     source = source if source is not None else df
     null_counts = source.agg(*[F.count(F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 1))
                                .alias(c) for c in columns]).first()
+    need = [c for c in columns if null_counts[c]]
+    meds = exact_medians(source, need)
     out = df
-    for c in columns:
-        if null_counts[c]:
-            m = exact_median(source, c)
-            if m is not None:
-                out = out.withColumn(c, F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")),
-                                               F.lit(m).cast(df.schema[c].dataType))
-                                     .otherwise(F.col(c)))
+    for c in need:
+        m = meds.get(c)
+        if m is not None:
+            out = out.withColumn(c, F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")),
+                                           F.lit(m).cast(df.schema[c].dataType))
+                                 .otherwise(F.col(c)))
     return out

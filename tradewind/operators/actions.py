@@ -75,17 +75,27 @@ def cooldown(requests: DataFrame, entity: str = "entity_id", action: str = "acti
     reqs = r.select("e", "a", "us", "rid").distinct().withColumn("neg", -F.col("us"))
     nxt = reqs.select("rid", "e", "a", "us", (first_of_key == F.col("us")).alias("is_root"),
                       F.min(F.struct("us", "rid")).over(w_next)["rid"].alias("nxt"))
+    # The window pass is the expensive part: written once to the shared
+    # checkpoint folder. The doubling rounds are joins on unique ids with a
+    # lineage of O(log n) steps, kept persisted (recomputable on loss).
     nxt = nxt.checkpoint(eager=True)
-    jump = nxt.select("rid", F.col("nxt").alias("j"))
-    chain = nxt.where("is_root").select("rid")
+    jump = nxt.select("rid", F.col("nxt").alias("j")).persist()
+    chain = nxt.where("is_root").select("rid").persist()
+    size = chain.count()
     while True:
-        step = (chain.join(jump, "rid").where(F.col("j").isNotNull()).select(F.col("j").alias("rid")))
-        grown = chain.unionByName(step).distinct().checkpoint(eager=True)
-        if grown.count() == chain.count():
-            break
+        step = chain.join(jump, "rid").where(F.col("j").isNotNull()).select(F.col("j").alias("rid"))
+        grown = chain.unionByName(step).distinct().persist()
+        grown_size = grown.count()
+        chain.unpersist()
         chain = grown
-        jump = (jump.alias("x").join(jump.alias("y"), F.col("x.j") == F.col("y.rid"), "left")
-                .select(F.col("x.rid").alias("rid"), F.col("y.j").alias("j")).checkpoint(eager=True))
+        if grown_size == size:
+            break
+        size = grown_size
+        nxt_jump = (jump.alias("x").join(jump.alias("y"), F.col("x.j") == F.col("y.rid"), "left")
+                    .select(F.col("x.rid").alias("rid"), F.col("y.j").alias("j")).persist())
+        nxt_jump.count()
+        jump.unpersist()
+        jump = nxt_jump
     passed = chain.withColumn("allowed", F.lit(True))
     copy_no = F.row_number().over(Window.partitionBy("rid").orderBy("us"))
     return (r.join(passed, "rid", "left")

@@ -34,7 +34,10 @@ TRAIN_PCT = 80
 RISK_TREES, RISK_DEPTH, RISK_RATE = 200, 5, 0.05
 CHURN_TREES, CHURN_DEPTH = 200, 8
 SELLER_K, SELLER_STARTS = 4, 10
-CHECKPOINT_INTERVAL = 10
+# Lineage of the boosting state grows by one step per tree: checkpoint it to
+# the shared folder every 25 trees (the 200-tree default writes 8 times;
+# short runs need none).
+CHECKPOINT_INTERVAL = 25
 
 RISK_INPUTS = ["product_weight_g", "order_value", "day_of_week", "payment_code"]
 
@@ -43,6 +46,18 @@ def split_part(key: F.Column, seed: int = SEED, train_pct: int = TRAIN_PCT) -> F
     return F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < train_pct, "train").otherwise("test")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Training rows over at least the cluster's task slots.
+
+    Iterative fits pass over their cached input many times; a few large
+    input splits would leave most cores idle on every pass. One round-robin
+    shuffle before caching fixes the layout for all iterations.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(slots) if n < slots else df
+
+
 def with_class_weight(df: DataFrame, label: str) -> tuple[DataFrame, float]:
     """weight = negatives / positives for label 1 (from the training part)."""
     c = df.where(F.col("part") == "train").groupBy(label).count().collect()
@@ -66,12 +81,12 @@ def _risk_pipeline(trees: int) -> Pipeline:
     vec = VectorAssembler(inputCols=RISK_INPUTS, outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(featuresCol="features", labelCol="is_risk", weightCol="weight",
                         maxIter=trees, maxDepth=RISK_DEPTH, stepSize=RISK_RATE, seed=SEED,
-                        checkpointInterval=CHECKPOINT_INTERVAL, cacheNodeIds=True)
+                        checkpointInterval=CHECKPOINT_INTERVAL, cacheNodeIds=trees > CHECKPOINT_INTERVAL)
     return Pipeline(stages=[idx, vec, gbt])
 
 
 def fit_risk(b: Biz, trees: int = RISK_TREES) -> tuple[PipelineModel, DataFrame]:
-    rows = risk_training_rows(b).persist()
+    rows = spread(risk_training_rows(b)).persist()
     rows, _ = with_class_weight(rows, "is_risk")
     model = _risk_pipeline(trees).fit(rows.where(F.col("part") == "train"))
     return model, rows
@@ -101,12 +116,13 @@ def churn_training_rows(b: Biz) -> DataFrame:
 
 
 def fit_churn(b: Biz, trees: int = CHURN_TREES) -> tuple[PipelineModel, DataFrame]:
-    rows = churn_training_rows(b).withColumn("frequency", F.col("frequency").cast("double")).persist()
+    rows = spread(churn_training_rows(b).withColumn("frequency", F.col("frequency").cast("double"))).persist()
     rows, _ = with_class_weight(rows, "is_churn")
     vec = VectorAssembler(inputCols=CHURN_INPUTS, outputCol="features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="features", labelCol="is_churn", weightCol="weight",
                                 numTrees=trees, maxDepth=CHURN_DEPTH, featureSubsetStrategy="sqrt",
-                                seed=SEED, checkpointInterval=CHECKPOINT_INTERVAL, cacheNodeIds=True)
+                                seed=SEED, checkpointInterval=CHECKPOINT_INTERVAL,
+                                cacheNodeIds=trees > CHECKPOINT_INTERVAL)
     model = Pipeline(stages=[vec, rf]).fit(rows.where(F.col("part") == "train"))
     return model, rows
 
