@@ -50,8 +50,71 @@ def audit_records(hits: DataFrame, entity_type: str, key: str, status: str,
                        F.col("rule").alias("action"), ts.alias("timestamp"), F.lit(status).alias("status"))
 
 
+HOT_KEY_ROWS = 100_000
+
+
 def cooldown(requests: DataFrame, entity: str = "entity_id", action: str = "action",
-             ts: str = "ts", hours: int = COOLDOWN_HOURS) -> DataFrame:
+             ts: str = "ts", hours: int = COOLDOWN_HOURS, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Greedy cooldown: a request passes if it is at least ``hours`` after the
+    last *passed* request of the same (entity, action); the first passes.
+
+    Keys are split by size. Ordinary keys (at most ``hot_rows`` requests):
+    hash-partitioned by key, sorted inside each partition, and folded in one
+    streaming pass (``cooldown_sorted_fold``). Hot keys (more requests than
+    that, e.g. one entity holding a third of the data): the distributed
+    pointer-doubling path (``cooldown_doubling``), which spreads one key over
+    many tasks. The hot-key list has at most rows / hot_rows entries, so it
+    is broadcast with a proven bound.
+    """
+    r = requests.select(F.col(entity).cast("string").alias(entity), F.col(action).cast("string").alias(action),
+                        F.col(ts))
+    counts = r.groupBy(entity, action).count()
+    hot = counts.where(F.col("count") > hot_rows).select(entity, action)
+    n_hot = hot.count()
+    if n_hot == 0:
+        return cooldown_sorted_fold(r, entity, action, ts, hours)
+    hot = F.broadcast(hot.persist())
+    cold = r.join(hot, [entity, action], "left_anti")
+    warm = r.join(hot, [entity, action], "left_semi")
+    return (cooldown_sorted_fold(cold, entity, action, ts, hours)
+            .unionByName(cooldown_doubling(warm, entity, action, ts, hours)))
+
+
+def cooldown_sorted_fold(r: DataFrame, entity: str, action: str, ts: str, hours: int) -> DataFrame:
+    """One pass over key-partitioned, time-sorted rows; the fold state (key,
+    last passed time) is carried across Arrow batches, so memory per task is
+    one batch whatever the size of a key."""
+    import numpy as np
+    import pandas as pd
+
+    limit_us = hours * 3600 * 1_000_000
+    schema = f"{entity} string, {action} string, {ts} timestamp_ntz, allowed boolean"
+
+    def fold(batches):
+        cur_key, last = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            us = pdf[ts].astype("datetime64[us]").astype("int64").to_numpy()
+            ents, acts = pdf[entity].to_numpy(), pdf[action].to_numpy()
+            ok = np.zeros(len(pdf), dtype=bool)
+            for i in range(len(pdf)):
+                k = (ents[i], acts[i])
+                if k != cur_key:
+                    cur_key, last = k, None
+                if last is None or us[i] - last >= limit_us:
+                    ok[i] = True
+                    last = us[i]
+            yield pd.DataFrame({entity: pdf[entity], action: pdf[action], ts: pdf[ts], "allowed": ok})
+
+    parts = r.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return (r.repartition(int(parts), entity, action)
+             .sortWithinPartitions(entity, action, ts)
+             .mapInPandas(fold, schema))
+
+
+def cooldown_doubling(requests: DataFrame, entity: str = "entity_id", action: str = "action",
+                      ts: str = "ts", hours: int = COOLDOWN_HOURS) -> DataFrame:
     """Greedy cooldown: a request passes if it is at least ``hours`` after the
     last *passed* request of the same (entity, action); the first passes.
 

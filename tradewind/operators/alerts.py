@@ -22,21 +22,19 @@ FALLBACK_ORDER_ID = "e481f51cbdc5"
 FALLBACK_CUSTOMER_ID = "053fbd86c4da"
 FALLBACK_SELLER_ID = "729f0699"
 
-VALID_ALERT_SQL = (
-    "json_object_keys(raw) IS NOT NULL AND "
-    "coalesce(schema_of_variant(try_variant_get(try_parse_json(raw), '$.message', 'variant')),"
-    " 'STRING') = 'STRING'")
-
-
-def valid_alert() -> F.Column:
-    """A JSON object whose ``message`` is missing or a string."""
-    return F.expr(VALID_ALERT_SQL)
-
-
 def parse_alerts(raw: DataFrame) -> DataFrame:
-    """(seq, event_time, raw) -> parsed alert rows; bad rows are skipped."""
-    g = lambda path: F.get_json_object("raw", path)
-    return raw.where(valid_alert()).select(
+    """(seq, event_time, raw) -> parsed alert rows; bad rows are skipped.
+
+    The text is parsed once per row into a VARIANT; validity and fields are
+    read from it. Kept: a JSON object whose ``message`` is missing or a
+    string (a JSON null, number, array or object message drops the row).
+    """
+    v = raw.select("seq", "event_time", F.expr("try_parse_json(raw)").alias("v"))
+    msg_type = F.expr("schema_of_variant(try_variant_get(v, '$.message', 'variant'))")
+    valid = (F.coalesce(F.expr("schema_of_variant(v)").startswith("OBJECT"), F.lit(False))
+             & (F.coalesce(msg_type, F.lit("STRING")) == "STRING"))
+    g = lambda path: F.expr(f"try_variant_get(v, '{path}', 'string')")
+    return v.where(valid).select(
         "seq", "event_time",
         g("$.order_id").alias("order_id"),
         g("$.risk_score").try_cast("double").alias("risk_score"),
