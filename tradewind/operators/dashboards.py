@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.dates import month_label
-from tradewind.functions.money import money_sum
+from tradewind.functions.money import MONEY, money_sum
 from tradewind.functions.text import category_label
 
 BRL_TO_VND = 4500.0
@@ -49,13 +49,21 @@ def monthly_revenue(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 
 def monthly_kpis(orders: DataFrame, payments: DataFrame, customers: DataFrame) -> DataFrame:
-    """Revenue and two exact distinct counts per month (delivered orders)."""
-    j = (_delivered(orders).select("order_id", "customer_id", "order_purchase_timestamp")
-         .join(payments.select("order_id", "payment_value"), "order_id")
-         .join(customers.select("customer_id", "customer_unique_id"), "customer_id"))
-    return (j.groupBy(month_label("order_purchase_timestamp").alias("month"))
-             .agg(money_sum("payment_value").alias("revenue"),
-                  F.count_distinct("order_id").alias("orders"),
+    """Revenue and two exact distinct counts per month (delivered orders).
+
+    Payments are summed to order grain right after the order_id join (no
+    extra shuffle); each order then is one row, so "distinct orders" is a
+    plain count and only the customer count stays a distinct aggregate
+    (one distinct column: no Expand of the rows).
+    """
+    per_order = (_delivered(orders).select("order_id", "customer_id", "order_purchase_timestamp")
+                 .join(payments.select("order_id", "payment_value"), "order_id")
+                 .groupBy("order_id", "customer_id", month_label("order_purchase_timestamp").alias("month"))
+                 .agg(F.sum(F.col("payment_value").cast(MONEY)).alias("rev")))
+    j = per_order.join(customers.select("customer_id", "customer_unique_id"), "customer_id")
+    return (j.groupBy("month")
+             .agg(F.sum("rev").cast("double").alias("revenue"),
+                  F.count("order_id").alias("orders"),
                   F.count_distinct("customer_unique_id").alias("customers")))
 
 

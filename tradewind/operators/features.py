@@ -5,9 +5,9 @@ its fan-out: item x payment x review rows are joined *before* aggregation,
 so sums and means are weighted by that multiplicity. ``dedup_fanout=True``
 pre-aggregates each branch to order grain first.
 
-Join order is chosen for the shuffle: the product join (key product_id)
-happens first on the item side, so every remaining join is on order_id
-and reuses one hash partitioning of the big inputs.
+Join order is chosen for the shuffle: all order-grain joins (key order_id)
+come first and, on the warehouse tables bucketed by order_id, run without
+any exchange; joins on other keys (product_id) come last.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.dates import floor_days, frac_days, trunc_days, weekday_mon0, weekday_sun0
 from tradewind.functions.money import MONEY, int_avg, money_avg, money_sum
-from tradewind.functions.stats import exact_median, fill_with_median
+from tradewind.functions.stats import exact_medians, fill_with_median
 from tradewind.sources.business import Biz
 
 DELIVERED = "delivered"
@@ -36,15 +36,19 @@ SELLER_FEATURES = ["avg_rating", "total_orders", "avg_delay_days", "cancellation
 # ---------------------------------------------------------------- delivery risk
 
 def risk_base(b: Biz) -> DataFrame:
-    """Delivered orders x items x payments x products, reviews left-joined."""
-    items = (b.items.select("order_id", "product_id", "seller_id", "order_item_id")
-             .join(b.products.select("product_id", "product_weight_g"), "product_id"))
+    """Delivered orders x items x payments x products, reviews left-joined.
+
+    The order-grain joins come first: on tables bucketed by order_id they
+    need no exchange. The product join comes last: a broadcast when the
+    product table is small (AQE measures it), else one shuffle by product_id.
+    """
     o = (b.orders.where(F.col("order_status") == DELIVERED)
          .select("order_id", "order_purchase_timestamp", "order_estimated_delivery_date",
                  "order_delivered_customer_date"))
-    j = (o.join(items, "order_id")
+    j = (o.join(b.items.select("order_id", "product_id"), "order_id")
           .join(b.payments.select("order_id", "payment_type", "payment_value"), "order_id")
-          .join(b.reviews.select("order_id", "review_score"), "order_id", "left"))
+          .join(b.reviews.select("order_id", "review_score"), "order_id", "left")
+          .join(b.products.select("product_id", "product_weight_g"), "product_id"))
     return j.select("order_id", "order_purchase_timestamp", "order_estimated_delivery_date",
                     "order_delivered_customer_date", "payment_type",
                     F.col("payment_value").alias("order_value"), "product_weight_g",
@@ -89,13 +93,25 @@ def _churn_aggregate(b: Biz, delivered_only: bool = True) -> DataFrame:
     j = (o.join(b.payments.select("order_id", "payment_value"), "order_id")
           .join(b.items.select("order_id", "freight_value"), "order_id")
           .join(b.reviews.select("order_id", "review_score"), "order_id", "left"))
-    return j.groupBy("customer_id").agg(
-        F.max("order_purchase_timestamp").alias("last_purchase_date"),
-        F.count_distinct("order_id").alias("frequency"),
-        money_sum("payment_value").alias("monetary"),
-        int_avg("review_score").alias("avg_review_score"),
-        money_avg("freight_value").alias("avg_freight_value"),
-        int_avg("delay_days").alias("avg_delivery_delay"),
+    # Pre-aggregate the fan-out rows to (customer, order) grain. The joins
+    # left the rows hash-partitioned by order_id, which already clusters
+    # (customer_id, order_id): this step adds no shuffle, and the customer
+    # level below shuffles order-grain rows with plain counts (no Expand of
+    # the fan-out rows for the distinct count). Sums are decimal and means
+    # are sum / count, so the result equals the one-step aggregate.
+    per_order = j.groupBy("customer_id", "order_id").agg(
+        F.max("order_purchase_timestamp").alias("last_ts"),
+        F.sum(F.col("payment_value").cast(MONEY)).alias("pay"),
+        F.sum(F.col("review_score").cast("bigint")).alias("rv_sum"), F.count("review_score").alias("rv_n"),
+        F.sum(F.col("freight_value").cast(MONEY)).alias("fr_sum"), F.count("freight_value").alias("fr_n"),
+        F.sum(F.col("delay_days").cast("bigint")).alias("dl_sum"), F.count("delay_days").alias("dl_n"))
+    return per_order.groupBy("customer_id").agg(
+        F.max("last_ts").alias("last_purchase_date"),
+        F.count("order_id").alias("frequency"),
+        F.sum("pay").cast("double").alias("monetary"),
+        F.try_divide(F.sum("rv_sum").cast("double"), F.sum("rv_n")).alias("avg_review_score"),
+        F.try_divide(F.sum("fr_sum").cast("double"), F.sum("fr_n")).alias("avg_freight_value"),
+        F.try_divide(F.sum("dl_sum").cast("double"), F.sum("dl_n")).alias("avg_delivery_delay"),
     )
 
 
@@ -160,12 +176,19 @@ def seller_aggregate(b: Biz, for_serving: bool = False) -> DataFrame:
          .join(o, "order_id")
          .join(b.reviews.select("order_id", "review_score"), "order_id", "left"))
     canceled = F.when(F.col("order_status") == "canceled", 1).otherwise(0)
-    agg = j.groupBy("seller_id").agg(
-        F.count_distinct("order_id").alias("total_orders"),
-        money_avg("price").alias("avg_order_value"),
-        int_avg("review_score").alias("avg_rating"),
-        F.try_divide(F.sum("delay_days"), F.count("delay_days")).alias("avg_delay_days"),
-        F.try_divide(F.sum(canceled).cast("double"), F.count("order_id")).alias("cancellation_rate"),
+    # (seller, order) grain first: no extra shuffle after the order_id joins,
+    # no Expand for the distinct order count (see _churn_aggregate).
+    per_order = j.groupBy("seller_id", "order_id").agg(
+        F.sum(F.col("price").cast(MONEY)).alias("pr_sum"), F.count("price").alias("pr_n"),
+        F.sum(F.col("review_score").cast("bigint")).alias("rv_sum"), F.count("review_score").alias("rv_n"),
+        F.sum("delay_days").alias("dl_sum"), F.count("delay_days").alias("dl_n"),
+        F.sum(canceled).alias("cx"), F.count("*").alias("rows"))
+    agg = per_order.groupBy("seller_id").agg(
+        F.count("order_id").alias("total_orders"),
+        F.try_divide(F.sum("pr_sum").cast("double"), F.sum("pr_n")).alias("avg_order_value"),
+        F.try_divide(F.sum("rv_sum").cast("double"), F.sum("rv_n")).alias("avg_rating"),
+        F.try_divide(F.sum("dl_sum"), F.sum("dl_n")).alias("avg_delay_days"),
+        F.try_divide(F.sum("cx").cast("double"), F.sum("rows")).alias("cancellation_rate"),
     )
     if not for_serving:
         agg = agg.where(F.col("total_orders") > MIN_SELLER_ORDERS)
@@ -188,14 +211,17 @@ def feature_medians(b: Biz, spark) -> DataFrame:
     Each median is a distributed two-pass job (see ``exact_median``); the
     result is one small row per (table, feature).
     """
-    risk = risk_base(b)
-    churn = _churn_aggregate(b)
-    seller = seller_aggregate(b)
-    rows = [("risk", "product_weight_g", exact_median(risk, "product_weight_g"))]
-    for c in ["avg_review_score", "avg_delivery_delay", "avg_freight_value"]:
-        rows.append(("churn", c, exact_median(churn, c)))
-    for c in ["avg_rating", "total_orders", "avg_delay_days", "cancellation_rate", "avg_order_value"]:
-        rows.append(("seller", c, exact_median(seller, c)))
+    risk = materialize(risk_base(b).select("product_weight_g"))
+    churn = materialize(_churn_aggregate(b))
+    seller = materialize(seller_aggregate(b))
+    rows = []
+    plan = [("risk", risk, ["product_weight_g"]),
+            ("churn", churn, ["avg_review_score", "avg_delivery_delay", "avg_freight_value"]),
+            ("seller", seller, ["avg_rating", "total_orders", "avg_delay_days", "cancellation_rate",
+                                "avg_order_value"])]
+    for table, df, cols in plan:
+        meds = exact_medians(df, cols)  # two passes per table for all its columns
+        rows += [(table, c, meds[c]) for c in cols]
     return spark.createDataFrame(rows, "feature_table string, feature string, median double")
 
 

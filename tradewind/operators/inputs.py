@@ -82,13 +82,15 @@ def price_increase(b: Biz) -> DataFrame:
 def seller_inputs(b: Biz) -> DataFrame:
     """D6, D7 over every seller, including sellers without any order."""
     now = as_of(b)
-    act = (b.items.select("order_id", "seller_id", "is_returned")
-           .join(b.orders_nodates.select("order_id", "order_purchase_timestamp"), "order_id")
-           .groupBy("seller_id").agg(
-               F.min("order_purchase_timestamp").alias("first_order"),
-               F.count_distinct("order_id").alias("total_orders"),
-               F.try_divide(F.sum(F.col("is_returned").cast("int")).cast("double"),
-                            F.count("*")).alias("return_rate")))
+    per_order = (b.items.select("order_id", "seller_id", "is_returned")
+                 .join(b.orders_nodates.select("order_id", "order_purchase_timestamp"), "order_id")
+                 .groupBy("seller_id", "order_id").agg(
+                     F.min("order_purchase_timestamp").alias("ts"),
+                     F.sum(F.col("is_returned").cast("int")).alias("ret"), F.count("*").alias("lines")))
+    act = per_order.groupBy("seller_id").agg(
+        F.min("ts").alias("first_order"),
+        F.count("order_id").alias("total_orders"),
+        F.try_divide(F.sum("ret").cast("double"), F.sum("lines")).alias("return_rate"))
     return (b.sellers.select("seller_id").join(act, "seller_id", "left")
             .select("seller_id",
                     F.coalesce(floor_days(now, F.col("first_order")), F.lit(0)).alias("days_on_platform"),

@@ -64,11 +64,16 @@ def seller_weekly(b: Biz) -> DataFrame:
          .join(b.orders_nodates.select("order_id", "order_status",
                                        F.date_trunc("week", "order_purchase_timestamp").cast("date")
                                        .alias("week")), "order_id"))
-    wk = j.groupBy("seller_id", "week").agg(
-        F.count_distinct("order_id").alias("orders"),
-        money_sum("price").alias("revenue"),
-        F.try_divide(F.sum(F.when(F.col("order_status") == "canceled", 1).otherwise(0)).cast("double"),
-                     F.count("*")).alias("cancel_rate"))
+    # (seller, week, order) grain first (no shuffle after the order_id join),
+    # then weekly rows with a plain order count.
+    per_order = j.groupBy("seller_id", "week", "order_id").agg(
+        F.sum(F.col("price").cast("decimal(18,4)")).alias("rev"),
+        F.sum(F.when(F.col("order_status") == "canceled", 1).otherwise(0)).alias("cx"),
+        F.count("*").alias("rows"))
+    wk = per_order.groupBy("seller_id", "week").agg(
+        F.count("order_id").alias("orders"),
+        F.sum("rev").cast("double").alias("revenue"),
+        F.try_divide(F.sum("cx").cast("double"), F.sum("rows")).alias("cancel_rate"))
     w = Window.partitionBy("seller_id").orderBy("week")
     prev = F.lag("revenue").over(w)
     return wk.select("seller_id", "week", "orders", "revenue", "cancel_rate",

@@ -31,6 +31,13 @@ class Biz:
 
 
 def from_testdata(spark: SparkSession, d: str) -> Biz:
+    """Business tables for a test-data folder, from the warehouse load."""
+    from tradewind.sources import warehouse
+    return warehouse.load(spark, d)
+
+
+def lazy_views(spark: SparkSession, d: str) -> Biz:
+    """The same tables as lazy views over the driver tables (no load)."""
     return Biz(
         orders=A.orders(spark, d),
         items=A.order_items(spark, d),
