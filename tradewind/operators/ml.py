@@ -27,6 +27,7 @@ from tradewind.operators import features as FE
 from tradewind.operators import metrics as MT
 from tradewind.operators import rules as RU
 from tradewind.sources.business import Biz
+from tradewind.sources.tables import spread
 
 SEED = 42
 TRAIN_PCT = 80
@@ -46,18 +47,6 @@ def split_part(key: F.Column, seed: int = SEED, train_pct: int = TRAIN_PCT) -> F
     return F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < train_pct, "train").otherwise("test")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Training rows over at least the cluster's task slots.
-
-    Iterative fits pass over their cached input many times; a few large
-    input splits would leave most cores idle on every pass. One round-robin
-    shuffle before caching fixes the layout for all iterations.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    return df.repartition(slots) if n < slots else df
-
-
 def with_class_weight(df: DataFrame, label: str) -> tuple[DataFrame, float]:
     """weight = negatives / positives for label 1 (from the training part)."""
     c = df.where(F.col("part") == "train").groupBy(label).count().collect()

@@ -14,7 +14,7 @@ from tradewind.plans.oracle_views import money_sum, with_views
 from tradewind.session import scratch_dir
 from tradewind.sources import ingest as IG
 from tradewind.sources.business import from_testdata
-from tradewind.sources.tables import read_table
+from tradewind.sources.tables import read_table, spread
 
 EMAIL_RX_SQL = r"([A-Za-z0-9])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 
@@ -24,7 +24,7 @@ EMAIL_RX_SQL = r"([A-Za-z0-9])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 @register("mask_email", with_views(
     f"SELECT doc_id, regexp_replace(text, '{EMAIL_RX_SQL}', '\\1***@\\2', 'g') AS masked_text FROM documents"))
 def mask_email(spark, d):
-    return PV.masked_documents(read_table(spark, d, "documents"))
+    return PV.masked_documents(spread(read_table(spark, d, "documents")))
 
 
 @register("mask_name", with_views(

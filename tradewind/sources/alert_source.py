@@ -58,7 +58,11 @@ def raw_alerts(spark: SparkSession, d: str) -> DataFrame:
     path = _LANDED.get(key)
     if path is None:
         path = scratch_dir(spark, f"alert_feed/{uuid.uuid4().hex}")
-        build_raw_alerts(spark, d).write.mode("overwrite").parquet(path)
+        feed = build_raw_alerts(spark, d)
+        slots = spark.sparkContext.defaultParallelism
+        if feed.rdd.getNumPartitions() < slots:  # spread a small source over all task slots
+            feed = feed.repartitionByRange(slots, "seq")
+        feed.write.mode("overwrite").parquet(path)
         _LANDED[key] = path
     return spark.read.parquet(path)
 

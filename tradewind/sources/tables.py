@@ -16,3 +16,15 @@ DRIVER_TABLES = (
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per task slot for per-row heavy work.
+
+    A small source read from one or two files yields one or two scan tasks;
+    regex or model work on it would leave most cores idle. A round-robin
+    repartition fixes that. On large inputs (more splits than slots) this is
+    a no-op, so it never adds a shuffle at scale.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
