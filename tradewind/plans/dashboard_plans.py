@@ -5,7 +5,7 @@ from __future__ import annotations
 from tradewind.operators import dashboards as dash
 from tradewind.plans.catalog import register
 from tradewind.plans.oracle_views import money_sum, with_views
-from tradewind.sources import adapter as A
+from tradewind.sources.business import from_testdata
 
 
 @register("kpi_totals", with_views(f"""
@@ -18,8 +18,8 @@ UNION ALL
 SELECT 'total_customers', CAST(count(DISTINCT customer_unique_id) AS DOUBLE) FROM b_customers
 """))
 def kpi_totals(spark, d):
-    return dash.kpi_totals(A.order_payments(spark, d), A.orders(spark, d, with_delivery=False),
-                           A.customers(spark, d))
+    b = from_testdata(spark, d)
+    return dash.kpi_totals(b.payments, b.orders_nodates, b.customers)
 
 
 @register("monthly_revenue", with_views(f"""
@@ -31,7 +31,8 @@ WHERE o.order_status = 'delivered'
 GROUP BY 1 ORDER BY 1
 """))
 def monthly_revenue(spark, d):
-    return dash.monthly_revenue(A.orders(spark, d, with_delivery=False), A.order_payments(spark, d))
+    b = from_testdata(spark, d)
+    return dash.monthly_revenue(b.orders_nodates, b.payments)
 
 
 _MONTHLY_KPIS_SQL = f"""
@@ -48,8 +49,8 @@ GROUP BY 1
 
 @register("monthly_kpis", with_views(_MONTHLY_KPIS_SQL))
 def monthly_kpis(spark, d):
-    return dash.monthly_kpis(A.orders(spark, d, with_delivery=False), A.order_payments(spark, d),
-                             A.customers(spark, d))
+    b = from_testdata(spark, d)
+    return dash.monthly_kpis(b.orders_nodates, b.payments, b.customers)
 
 
 def _pct(cur, prev):
@@ -88,8 +89,8 @@ FROM (SELECT * FROM sales ORDER BY total_sold DESC, category_raw ASC LIMIT 10) t
 
 
 def _category_sales(spark, d):
-    return dash.category_sales(A.order_items(spark, d), A.products(spark, d),
-                               A.category_translation(spark, d))
+    b = from_testdata(spark, d)
+    return dash.category_sales(b.items, b.products, b.translation)
 
 
 @register("top_categories", with_views(_TOP_SQL, extra_ctes=f", sales AS ({_CATEGORY_SALES_SQL})"))
@@ -101,7 +102,7 @@ def top_categories(spark, d):
 SELECT order_status, count(order_id) AS total FROM b_orders_base GROUP BY order_status
 """))
 def status_counts(spark, d):
-    return dash.status_counts(A.orders(spark, d, with_delivery=False))
+    return dash.status_counts(from_testdata(spark, d).orders_nodates)
 
 
 @register("status_share", with_views("""
