@@ -167,28 +167,50 @@ def churn_label(b: Biz) -> DataFrame:
 
 # ---------------------------------------------------------------- sellers
 
-def seller_aggregate(b: Biz, for_serving: bool = False) -> DataFrame:
-    """Per-seller means, distinct orders and cancellation ratio."""
-    o = b.orders.select("order_id", "order_status",
+def seller_order_facts(b: Biz) -> DataFrame:
+    """One row per (seller, order): the grain every seller measure needs.
+
+    Items are summed per (seller, order) right after the bucketed order join
+    (no exchange), reviews per order, and the two are joined on order_id
+    (still no exchange). ``w`` is the number of rows the reference's
+    ``items JOIN orders LEFT JOIN reviews`` produces per item of the order
+    (max(1, review rows)), so fan-out weighted means stay exact:
+    sum(x * lines * w) / sum(lines * w).
+    """
+    o = b.orders.select("order_id", "order_status", "order_purchase_timestamp",
+                        F.date_trunc("week", "order_purchase_timestamp").cast("date").alias("week"),
                         frac_days("order_delivered_customer_date", "order_estimated_delivery_date")
                         .alias("delay_days"))
-    j = (b.items.select("order_id", "seller_id", "price")
-         .join(o, "order_id")
-         .join(b.reviews.select("order_id", "review_score"), "order_id", "left"))
+    per = (b.items.select("order_id", "seller_id", "price", "is_returned").join(o, "order_id")
+           .groupBy("seller_id", "order_id").agg(
+               F.first("order_status").alias("order_status"),
+               F.first("order_purchase_timestamp").alias("purchase_ts"),
+               F.first("week").alias("week"), F.first("delay_days").alias("delay_days"),
+               F.count("*").alias("lines"),
+               F.sum(F.col("price").cast(MONEY)).alias("price_sum"), F.count("price").alias("price_n"),
+               F.sum(F.col("is_returned").cast("int")).alias("returned")))
+    rv = b.reviews.groupBy("order_id").agg(F.sum(F.col("review_score").cast("bigint")).alias("rv_sum"),
+                                          F.count("review_score").alias("rv_n"),
+                                          F.count("*").alias("rv_rows"))
+    return (per.join(rv, "order_id", "left")
+               .select("*", F.greatest(F.coalesce("rv_rows", F.lit(0)), F.lit(1)).alias("w")))
+
+
+def seller_aggregate(b: Biz, for_serving: bool = False, facts: DataFrame | None = None) -> DataFrame:
+    """Per-seller means, distinct orders and cancellation ratio,
+    weighted like the reference's fan-out join (see seller_order_facts)."""
+    f = facts if facts is not None else seller_order_facts(b)
+    lw = F.col("lines") * F.col("w")
     canceled = F.when(F.col("order_status") == "canceled", 1).otherwise(0)
-    # (seller, order) grain first: no extra shuffle after the order_id joins,
-    # no Expand for the distinct order count (see _churn_aggregate).
-    per_order = j.groupBy("seller_id", "order_id").agg(
-        F.sum(F.col("price").cast(MONEY)).alias("pr_sum"), F.count("price").alias("pr_n"),
-        F.sum(F.col("review_score").cast("bigint")).alias("rv_sum"), F.count("review_score").alias("rv_n"),
-        F.sum("delay_days").alias("dl_sum"), F.count("delay_days").alias("dl_n"),
-        F.sum(canceled).alias("cx"), F.count("*").alias("rows"))
-    agg = per_order.groupBy("seller_id").agg(
+    agg = f.groupBy("seller_id").agg(
         F.count("order_id").alias("total_orders"),
-        F.try_divide(F.sum("pr_sum").cast("double"), F.sum("pr_n")).alias("avg_order_value"),
-        F.try_divide(F.sum("rv_sum").cast("double"), F.sum("rv_n")).alias("avg_rating"),
-        F.try_divide(F.sum("dl_sum"), F.sum("dl_n")).alias("avg_delay_days"),
-        F.try_divide(F.sum("cx").cast("double"), F.sum("rows")).alias("cancellation_rate"),
+        F.try_divide(F.sum(F.col("price_sum") * F.col("w")).cast("double"),
+                     F.sum(F.col("price_n") * F.col("w"))).alias("avg_order_value"),
+        F.try_divide(F.sum(F.col("lines") * F.coalesce("rv_sum", F.lit(0))).cast("double"),
+                     F.sum(F.col("lines") * F.coalesce("rv_n", F.lit(0)))).alias("avg_rating"),
+        F.try_divide(F.sum(F.col("delay_days") * lw),
+                     F.sum(F.when(F.col("delay_days").isNotNull(), lw))).alias("avg_delay_days"),
+        F.try_divide(F.sum(canceled * lw).cast("double"), F.sum(lw)).alias("cancellation_rate"),
     )
     if not for_serving:
         agg = agg.where(F.col("total_orders") > MIN_SELLER_ORDERS)

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions.dates import floor_days
-from tradewind.functions.money import int_avg, money_avg
 from tradewind.sources.business import Biz
 
 
@@ -45,17 +44,22 @@ def customer_inputs(b: Biz) -> DataFrame:
                         "fav_category"))
 
 
-def _seller_weeks(b: Biz) -> DataFrame:
-    return (b.items.select("order_id", "seller_id", "price")
-            .join(b.orders_nodates.select("order_id", F.date_trunc("week", "order_purchase_timestamp")
-                                          .cast("date").alias("week")), "order_id"))
+def _facts(b: Biz, facts: DataFrame | None) -> DataFrame:
+    from tradewind.operators.features import seller_order_facts
+    return facts if facts is not None else seller_order_facts(b)
 
 
-def rating_drop_weeks(b: Biz) -> DataFrame:
+def rating_drop_weeks(b: Biz, facts: DataFrame | None = None) -> DataFrame:
     """Length of the run of week-over-week rating drops ending at the
-    seller's newest week (gaps-and-islands on weekly means)."""
-    wk = (_seller_weeks(b).join(b.reviews.select("order_id", "review_score"), "order_id")
-          .groupBy("seller_id", "week").agg(int_avg("review_score").alias("avg_rating")))
+    seller's newest week (gaps-and-islands on weekly means). Weekly means
+    are over item x review rows, from the (seller, order) facts."""
+    f = _facts(b, facts)
+    wk = (f.groupBy("seller_id", "week")
+           .agg(F.sum(F.col("lines") * F.coalesce("rv_sum", F.lit(0))).alias("s"),
+                F.sum(F.col("lines") * F.coalesce("rv_n", F.lit(0))).alias("n"),
+                F.sum(F.col("lines") * F.coalesce("rv_rows", F.lit(0))).alias("rows"))
+           .where(F.col("rows") > 0)  # weeks with at least one reviewed order
+           .select("seller_id", "week", F.try_divide(F.col("s").cast("double"), F.col("n")).alias("avg_rating")))
     w = Window.partitionBy("seller_id").orderBy("week")
     s = (wk.withColumn("idx", F.row_number().over(w))
            .withColumn("drop", F.coalesce(F.col("avg_rating") < F.lag("avg_rating").over(w),
@@ -65,9 +69,11 @@ def rating_drop_weeks(b: Biz) -> DataFrame:
         F.max("week").alias("last_week"))
 
 
-def price_increase(b: Biz) -> DataFrame:
+def price_increase(b: Biz, facts: DataFrame | None = None) -> DataFrame:
     """% change of mean item price, newest week against the week before."""
-    wk = _seller_weeks(b).groupBy("seller_id", "week").agg(money_avg("price").alias("avg_price"))
+    f = _facts(b, facts)
+    wk = f.groupBy("seller_id", "week").agg(
+        F.try_divide(F.sum("price_sum").cast("double"), F.sum("price_n")).alias("avg_price"))
     w = Window.partitionBy("seller_id").orderBy(F.col("week").desc())
     r = wk.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
     g = r.groupBy("seller_id").agg(
@@ -79,18 +85,13 @@ def price_increase(b: Biz) -> DataFrame:
                     .alias("price_increase_pct"))
 
 
-def seller_inputs(b: Biz) -> DataFrame:
+def seller_inputs(b: Biz, facts: DataFrame | None = None) -> DataFrame:
     """D6, D7 over every seller, including sellers without any order."""
     now = as_of(b)
-    per_order = (b.items.select("order_id", "seller_id", "is_returned")
-                 .join(b.orders_nodates.select("order_id", "order_purchase_timestamp"), "order_id")
-                 .groupBy("seller_id", "order_id").agg(
-                     F.min("order_purchase_timestamp").alias("ts"),
-                     F.sum(F.col("is_returned").cast("int")).alias("ret"), F.count("*").alias("lines")))
-    act = per_order.groupBy("seller_id").agg(
-        F.min("ts").alias("first_order"),
+    act = _facts(b, facts).groupBy("seller_id").agg(
+        F.min("purchase_ts").alias("first_order"),
         F.count("order_id").alias("total_orders"),
-        F.try_divide(F.sum("ret").cast("double"), F.sum("lines")).alias("return_rate"))
+        F.try_divide(F.sum("returned").cast("double"), F.sum("lines")).alias("return_rate"))
     return (b.sellers.select("seller_id").join(act, "seller_id", "left")
             .select("seller_id",
                     F.coalesce(floor_days(now, F.col("first_order")), F.lit(0)).alias("days_on_platform"),

@@ -60,20 +60,13 @@ def seller_weekly(b: Biz) -> DataFrame:
     """Per seller and week: orders, revenue, cancel rate, change vs the
     seller's previous active week (window partitioned by seller over weekly
     rows, so a seller's window holds one row per week)."""
-    j = (b.items.select("order_id", "seller_id", "price")
-         .join(b.orders_nodates.select("order_id", "order_status",
-                                       F.date_trunc("week", "order_purchase_timestamp").cast("date")
-                                       .alias("week")), "order_id"))
-    # (seller, week, order) grain first (no shuffle after the order_id join),
-    # then weekly rows with a plain order count.
-    per_order = j.groupBy("seller_id", "week", "order_id").agg(
-        F.sum(F.col("price").cast("decimal(18,4)")).alias("rev"),
-        F.sum(F.when(F.col("order_status") == "canceled", 1).otherwise(0)).alias("cx"),
-        F.count("*").alias("rows"))
-    wk = per_order.groupBy("seller_id", "week").agg(
+    from tradewind.operators.features import seller_order_facts
+    f = seller_order_facts(b)
+    canceled = F.when(F.col("order_status") == "canceled", 1).otherwise(0)
+    wk = f.groupBy("seller_id", "week").agg(
         F.count("order_id").alias("orders"),
-        F.sum("rev").cast("double").alias("revenue"),
-        F.try_divide(F.sum("cx").cast("double"), F.sum("rows")).alias("cancel_rate"))
+        F.sum("price_sum").cast("double").alias("revenue"),
+        F.try_divide(F.sum(canceled * F.col("lines")).cast("double"), F.sum("lines")).alias("cancel_rate"))
     w = Window.partitionBy("seller_id").orderBy("week")
     prev = F.lag("revenue").over(w)
     return wk.select("seller_id", "week", "orders", "revenue", "cancel_rate",

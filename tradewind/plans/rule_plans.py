@@ -191,10 +191,14 @@ def churn_rules(spark, d):
 
 
 def seller_rule_table(b: Biz) -> DataFrame:
-    agg = FE.seller_aggregate(b, for_serving=True).select("seller_id", "cancellation_rate", "avg_rating")
-    drops = IN.rating_drop_weeks(b).select("seller_id", "rating_drop_weeks")
-    inc = IN.price_increase(b).select("seller_id", "price_increase_pct")
-    t = (IN.seller_inputs(b).join(seller_cluster(b), "seller_id")
+    """Seller measures for the rules. The (seller, order) facts feed four
+    aggregates, so they are written once to the shared checkpoint folder."""
+    facts = FE.materialize(FE.seller_order_facts(b))
+    agg = FE.seller_aggregate(b, for_serving=True, facts=facts).select("seller_id", "cancellation_rate",
+                                                                      "avg_rating")
+    drops = IN.rating_drop_weeks(b, facts).select("seller_id", "rating_drop_weeks")
+    inc = IN.price_increase(b, facts).select("seller_id", "price_increase_pct")
+    t = (IN.seller_inputs(b, facts).join(seller_cluster(b), "seller_id")
          .join(agg, "seller_id", "left").join(drops, "seller_id", "left")
          .join(inc, "seller_id", "left"))
     return t.withColumn("rating_drop_weeks",
