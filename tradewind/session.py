@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +52,7 @@ def build_session(master: str | None = None, app: str = "tradewind",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -63,9 +66,38 @@ def apply_conf(spark: SparkSession) -> SparkSession:
         except Exception:  # static conf on a running session
             pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tradewind`` importable in Python workers (what ``--py-files``
+    does): zip the package once per SparkContext and ``addPyFile`` it.
+    Needed where workers unpickle library classes by reference (the
+    stateful cooldown processor)."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    ckpt = ensure_checkpoint_dir(spark)
+    local = ckpt.startswith("/") or ckpt.startswith("file:")
+    base = ckpt.replace("file:", "", 1) if local else tempfile.gettempdir()
+    out_dir = os.path.join(base, "tradewind", "pyfiles", uuid.uuid4().hex)
+    os.makedirs(out_dir, exist_ok=True)
+    path = os.path.join(out_dir, "tradewind.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("tradewind", os.path.relpath(full, pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

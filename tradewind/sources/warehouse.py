@@ -38,12 +38,27 @@ def _names(d: str) -> dict[str, str]:
     return {t: f"tw_{tag}_{t}" for t in A.VIEWS}
 
 
+BYTES_PER_BUCKET = 128 * 1024 * 1024
+
+
+def bucket_count(spark: SparkSession, d: str) -> int:
+    """About 128 MiB of the largest fact table (line items) per bucket, at
+    least one bucket per task slot, at most the shuffle partition count."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{d.rstrip('/')}/lineitem.parquet")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_BUCKET))
+    return max(1, min(cap, want))
+
+
 def build(spark: SparkSession, d: str, buckets: int | None = None) -> dict[str, str]:
     """Write the warehouse for data folder ``d`` (once per session)."""
     key = (id(spark.sparkContext), d)
     if key in _BUILT and all(spark.catalog.tableExists(n) for n in _BUILT[key].values()):
         return _BUILT[key]
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or bucket_count(spark, d)
     base = scratch_dir(spark, f"warehouse/{uuid.uuid4().hex}")
     names = _names(d)
 

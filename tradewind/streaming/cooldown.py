@@ -25,31 +25,36 @@ OUT_SCHEMA = "entity_id string, action string, ts timestamp_ntz, allowed boolean
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class CooldownProcessor(StatefulProcessor):
-    def __init__(self, hours: int = COOLDOWN_HOURS):
-        self.limit_us = hours * 3600 * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_passed_us", StructType([StructField("us", LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
-        us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        allowed = []
-        for v in us:
-            if last is None or v - last >= self.limit_us:
-                allowed.append(True)
-                last = int(v)
-            else:
-                allowed.append(False)
-        if last is not None:
-            self.last.update((last,))
-        yield pd.DataFrame({"entity_id": pdf["entity_id"].astype(str), "action": pdf["action"].astype(str),
-                            "ts": pdf["ts"], "allowed": allowed})
-
-    def close(self) -> None:
-        pass
+def make_processor(hours: int = COOLDOWN_HOURS) -> StatefulProcessor:
+    """The processor class is built here, not at module level, so it is
+    pickled by value: Spark's driver-side pre-init worker for
+    ``transformWithState`` can load it without importing this package."""
+
+    class CooldownProcessor(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.limit_us = hours * 3600 * 1_000_000
+            self.last = handle.getValueState("last_passed_us", StructType([StructField("us", LongType())]))
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
+            last = self.last.get()[0] if self.last.exists() else None
+            us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            allowed = []
+            for v in us:
+                if last is None or v - last >= self.limit_us:
+                    allowed.append(True)
+                    last = int(v)
+                else:
+                    allowed.append(False)
+            if last is not None:
+                self.last.update((last,))
+            yield pd.DataFrame({"entity_id": pdf["entity_id"].astype(str), "action": pdf["action"].astype(str),
+                                "ts": pdf["ts"], "allowed": allowed})
+
+        def close(self) -> None:
+            pass
+
+    return CooldownProcessor()
 
 
 def cooldown_stream(requests: DataFrame, hours: int = COOLDOWN_HOURS) -> DataFrame:
@@ -58,5 +63,5 @@ def cooldown_stream(requests: DataFrame, hours: int = COOLDOWN_HOURS) -> DataFra
     spark = requests.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (requests.groupBy("entity_id", "action")
-            .transformWithStateInPandas(statefulProcessor=CooldownProcessor(hours),
+            .transformWithStateInPandas(statefulProcessor=make_processor(hours),
                                         outputStructType=OUT_SCHEMA, outputMode="Append", timeMode="None"))
