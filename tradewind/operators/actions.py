@@ -51,6 +51,7 @@ def audit_records(hits: DataFrame, entity_type: str, key: str, status: str,
 
 
 HOT_KEY_ROWS = 100_000
+MAX_BROADCAST_KEYS = 100_000
 
 
 def cooldown(requests: DataFrame, entity: str = "entity_id", action: str = "action",
@@ -63,8 +64,9 @@ def cooldown(requests: DataFrame, entity: str = "entity_id", action: str = "acti
     streaming pass (``cooldown_sorted_fold``). Hot keys (more requests than
     that, e.g. one entity holding a third of the data): the distributed
     pointer-doubling path (``cooldown_doubling``), which spreads one key over
-    many tasks. The hot-key list has at most rows / hot_rows entries, so it
-    is broadcast with a proven bound.
+    many tasks. The hot-key list has at most rows / hot_rows entries; it is
+    broadcast only when it has at most MAX_BROADCAST_KEYS entries, else the
+    split is a shuffle join.
     """
     r = requests.select(F.col(entity).cast("string").alias(entity), F.col(action).cast("string").alias(action),
                         F.col(ts))
@@ -73,7 +75,9 @@ def cooldown(requests: DataFrame, entity: str = "entity_id", action: str = "acti
     n_hot = hot.count()
     if n_hot == 0:
         return cooldown_sorted_fold(r, entity, action, ts, hours)
-    hot = F.broadcast(hot.persist())
+    hot = hot.persist()
+    if n_hot <= MAX_BROADCAST_KEYS:  # small key list: no shuffle of the requests
+        hot = F.broadcast(hot)
     cold = r.join(hot, [entity, action], "left_anti")
     warm = r.join(hot, [entity, action], "left_semi")
     return (cooldown_sorted_fold(cold, entity, action, ts, hours)

@@ -45,6 +45,23 @@ def _land(df, path, order_col):
         lo = hi
 
 
+from contextlib import contextmanager
+
+
+@contextmanager
+def state_partitions(spark):
+    """State-store partitions of a new streaming query: the configured
+    shuffle width, but not more than two per task slot (fixed for the life
+    of the query's checkpoint, so sized when the query first starts)."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(old), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def _run(query):
     query.awaitTermination(TIMEOUT_S)
     if query.isActive:
@@ -61,9 +78,10 @@ def alert_stream(spark, d):
     base = scratch_dir(spark, f"streams/{uuid.uuid4().hex}")
     _land(raw_alerts(spark, d), f"{base}/in", "seq")
     stream = AS.read_alert_stream(spark, f"{base}/in")
-    _run(AS.start_parse_sink(stream, f"{base}/alerts", f"{base}/ckpt_alerts"))
-    _run(AS.start_bounded_store(AS.read_alert_stream(spark, f"{base}/in"), f"{base}/store",
-                                f"{base}/ckpt_store"))
+    with state_partitions(spark):
+        _run(AS.start_parse_sink(stream, f"{base}/alerts", f"{base}/ckpt_alerts"))
+        _run(AS.start_bounded_store(AS.read_alert_stream(spark, f"{base}/in"), f"{base}/store",
+                                    f"{base}/ckpt_store"))
     return spark.read.parquet(f"{base}/alerts")
 
 
@@ -80,7 +98,8 @@ def _monitor(spark, d):
     scored = model.transform(stream.withColumn("payment_type", ML.known_payment(model))) \
         .select("order_id", "event_time", (ML.prob1() * 100.0).alias("risk_score"))
     churn = MP.scored_customers(spark, d).where(F.col("churn_prob") > MP.CHURN_ALERT).count()
-    _run(MO.start_monitor(scored, churn, f"{base}/snapshot", f"{base}/ckpt"))
+    with state_partitions(spark):
+        _run(MO.start_monitor(scored, churn, f"{base}/snapshot", f"{base}/ckpt"))
     return f"{base}/snapshot"
 
 
@@ -116,7 +135,9 @@ def action_cooldown_stream(spark, d):
     _land(cooldown_requests(spark, d), f"{base}/in", "ts")
     stream = (spark.readStream.schema("entity_id string, action string, ts timestamp_ntz")
               .option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
-    q = (CS.cooldown_stream(stream).writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
-    _run(q)
+    with state_partitions(spark):
+        q = (CS.cooldown_stream(stream).writeStream.format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/ckpt").outputMode("append")
+             .trigger(availableNow=True).start())
+        _run(q)
     return spark.read.parquet(f"{base}/out")
