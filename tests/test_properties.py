@@ -76,3 +76,34 @@ def test_partition_count_invariance(spark, q, key):
         out.append(digest(df.columns, [tuple(r) for r in df.collect()])[0])
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert out[0] == out[1]
+
+
+def test_whatif_matches_brute_force_loop(spark, q):
+    """Replay the reference's nested loop for a sample of orders with the
+    same model and compare with the distributed search."""
+    import numpy as np
+    from tradewind.operators import ml as ML
+    from tradewind.plans import ml_plans as MP
+    from tradewind.sources.business import from_testdata
+
+    model, _ = MP.risk_model(spark, SMOKE)
+    feats = ML.open_order_features(from_testdata(spark, SMOKE)).orderBy("order_id").limit(12).collect()
+    got = {r.order_id: r for r in q["whatif_best"](spark, SMOKE).collect()}
+    labels = ML.payment_classes(model)
+    for f in feats:
+        w = (f.product_weight_g / 1000.0) if f.product_weight_g is not None else 1.5
+        pay = f.payment_type if f.payment_type in labels else labels[0]
+        weights = [w] if w >= 15.0 else list(np.arange(0.1, w + 0.1, 0.5))
+        opts = [(float(tw), d) for tw in weights for d in range(7)]
+        rows = [(pay, float(f.order_value), tw * 1000, d) for tw, d in [(w, f.day_of_week)] + opts]
+        df = spark.createDataFrame(rows, "payment_type string, order_value double, product_weight_g double, "
+                                         "day_of_week int")
+        probs = [r[0] * 100 for r in model.transform(df).select(ML.prob1()).collect()]
+        best, bw, bd = probs[0], w, f.day_of_week
+        for (tw, d), p in zip(opts, probs[1:]):
+            if p < best:
+                best, bw, bd = p, tw, d
+        r = got[f.order_id]
+        assert r.base_risk == pytest.approx(probs[0], abs=1e-9)
+        assert r.best_risk == pytest.approx(best, abs=1e-9)
+        assert (r.best_weight_kg, r.best_day) == (pytest.approx(bw), bd)

@@ -40,28 +40,40 @@ def _base_inputs(model: PipelineModel, feats: DataFrame) -> DataFrame:
 
 def best_scenarios(model: PipelineModel, feats: DataFrame) -> DataFrame:
     """Per open order: baseline risk and the lowest-risk (weight, day) option
-    strictly below it; ties go to the first option in grid order."""
+    strictly below it; ties go to the first option in grid order.
+
+    The baseline is one more row of the order's option set, so a single
+    ``transform`` scores everything and one per-order aggregate picks both
+    the baseline and the best option (no join back to the inputs).
+    """
     base = _base_inputs(model, feats)
-    scored_base = model.transform(base.withColumn("product_weight_g", F.col("weight_kg") * 1000.0)) \
-        .select("order_id", (ML.prob1() * 100.0).alias("base_risk"))
-    grid = base.select("order_id", "payment_type", "order_value", "weight_kg",
-                       F.posexplode(weight_grid(F.col("weight_kg"))).alias("widx", "test_kg"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1))).alias("test_day"))
-    opts = model.transform(grid.select("order_id", "payment_type", "order_value", "widx", "test_kg", "test_day",
-                                       (F.col("test_kg") * 1000.0).alias("product_weight_g"),
-                                       F.col("test_day").alias("day_of_week")))
-    best = (opts.select("order_id", F.struct((ML.prob1() * 100.0).alias("risk"), "widx", "test_day",
-                                            "test_kg").alias("o"))
-                .groupBy("order_id").agg(F.min("o").alias("b")))
-    j = scored_base.join(best, "order_id", "left").join(base.select("order_id", "weight_kg", "day_of_week"),
-                                                         "order_id")
+    opt = lambda is_base, widx, kg, day: F.struct(
+        F.lit(is_base).alias("is_base"), widx.cast("int").alias("widx"), kg.alias("kg"),
+        day.cast("int").alias("day"))
+    grid = F.transform(weight_grid(F.col("weight_kg")), lambda kg, i: F.struct(i.alias("i"), kg.alias("kg")))
+    days = F.sequence(F.lit(0), F.lit(DAYS - 1))
+    options = F.concat(
+        F.array(opt(True, F.lit(-1), F.col("weight_kg"), F.col("day_of_week"))),
+        F.flatten(F.transform(grid, lambda g: F.transform(days, lambda dd: opt(False, g["i"], g["kg"], dd)))))
+    rows = base.select("order_id", "payment_type", "order_value", "weight_kg",
+                       F.col("day_of_week").alias("base_day"), F.explode(options).alias("o"))
+    scored = model.transform(rows.select("order_id", "payment_type", "order_value", "weight_kg", "base_day", "o",
+                                         (F.col("o.kg") * 1000.0).alias("product_weight_g"),
+                                         F.col("o.day").alias("day_of_week")))
+    risk = ML.prob1() * 100.0
+    agg = scored.groupBy("order_id").agg(
+        F.max(F.when(F.col("o.is_base"), risk)).alias("base_risk"),
+        F.min(F.when(~F.col("o.is_base"), F.struct(risk.alias("risk"), F.col("o.widx").alias("widx"),
+                                                    F.col("o.day").alias("day"), F.col("o.kg").alias("kg"))))
+        .alias("b"),
+        F.first("weight_kg").alias("weight_kg"), F.first("base_day").alias("day_of_week"))
     better = F.coalesce(F.col("b.risk") < F.col("base_risk"), F.lit(False))
-    return j.select("order_id", "base_risk",
-                    F.when(better, F.col("b.risk")).otherwise(F.col("base_risk")).alias("best_risk"),
-                    F.when(better, F.col("b.test_kg")).otherwise(F.col("weight_kg")).alias("best_weight_kg"),
-                    F.when(better, F.col("b.test_day")).otherwise(F.col("day_of_week")).alias("best_day"),
-                    better.alias("improved"),
-                    (F.col("weight_kg") >= BULKY_KG).alias("unbreakable"))
+    return agg.select("order_id", "base_risk",
+                      F.when(better, F.col("b.risk")).otherwise(F.col("base_risk")).alias("best_risk"),
+                      F.when(better, F.col("b.kg")).otherwise(F.col("weight_kg")).alias("best_weight_kg"),
+                      F.when(better, F.col("b.day")).otherwise(F.col("day_of_week")).alias("best_day"),
+                      better.alias("improved"),
+                      (F.col("weight_kg") >= BULKY_KG).alias("unbreakable"))
 
 
 # Fixed scenario set for the one-change simulation (our choice).
