@@ -198,8 +198,9 @@ def cluster_names(profile: DataFrame) -> DataFrame:
 def evaluate(model: PipelineModel, rows: DataFrame, label: str) -> DataFrame:
     """AUC (exact) and the classification report on the test part."""
     test = model.transform(rows.where(F.col("part") == "test"))
+    # one scoring pass feeds both metrics (small: label, score, prediction)
     preds = test.select(F.col(label).alias("label"), prob1().alias("score"),
-                        F.col("prediction").cast("int").alias("prediction"))
+                        F.col("prediction").cast("int").alias("prediction")).persist()
     auc = MT.roc_auc(preds).select(F.lit("auc").alias("metric"), F.lit("all").alias("class_label"),
                                    F.col("auc").alias("value"))
     rep = MT.classification_report(preds)

@@ -28,3 +28,10 @@ def append_and_trim(spark: SparkSession, path: str, existing: DataFrame, new: Da
     store = spark.read.parquet(f"{path}/gen0")
     write_table(store.orderBy(F.col(order_col).desc()).limit(keep), f"{path}/gen1", "overwrite")
     return spark.read.parquet(f"{path}/gen1")
+
+
+def truncate_table(spark: SparkSession, path: str, schema: str) -> None:
+    """Reset a store (the reference's "clear feed" button): replace the
+    table at ``path`` with an empty one of the same schema. Scoped to that
+    table only, never the whole store."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

@@ -89,3 +89,12 @@ def load(spark: SparkSession, d: str) -> Biz:
     return Biz(orders=t["orders"], items=t["order_items"], payments=t["order_payments"],
                reviews=t["order_reviews"], products=t["products"], translation=t["category_translation"],
                customers=t["customers"], sellers=t["sellers"], orders_base=t["orders"])
+
+
+def register_views(spark: SparkSession, d: str) -> dict[str, str]:
+    """Expose the loaded tables under their business names for ``spark.sql``
+    users (the reference runs SQL text against its warehouse)."""
+    names = build(spark, d)
+    for table, name in names.items():
+        spark.table(name).createOrReplaceTempView(table)
+    return names
