@@ -107,3 +107,12 @@ def test_whatif_matches_brute_force_loop(spark, q):
         assert r.base_risk == pytest.approx(probs[0], abs=1e-9)
         assert r.best_risk == pytest.approx(best, abs=1e-9)
         assert (r.best_weight_kg, r.best_day) == (pytest.approx(bw), bd)
+
+
+def test_whatif_delta_baseline_consistent(spark, q):
+    d = q["whatif_delta"](spark, SMOKE)
+    b = q["whatif_best"](spark, SMOKE).select("order_id", F.col("base_risk").alias("b2"))
+    j = d.join(b, "order_id")
+    assert d.count() == 3 * b.count()
+    assert j.where(F.abs(F.col("base_risk") - F.col("b2")) > 1e-9).count() == 0
+    assert j.where(F.abs(F.col("risk_diff") - (F.col("sim_risk") - F.col("base_risk"))) > 1e-12).count() == 0
