@@ -6,6 +6,7 @@ use 20 trees (the library default is the reference's 200).
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.ml import PipelineModel
@@ -24,6 +25,7 @@ from tradewind.sources.business import from_testdata
 
 QUERY_TREES = 20
 _CACHE: dict = {}
+_LOCK = threading.RLock()  # one fit per model kind and data folder
 
 
 def _key(spark, kind, d, extra=None):
@@ -32,23 +34,26 @@ def _key(spark, kind, d, extra=None):
 
 def risk_model(spark, d, trees=QUERY_TREES):
     k = _key(spark, "risk", d, trees)
-    if k not in _CACHE:
-        _CACHE[k] = ML.fit_risk(from_testdata(spark, d), trees)
-    return _CACHE[k]
+    with _LOCK:
+        if k not in _CACHE:
+            _CACHE[k] = ML.fit_risk(from_testdata(spark, d), trees)
+        return _CACHE[k]
 
 
 def churn_model(spark, d, trees=QUERY_TREES):
     k = _key(spark, "churn", d, trees)
-    if k not in _CACHE:
-        _CACHE[k] = ML.fit_churn(from_testdata(spark, d), trees)
-    return _CACHE[k]
+    with _LOCK:
+        if k not in _CACHE:
+            _CACHE[k] = ML.fit_churn(from_testdata(spark, d), trees)
+        return _CACHE[k]
 
 
 def seller_model(spark, d):
     k = _key(spark, "seller", d)
-    if k not in _CACHE:
-        _CACHE[k] = ML.fit_sellers(from_testdata(spark, d))
-    return _CACHE[k]
+    with _LOCK:
+        if k not in _CACHE:
+            _CACHE[k] = ML.fit_sellers(from_testdata(spark, d))
+        return _CACHE[k]
 
 
 # ---------------------------------------------------------------- training / evaluation

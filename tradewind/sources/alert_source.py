@@ -11,6 +11,7 @@ numeric message, free text).
 from __future__ import annotations
 
 import json
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ def score_text(c: Column) -> Column:
 
 
 _LANDED: dict = {}
+_LOCK = threading.Lock()
 
 
 def raw_alerts(spark: SparkSession, d: str) -> DataFrame:
@@ -52,9 +54,15 @@ def raw_alerts(spark: SparkSession, d: str) -> DataFrame:
     ``events`` once per process and data folder, written as parquet under
     the shared checkpoint folder, and read back by every alert query.
     """
+    key = (id(spark.sparkContext), d)
+    with _LOCK:
+        path = _land_feed(spark, d, key)
+    return spark.read.parquet(path)
+
+
+def _land_feed(spark: SparkSession, d: str, key) -> str:
     from tradewind.session import scratch_dir
     import uuid
-    key = (id(spark.sparkContext), d)
     path = _LANDED.get(key)
     if path is None:
         path = scratch_dir(spark, f"alert_feed/{uuid.uuid4().hex}")
@@ -64,7 +72,7 @@ def raw_alerts(spark: SparkSession, d: str) -> DataFrame:
             feed = feed.repartitionByRange(slots, "seq")
         feed.write.mode("overwrite").parquet(path)
         _LANDED[key] = path
-    return spark.read.parquet(path)
+    return path
 
 
 def build_raw_alerts(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,7 @@ session catalog under names derived from the data folder.
 from __future__ import annotations
 
 import hashlib
+import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -31,6 +32,7 @@ from tradewind.sources.business import Biz
 ORDER_GRAIN = ("orders", "order_items", "order_payments", "order_reviews")
 LOAD_THREADS = 4
 _BUILT: dict = {}
+_LOCK = threading.RLock()  # one load per data folder, even with concurrent callers
 
 
 def _names(d: str) -> dict[str, str]:
@@ -55,6 +57,11 @@ def bucket_count(spark: SparkSession, d: str) -> int:
 
 def build(spark: SparkSession, d: str, buckets: int | None = None) -> dict[str, str]:
     """Write the warehouse for data folder ``d`` (once per session)."""
+    with _LOCK:
+        return _build(spark, d, buckets)
+
+
+def _build(spark: SparkSession, d: str, buckets: int | None = None) -> dict[str, str]:
     key = (id(spark.sparkContext), d)
     if key in _BUILT and all(spark.catalog.tableExists(n) for n in _BUILT[key].values()):
         return _BUILT[key]
