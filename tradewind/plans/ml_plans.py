@@ -193,9 +193,9 @@ def attribution_risk(spark, d):
     model, rows = risk_model(spark, d)
     b = from_testdata(spark, d)
     feats = ML.open_order_features(b).withColumn("payment_type", ML.known_payment(model))
-    coded = model.stages[0].transform(feats)  # payment_type -> payment_code
-    flagged = (model.transform(feats).where(ML.prob1() * 100.0 > FLAG_SCORE).select("order_id")
-               .join(coded, "order_id"))
+    # the pipeline output already carries the coded inputs (payment_code)
+    flagged = (model.transform(feats).where(ML.prob1() * 100.0 > FLAG_SCORE)
+               .select("order_id", *ML.RISK_INPUTS))
     train = model.stages[0].transform(rows.where(F.col("part") == "train"))
     bg = AT.kmeans_background(train, ML.RISK_INPUTS, integer_features=("payment_code", "day_of_week"))
     return AT.shapley(flagged, "order_id", ML.RISK_INPUTS, bg,
