@@ -57,20 +57,17 @@ def build_session(master: str | None = None, app: str = "tradewind",
 
 
 def apply_conf(spark: SparkSession) -> SparkSession:
-    """Apply the runtime-settable knobs to an existing session."""
+    """Apply the runtime-settable knobs to an existing session. A knob that the
+    caller has set, in the session or at submit time, keeps the caller's value."""
     for k, v in _SCALE_CONF.items():
-        if k in ("spark.ui.enabled",):
-            continue
-        try:
+        if k != "spark.ui.enabled" and spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
-        except Exception:  # static conf on a running session
-            pass
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -79,7 +76,7 @@ def ship_package(spark: SparkSession) -> None:
     Needed where workers unpickle library classes by reference (the
     stateful cooldown processor)."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     ckpt = ensure_checkpoint_dir(spark)
@@ -95,14 +92,18 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.join("tradewind", os.path.relpath(full, pkg)))
     sc.addPyFile(path)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
+
+
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests)
-    do we pick a scratch folder of our own.
+    The cluster's setting always wins. Only in local mode, where driver and
+    executors are one process, an unset value means a scratch folder of our
+    own (one per application); on a cluster an unset value is an error.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -111,9 +112,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
-    local = tempfile.mkdtemp(prefix="tradewind-ckpt-")
-    sc.setCheckpointDir(local)
-    return local
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="tradewind-ckpt-")
+        sc.setCheckpointDir(_LOCAL_DIRS[sc.applicationId])
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
