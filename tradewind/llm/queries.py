@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import chat_format, decontaminate, sharding
+from tradewind.llm import bpe, chat_format, decontaminate, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
-    fns = [sharding.op5_sharding, decontaminate.op7_benchmark_decontamination, chat_format.op9_chat_formatting]
+    fns = [secrets.op1_secret_scans, sharding.op5_sharding, decontaminate.op7_benchmark_decontamination,
+           bpe.op8_byte_bpe, chat_format.op9_chat_formatting]
     return {f.__name__: f for f in fns} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_benchmark_decontamination": decontaminate.ORACLE, "op9_chat_formatting": chat_format.ORACLE}
+    return {"op1_secret_scans": secrets.ORACLE, "op7_benchmark_decontamination": decontaminate.ORACLE, "op9_chat_formatting": chat_format.ORACLE}
