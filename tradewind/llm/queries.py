@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import bpe, chat_format, decontaminate, secrets, sharding, topk
+from tradewind.llm import bpe, chat_format, decontaminate, near_dedup, secrets, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
     fns = [secrets.op1_secret_scans, topk.op2_exact_top_k, sharding.op5_sharding, decontaminate.op7_benchmark_decontamination,
-           bpe.op8_byte_bpe, chat_format.op9_chat_formatting]
+           bpe.op8_byte_bpe, chat_format.op9_chat_formatting, near_dedup.op10_minhash_near_dedup]
     return {f.__name__: f for f in fns} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_secret_scans": secrets.ORACLE, "op2_exact_top_k": topk.ORACLE,
-            "op7_benchmark_decontamination": decontaminate.ORACLE, "op9_chat_formatting": chat_format.ORACLE}
+            "op7_benchmark_decontamination": decontaminate.ORACLE, "op9_chat_formatting": chat_format.ORACLE,
+            "op10_minhash_near_dedup": near_dedup.ORACLE}
