@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import bpe, chat_format, decontaminate, near_dedup, quality, secrets, sharding, suffix_dedup, topk
+from tradewind.llm import bpe, chat_format, decontaminate, near_dedup, quality, secrets, sharding, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
-    fns = [secrets.op1_secret_scans, topk.op2_exact_top_k, suffix_dedup.op3_suffix_array_dedup,
+    fns = [secrets.op1_secret_scans, topk.op2_exact_top_k, suffix_dedup.op3_suffix_array_dedup, toxicity.op4_toxicity,
            sharding.op5_sharding, quality.op6_quality_classifier,
            decontaminate.op7_benchmark_decontamination,
            bpe.op8_byte_bpe, chat_format.op9_chat_formatting, near_dedup.op10_minhash_near_dedup]
