@@ -1,3 +1,68 @@
-STAGES = []
+"""A training corpus from raw documents, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept. All but the last return the columns of ``documents``; ``run`` writes every
+stage's result as Parquet to the folder that driver and executors share and
+reads it again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from tradewind.llm import bpe, decontaminate, near_dedup, quality, secrets
+from tradewind.llm.common import materialize, read
+
+#: SQL cannot express a fitted classifier; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir): return spark.range(0)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that the quality classifier rejects go."""
+    model = quality.train(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: of each group of near duplicates the document of the smallest id stays."""
+    return near_dedup.keep_one(docs).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents contaminated by the benchmark go."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.decontaminate(docs, items, remove="documents").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: every secret is replaced by its kind; n_chars follows the text."""
+    found = secrets.redact(secrets.find_secrets(docs, out="_secrets"), spans_col="_secrets")
+    changed = F.size("_secrets") > 0
+    return found.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType))
+                            .otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: token ids, their number, and whether they decode to the text again."""
+    out = bpe.round_trip(docs, public_tokenizers.path(bpe.VOCABULARY))
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return out.select(*docs.columns, F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", one_of_each),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("byte-level BPE", tokenize),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
+    return docs
