@@ -254,10 +254,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that near-duplicate another of a smaller id: of each
     component the row of the smallest id stays, and of whole-row copies one."""
-    verdict = near_duplicates(docs, id_col, text_col, threshold)
-    gone = verdict.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
-    return left.dropDuplicates()
+    verdict = materialize(near_duplicates(docs, id_col, text_col, threshold), "verdicts")
+    ids = verdict.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
+        F.count(F.lit(1)).alias("_n"), F.bool_and("kept").alias("_kept")).where("_n > 1 OR NOT _kept")
+    marked = docs.join(ids, docs[id_col].cast("long") == ids["_id"], "left")
+    once = marked.where("_n IS NULL").select(docs.columns)
+    again = marked.where("_n > 1 AND _kept").select(docs.columns).dropDuplicates()
+    return once.unionByName(again) if not ids.where("_n > 1").isEmpty() else once
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
