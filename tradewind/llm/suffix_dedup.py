@@ -132,23 +132,23 @@ def _neighbours(edges: bool):
         every = np.arange(n)
         found = [match(t, every, starts[run_of] - 1, ctx, room, g, node), match(t, every, ends[run_of], ctx, room, g, node)]
         i, left, right, partner = (np.concatenate(x) for x in zip(*found, strict=True))
-        cols = {"node": pa.array(node[i]), "pos": t["pos"].combine_chunks().take(pa.array(i)) if len(i) else pa.array([], pa.list_(pa.int32())),
+        cols = {"node": pa.array(node[i]), "pos": t["pos"].combine_chunks().take(pa.array(i, pa.int64())),
                 "left": pa.array(left, pa.int32()), "right": pa.array(right, pa.int32()), "partner": pa.array(partner)}
         if not edges:
             yield pa.RecordBatch.from_pydict(cols)
             return
         end = np.unique(np.concatenate([every[:ends[0] + 1], every[max(0, starts[-1] - 1):]]))
         blank = lambda m, kind: pa.nulls(m, kind)
-        m, e = len(i), t.take(pa.array(end))
+        m, e = len(i), t.take(pa.array(end, pa.int64()))
         yield pa.RecordBatch.from_pydict(cols | {
             "g": blank(m, pa.int64()), "before": blank(m, pa.binary()), "after": blank(m, pa.binary()),
-            "room_left": blank(m, pa.int32()), "room_right": blank(m, pa.int32()), "edge": pa.array([False] * m)})
+            "room_left": blank(m, pa.int32()), "room_right": blank(m, pa.int32()), "edge": pa.array([False] * m, pa.bool_())})
         yield pa.RecordBatch.from_pydict({
             "node": e["node"].combine_chunks(), "pos": e["pos"].combine_chunks(), "left": blank(len(end), pa.int32()),
             "right": blank(len(end), pa.int32()), "partner": blank(len(end), pa.int64()), "g": e["g"].combine_chunks(),
             "before": e["before"].combine_chunks(), "after": e["after"].combine_chunks(),
             "room_left": e["room_left"].combine_chunks(), "room_right": e["room_right"].combine_chunks(),
-            "edge": pa.array([True] * len(end))})
+            "edge": pa.array([True] * len(end), pa.bool_())})
 
     return run
 
