@@ -80,10 +80,14 @@ def search(q_ids, q_cols, c_ids, c_cols, k: int):
 
 def _best(query, ids, scores, k: int):
     keep = np.flatnonzero(ids != query)
-    ids = ids[keep]
-    scores = np.clip(scores[keep], -2**63, 2**63 - 1).astype(np.int64) if scores.dtype == object else scores[keep].astype(np.int64)
-    order = np.lexsort((ids, ~scores))[:k]  # ~x falls as x grows, without overflow
-    return np.full(len(order), query), ids[order], scores[order]
+    ids, scores = ids[keep], scores[keep]
+    if scores.dtype == object:  # ranked as they are, then saturated
+        order = np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
+        scores = np.clip(scores[order], -2**63, 2**63 - 1).astype(np.int64)
+    else:
+        order = np.lexsort((ids, -scores))[:k]
+        scores = scores[order].astype(np.int64)
+    return np.full(len(order), query), ids[order], scores
 
 
 def _bounded(q_ids, q, c_ids, c, k: int):
