@@ -1,0 +1,72 @@
+"""run() against a plain version of its stages."""
+import public_tokenizers as P
+import tiktoken
+
+import corpus_pipeline
+from tradewind.llm import bpe, near_dedup, quality
+
+from .test_secrets import brute
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(spark):
+    import re
+    docs = {r.doc_id: r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    model = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    docs = {i: d for i, d in docs.items() if model.score([quality.passages((d["text"] or "").encode())])[0] >= quality.CUT}
+    sets = {i: set(near_dedup.shingle_set((d["text"] or "").encode()).tolist()) for i, d in docs.items()}
+    up = {i: i for i in docs}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in docs:
+        for b in docs:
+            if b < a and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    docs = {i: d for i, d in docs.items() if find(i) == i}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words(r.text)
+        windows |= {tuple(w[i:i + 13]) for i in range(max(1, len(w) - 12))} if w else set()
+    clean = {}
+    for i, d in docs.items():
+        w, hit = words(d["text"]), set()
+        for n in {len(x) for x in windows}:
+            for p in range(len(w) - n + 1):
+                if tuple(w[p:p + n]) in windows:
+                    hit |= set(range(p, p + n))
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean[i] = d
+    return clean
+
+
+def test_run(spark):
+    want = plain(spark)
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(got) == set(want) and 0 < len(got) < 200
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(bpe.VOCABULARY)), special_tokens={})
+
+    for i, r in got.items():
+        text = want[i]["text"]
+        assert r.round_trip and r.ids == library.encode_ordinary(r.text or "") and r.n_tokens == len(r.ids)
+        assert (r.text == text) == (not brute(text or "")) and r.n_chars == len(r.text)
+        assert (r.lang, r.source) == (want[i]["lang"], want[i]["source"])
+        assert not [s for s in brute(r.text or "") if s[0] != "assign"]
+
+
+def test_stages_keep_awkward_rows(spark):
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, None, "en", "s", None), (3, "x " * 50_000, "en", "s", 100_000),
+            (3, "x " * 50_000, "en", "s", 100_000), (4, "the same plain words as all the others have", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        assert out.columns[:5] == docs.columns and (k == 4 or len(out.columns) == 5), name
+        assert out.count() <= len(rows) and stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.one_of_each(spark, docs, SF).count() == 5
