@@ -74,20 +74,33 @@ def classification_report(preds: DataFrame, label: str = "label",
     return rows.drop("tp").unionByName(acc).unionByName(macro).unionByName(weighted)
 
 
+#: Score ranges whose running sums are taken side by side.
+AUC_RANGES = 256
+
+
 def roc_auc(preds: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact ROC AUC (ties count one half) by the rank-sum form.
 
-    Per distinct score: positives and negatives; negatives below each score
-    by a running sum over the distinct scores. The numerator is kept as an
-    integer, 2 * sum(pos * (2 * neg_below + neg)) / 2, so the result does not
-    depend on summation order.
+    Scores are cut at approximate quantiles into ``AUC_RANGES`` ranges. Inside a
+    range a window sums over its distinct scores; the totals of the ranges (a
+    fixed number of rows) give each range's offset. No task holds all scores.
+    The numerator is kept as an integer, 2 * sum(pos * (2 * neg_below + neg)) / 2,
+    so the result depends neither on summation order nor on the cuts.
     """
+    cuts = preds.select(F.percentile_approx(score, [i / AUC_RANGES for i in range(1, AUC_RANGES)], 10_000)).first()[0]
+    at = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]).cast("array<double>")
     g = preds.groupBy(F.col(score).alias("s")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum((1 - F.col(label)).cast("long")).alias("neg"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    t = g.agg(F.sum(F.col("pos") * (2 * F.col("neg_below") + F.col("neg"))).alias("u2"),
+    g = g.withColumn("range", F.size(F.filter(at, lambda c: c < F.col("s"))))
+    inside = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("neg_inside", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    # Per range: what its own running sums give, and what every negative of lower ranges adds.
+    r = g.groupBy("range").agg(F.sum(F.col("pos") * (2 * F.col("neg_inside") + F.col("neg"))).alias("u2"),
+                               F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    lower = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("neg_below", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
+    t = r.agg(F.sum(F.col("u2") + 2 * F.col("pos") * F.col("neg_below")).alias("u2"),
               F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     return t.select((F.col("u2").cast("double")
                      / (F.lit(2.0) * F.col("positives").cast("double") * F.col("negatives").cast("double")))

@@ -35,14 +35,13 @@ TRAIN_PCT = 80
 # Reference hyper-parameters (fixed values).
 RISK_TREES, RISK_DEPTH, RISK_RATE = 200, 5, 0.05
 CHURN_TREES, CHURN_DEPTH = 200, 8
-SELLER_K, SELLER_STARTS = 4, 10
+SELLER_K, SELLER_STARTS, SELLER_ITERATIONS = 4, 10, 300
 # Lineage of the boosting state grows by one step per tree: checkpoint it to
 # the shared folder every 25 trees (the 200-tree default writes 8 times;
 # short runs need none).
 CHECKPOINT_INTERVAL = 25
 
 RISK_INPUTS = ["product_weight_g", "order_value", "day_of_week", "payment_code"]
-ROWS_PER_FIT_PARTITION = 100_000
 
 
 def split_part(key: F.Column, seed: int = SEED, train_pct: int = TRAIN_PCT) -> F.Column:
@@ -120,6 +119,9 @@ def fit_churn(b: Biz, trees: int = CHURN_TREES) -> tuple[PipelineModel, DataFram
 
 # ---------------------------------------------------------------- sellers
 
+#: Partitions of the rows that k-means is fitted on (one row a seller), a fixed number.
+FIT_PARTITIONS = 32
+
 SELLER_INPUTS = FE.SELLER_FEATURES
 
 
@@ -130,22 +132,21 @@ def fit_sellers(b: Biz, k: int = SELLER_K, starts: int = SELLER_STARTS) -> tuple
     sc = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     prep = Pipeline(stages=[vec, sc]).fit(rows)
     scaled = prep.transform(rows)
-    # Iterative fits run one small job per iteration: keep about
-    # ROWS_PER_FIT_PARTITION rows per partition so tiny tables do not pay
-    # for many near-empty tasks (large tables keep their width).
-    n = rows.count()
-    parts = max(1, min(scaled.rdd.getNumPartitions(), -(-n // ROWS_PER_FIT_PARTITION)))
-    scaled = scaled.coalesce(parts).persist()
+    # Hashed by seller and sorted inside: seeding draws by partition and place, so
+    # neither may depend on how the rows came in or on the number of executors.
+    scaled = scaled.repartition(FIT_PARTITIONS, "seller_id").sortWithinPartitions("seller_id").persist()
     # The starts are independent jobs: submitted together, the scheduler runs
     # their tasks side by side. The choice stays deterministic: lowest
     # training cost, then lowest seed.
     def fit(s):
-        km = KMeans(k=k, seed=SEED + s, featuresCol="features", predictionCol="cluster").fit(scaled)
+        km = KMeans(k=k, seed=SEED + s, maxIter=SELLER_ITERATIONS, featuresCol="features",
+                    predictionCol="cluster").fit(scaled)
         return km.summary.trainingCost, s, km
 
     with ThreadPoolExecutor(max_workers=min(starts, 4)) as pool:
         fits = list(pool.map(fit, range(starts)))
     best = min(fits, key=lambda t: (t[0], t[1]))[2]
+    scaled.unpersist()
     model = PipelineModel(stages=[prep.stages[0], prep.stages[1], best])
     return model, rows
 

@@ -1,7 +1,7 @@
 """Training, evaluation, scoring, what-if and attribution queries.
 
-Models are fitted once per (kind, data folder, size) and process; queries
-use 20 trees (the library default is the reference's 200).
+Models are fitted once per (application, kind, data folder, size), at the
+reference's sizes (200 trees, 300 k-means iterations).
 """
 
 from __future__ import annotations
@@ -23,16 +23,15 @@ from tradewind.plans.oracle_views import with_views
 from tradewind.session import scratch_dir
 from tradewind.sources.business import from_testdata
 
-QUERY_TREES = 20
 _CACHE: dict = {}
 _LOCK = threading.RLock()  # one fit per model kind and data folder
 
 
 def _key(spark, kind, d, extra=None):
-    return (id(spark.sparkContext), kind, d, extra)
+    return (spark.sparkContext.applicationId, kind, d, extra)
 
 
-def risk_model(spark, d, trees=QUERY_TREES):
+def risk_model(spark, d, trees=ML.RISK_TREES):
     k = _key(spark, "risk", d, trees)
     with _LOCK:
         if k not in _CACHE:
@@ -40,7 +39,7 @@ def risk_model(spark, d, trees=QUERY_TREES):
         return _CACHE[k]
 
 
-def churn_model(spark, d, trees=QUERY_TREES):
+def churn_model(spark, d, trees=ML.CHURN_TREES):
     k = _key(spark, "churn", d, trees)
     with _LOCK:
         if k not in _CACHE:
@@ -184,33 +183,27 @@ def whatif_delta(spark, d):
 
 # ---------------------------------------------------------------- attribution
 
-FLAG_SCORE = 70.0
-
-
 @register("attribution_risk")
 def attribution_risk(spark, d):
-    """Log-odds attribution for every open order scored above 70."""
+    """Log-odds attribution for every open order."""
     model, rows = risk_model(spark, d)
     b = from_testdata(spark, d)
     feats = ML.open_order_features(b).withColumn("payment_type", ML.known_payment(model))
     # the pipeline output already carries the coded inputs (payment_code)
-    flagged = (model.transform(feats).where(ML.prob1() * 100.0 > FLAG_SCORE)
-               .select("order_id", *ML.RISK_INPUTS))
+    orders = model.transform(feats).select("order_id", *ML.RISK_INPUTS)
     train = model.stages[0].transform(rows.where(F.col("part") == "train"))
     bg = AT.kmeans_background(train, ML.RISK_INPUTS, integer_features=("payment_code", "day_of_week"))
-    return AT.shapley(flagged, "order_id", ML.RISK_INPUTS, bg,
+    return AT.shapley(orders, "order_id", ML.RISK_INPUTS, bg,
                       AT.margin_scorer(model.stages[-1], ML.RISK_INPUTS, margin=True))
 
 
 @register("attribution_churn")
 def attribution_churn(spark, d):
-    """Class-1 probability attribution for customers scored above 70."""
+    """Class-1 probability attribution for every customer."""
     model, rows = churn_model(spark, d)
     feats = ML.customer_serving_features(from_testdata(spark, d))
-    flagged = (model.transform(feats).where(ML.prob1() * 100.0 > FLAG_SCORE).select("customer_id")
-               .join(feats, "customer_id"))
     bg = AT.kmeans_background(rows.where(F.col("part") == "train"), ML.CHURN_INPUTS)
-    return AT.shapley(flagged, "customer_id", ML.CHURN_INPUTS, bg,
+    return AT.shapley(feats, "customer_id", ML.CHURN_INPUTS, bg,
                       AT.margin_scorer(model.stages[-1], ML.CHURN_INPUTS, margin=False))
 
 
