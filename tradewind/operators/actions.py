@@ -7,13 +7,15 @@ order and action) and the payload is built per row.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.session import scratch_dir
 from tradewind.sources.alert_source import MSG_ACTION
 
 CRITICAL_ACTIONS = ("lock_seller", "change_hub")
-ACTIONS = ("lock_seller", "change_hub", "open_ticket", "send_email", "split_order")
 CHANNEL = "alert_history"
 LOCAL_OFFSET_HOURS = 7
 COOLDOWN_HOURS = 24
@@ -28,12 +30,18 @@ def action_events(decisions: DataFrame) -> DataFrame:
     payload rows. The payload text is what ``json.dumps`` writes for the
     reference's dict (key order, separators, \\u escapes, float text)."""
     sev = severity(F.col("action"))
+
+    def text(c):  # as it stands between the quotes of a JSON text
+        quoted = F.to_json(F.array(c))
+        return F.substring(quoted, F.lit(3), F.length(quoted) - 4)
+
+    order, seller = text(F.col("order_id")), text(F.col("seller_id"))
     score_txt = F.concat(F.floor(F.col("risk_score_tenths") / 10).cast("string"), F.lit("."),
                          (F.col("risk_score_tenths") % 10).cast("string"))
     clock = F.date_format(F.col("decided_at") + F.expr(f"INTERVAL {LOCAL_OFFSET_HOURS} HOURS"), "HH:mm:ss")
-    msg_json = F.concat(F.lit(MSG_ACTION[0]), F.upper("action"), F.lit(MSG_ACTION[1]), F.col("order_id"),
-                        F.lit(MSG_ACTION[2]), F.col("seller_id"), F.lit(MSG_ACTION[3]))
-    payload = F.concat(F.lit('{"order_id": "'), F.col("order_id"), F.lit('", "risk_score": '), score_txt,
+    msg_json = F.concat(F.lit(MSG_ACTION[0]), text(F.upper("action")), F.lit(MSG_ACTION[1]), order,
+                        F.lit(MSG_ACTION[2]), seller, F.lit(MSG_ACTION[3]))
+    payload = F.concat(F.lit('{"order_id": "'), order, F.lit('", "risk_score": '), score_txt,
                        F.lit(', "type": "'), sev, F.lit('", "message": "'), msg_json,
                        F.lit('", "timestamp": "'), clock, F.lit('"}'))
     return decisions.select("order_id", "seller_id", "action", sev.alias("severity"),
@@ -50,128 +58,61 @@ def audit_records(hits: DataFrame, entity_type: str, key: str, status: str,
                        F.col("rule").alias("action"), ts.alias("timestamp"), F.lit(status).alias("status"))
 
 
-HOT_KEY_ROWS = 100_000
-MAX_BROADCAST_KEYS = 100_000
-
-
 def cooldown(requests: DataFrame, entity: str = "entity_id", action: str = "action",
-             ts: str = "ts", hours: int = COOLDOWN_HOURS, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Greedy cooldown: a request passes if it is at least ``hours`` after the
-    last *passed* request of the same (entity, action); the first passes.
-
-    Keys are split by size. Ordinary keys (at most ``hot_rows`` requests):
-    hash-partitioned by key, sorted inside each partition, and folded in one
-    streaming pass (``cooldown_sorted_fold``). Hot keys (more requests than
-    that, e.g. one entity holding a third of the data): the distributed
-    pointer-doubling path (``cooldown_doubling``), which spreads one key over
-    many tasks. The hot-key list has at most rows / hot_rows entries; it is
-    broadcast only when it has at most MAX_BROADCAST_KEYS entries, else the
-    split is a shuffle join.
-    """
-    r = requests.select(F.col(entity).cast("string").alias(entity), F.col(action).cast("string").alias(action),
-                        F.col(ts))
-    counts = r.groupBy(entity, action).count()
-    hot = counts.where(F.col("count") > hot_rows).select(entity, action)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return cooldown_sorted_fold(r, entity, action, ts, hours)
-    hot = hot.persist()
-    if n_hot <= MAX_BROADCAST_KEYS:  # small key list: no shuffle of the requests
-        hot = F.broadcast(hot)
-    cold = r.join(hot, [entity, action], "left_anti")
-    warm = r.join(hot, [entity, action], "left_semi")
-    return (cooldown_sorted_fold(cold, entity, action, ts, hours)
-            .unionByName(cooldown_doubling(warm, entity, action, ts, hours)))
-
-
-def cooldown_sorted_fold(r: DataFrame, entity: str, action: str, ts: str, hours: int) -> DataFrame:
-    """One pass over key-partitioned, time-sorted rows; the fold state (key,
-    last passed time) is carried across Arrow batches, so memory per task is
-    one batch whatever the size of a key."""
-    import numpy as np
-    import pandas as pd
-
-    limit_us = hours * 3600 * 1_000_000
-    schema = f"{entity} string, {action} string, {ts} timestamp_ntz, allowed boolean"
-
-    def fold(batches):
-        cur_key, last = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            us = pdf[ts].astype("datetime64[us]").astype("int64").to_numpy()
-            ents, acts = pdf[entity].to_numpy(), pdf[action].to_numpy()
-            ok = np.zeros(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                k = (ents[i], acts[i])
-                if k != cur_key:
-                    cur_key, last = k, None
-                if last is None or us[i] - last >= limit_us:
-                    ok[i] = True
-                    last = us[i]
-            yield pd.DataFrame({entity: pdf[entity], action: pdf[action], ts: pdf[ts], "allowed": ok})
-
-    parts = r.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return (r.repartition(int(parts), entity, action)
-             .sortWithinPartitions(entity, action, ts)
-             .mapInPandas(fold, schema))
-
-
-def cooldown_doubling(requests: DataFrame, entity: str = "entity_id", action: str = "action",
-                      ts: str = "ts", hours: int = COOLDOWN_HOURS) -> DataFrame:
+             ts: str = "ts", hours: int = COOLDOWN_HOURS) -> DataFrame:
     """Greedy cooldown: a request passes if it is at least ``hours`` after the
-    last *passed* request of the same (entity, action); the first passes.
-
-    The passed requests form a chain: first request -> ``next`` -> ``next``
-    ..., where ``next(i)`` is the earliest request at least ``hours`` after
-    ``i``. ``next`` comes from one sorted window pass with a growing frame
-    (streamed and spillable, never collected). The chain is then marked by
-    pointer doubling: joins on unique request ids, so a hot entity is split
-    across tasks like any other rows. Rounds = log2(longest chain).
+    last *passed* request of the same (entity, action); the first passes. Of
+    requests at the same time one passes. A request without a time never passes
+    and holds nothing back; a null entity or action is a key like any other.
+
+    The passed requests form a chain: first request -> ``next`` -> ``next`` ...,
+    where ``next(i)`` is the earliest request at least ``hours`` after ``i``. Time
+    is cut into buckets of ``hours``, so ``next`` lies in the following bucket or
+    is the first request of a later one: a window per (key, bucket) and a window
+    over a key's buckets find it, and no task holds all requests of a key. The
+    chain is then marked by pointer doubling, joins on (key, time); rounds =
+    log2(longest chain).
     """
-    limit_us = hours * 3600 * 1_000_000
-    r = requests.select(F.col(entity).cast("string").alias("e"), F.col(action).cast("string").alias("a"),
-                        F.col(ts).alias("t"))
-    r = r.withColumn("us", F.unix_micros(F.col("t").cast("timestamp")))
-    r = r.withColumn("rid", F.xxhash64("e", "a", "us"))
-    # Exact copies (same entity, action, time) share one request id in the
-    # chain; afterwards only one copy can pass (the rest are 0 h after it).
-    first_of_key = F.min("us").over(Window.partitionBy("e", "a"))
-    w_next = (Window.partitionBy("e", "a").orderBy(F.col("neg"))
-              .rangeBetween(Window.unboundedPreceding, -limit_us))
-    reqs = r.select("e", "a", "us", "rid").distinct().withColumn("neg", -F.col("us"))
-    nxt = reqs.select("rid", "e", "a", "us", (first_of_key == F.col("us")).alias("is_root"),
-                      F.min(F.struct("us", "rid")).over(w_next)["rid"].alias("nxt"))
-    # The window pass is the expensive part: written once to the shared
-    # checkpoint folder. The doubling rounds are joins on unique ids with a
-    # lineage of O(log n) steps, kept persisted (recomputable on loss).
-    nxt = nxt.checkpoint(eager=True)
-    jump = nxt.select("rid", F.col("nxt").alias("j")).persist()
-    chain = nxt.where("is_root").select("rid").persist()
-    size = chain.count()
-    while True:
-        step = chain.join(jump, "rid").where(F.col("j").isNotNull()).select(F.col("j").alias("rid"))
-        grown = chain.unionByName(step).distinct().persist()
-        grown_size = grown.count()
-        chain.unpersist()
-        chain = grown
-        if grown_size == size:
-            break
-        size = grown_size
-        nxt_jump = (jump.alias("x").join(jump.alias("y"), F.col("x.j") == F.col("y.rid"), "left")
-                    .select(F.col("x.rid").alias("rid"), F.col("y.j").alias("j")).persist())
-        nxt_jump.count()
-        jump.unpersist()
-        jump = nxt_jump
-    passed = chain.withColumn("allowed", F.lit(True))
-    copy_no = F.row_number().over(Window.partitionBy("rid").orderBy("us"))
-    return (r.join(passed, "rid", "left")
-             .select(F.col("e").alias(entity), F.col("a").alias(action), F.col("t").alias(ts),
-                     (F.coalesce("allowed", F.lit(False)) & (copy_no == 1)).alias("allowed")))
-
-
-def cooldown_window_check(passed: DataFrame, entity="entity_id", action="action", ts="ts",
-                          hours: int = COOLDOWN_HOURS) -> DataFrame:
-    """Property check: gaps between consecutive passed actions (>= hours)."""
-    w = Window.partitionBy(entity, action).orderBy(ts)
-    return passed.withColumn("gap_hours", F.timestamp_diff("SECOND", F.lag(ts).over(w), F.col(ts)) / 3600.0)
+    spark = requests.sparkSession
+    span = hours * 3600 * 1_000_000
+    path = scratch_dir(spark, f"cooldown/{uuid.uuid4().hex}")
+    r = requests.select(F.struct(F.col(entity).cast("string").alias("e"), F.col(action).cast("string").alias("a")).alias("k"),
+                        F.col(ts).alias("t"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
+                        F.monotonically_increasing_id().alias("row"))
+    r.write.parquet(f"{path}/requests")  # row numbers stay what they are
+    r = spark.read.parquet(f"{path}/requests")
+    at = r.where(F.col("us").isNotNull()).groupBy("k", "us").agg(F.min("row").alias("row"))
+    at = at.withColumn("b", F.floor(F.col("us") / span))
+
+    # A request at x asks its following bucket for the first time from x + span on.
+    asks = at.select("k", (F.col("b") + 1).alias("b"), (F.col("us") + span).alias("x"), F.col("us").alias("asker"),
+                     F.lit(None).cast("long").alias("found"))
+    line = asks.unionByName(at.select("k", "b", F.col("us").alias("x"), F.lit(None).cast("long").alias("asker"),
+                                      F.col("us").alias("found")))
+    falling = Window.partitionBy("k", "b").orderBy(F.desc("x"), F.col("asker").isNotNull())
+    inside = line.withColumn("inside", F.min("found").over(falling.rowsBetween(Window.unboundedPreceding, 0)))
+    over_buckets = Window.partitionBy("k").orderBy("b")
+    buckets = at.groupBy("k", "b").agg(F.min("us").alias("f0")).select(
+        "k", "b", (F.lag("b").over(over_buckets).isNull()).alias("first_bucket"), "f0",
+        F.lead("b").over(over_buckets).alias("b1"), F.lead("f0").over(over_buckets).alias("f1"),
+        F.lead("f0", 2).over(over_buckets).alias("f2"))
+    later = F.when(F.col("b1") >= F.col("b") + 2, F.col("f1")).otherwise(F.col("f2"))
+    nxt = (inside.where(F.col("asker").isNotNull()).select("k", (F.col("b") - 1).alias("b"), F.col("asker").alias("us"), "inside")
+           .join(buckets, ["k", "b"])
+           .select("k", "us", F.coalesce("inside", later).alias("j"),
+                   (F.col("first_bucket") & (F.col("us") == F.col("f0"))).alias("root")))
+    nxt.write.parquet(f"{path}/next")
+    nxt = spark.read.parquet(f"{path}/next")
+
+    jump, chain, step = nxt.where(F.col("j").isNotNull()).select("k", "us", "j"), nxt.where("root").select("k", "us"), 0
+    while not jump.isEmpty():
+        reached = chain.join(jump, ["k", "us"]).select("k", F.col("j").alias("us"))
+        chain.unionByName(reached).write.parquet(f"{path}/chain-{step}")  # paths from a root do not meet twice
+        onward = jump.select("k", F.col("us").alias("j"), F.col("j").alias("jj"))
+        jump.join(onward, ["k", "j"]).select("k", "us", F.col("jj").alias("j")).write.parquet(f"{path}/jump-{step}")
+        chain, jump = spark.read.parquet(f"{path}/chain-{step}"), spark.read.parquet(f"{path}/jump-{step}")
+        step += 1
+    passed = chain.join(at, ["k", "us"]).select("row", F.lit(True).alias("allowed"))
+    return r.join(passed, "row", "left").select(
+        F.col("k.e").alias(entity), F.col("k.a").alias(action), F.col("t").alias(ts),
+        F.coalesce("allowed", F.lit(False)).alias("allowed"))

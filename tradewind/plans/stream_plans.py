@@ -16,7 +16,9 @@ from tradewind.operators import actions as AC
 from tradewind.operators import alerts as AL
 from tradewind.operators import ml as ML
 from tradewind.plans import ml_plans as MP
+from tradewind.plans.alert_plans import ALERT_CTES, ENTITY_SQL, PARSED_COLS
 from tradewind.plans.catalog import register
+from tradewind.plans.oracle_views import with_views
 from tradewind.session import scratch_dir
 from tradewind.sources.alert_source import raw_alerts
 from tradewind.sources.business import from_testdata
@@ -71,7 +73,7 @@ def _run(query):
         raise RuntimeError(str(query.exception()))
 
 
-@register("alert_stream")
+@register("alert_stream", with_views(f"SELECT {PARSED_COLS} FROM parsed", ALERT_CTES))
 def alert_stream(spark, d):
     """T1 + T2: parse the arriving feed into the alert table and keep the
     bounded newest-500 store; returns the alert table (= batch alert_parse)."""
@@ -115,6 +117,21 @@ def kpi_snapshot(spark, d):
     return MO.read_snapshot(spark, _monitor(spark, d))
 
 
+# The chain of passed requests, followed request by request.
+COOLDOWN_SQL = with_views("""
+SELECT q.entity_id, q.action, q.ts, p.t IS NOT NULL AND q.copy = 1 AS allowed
+FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, action, ts) AS copy FROM req) q
+LEFT JOIN passed p ON p.e = q.entity_id AND p.a = q.action AND p.t = q.ts
+""", ALERT_CTES + f""", req AS (
+  SELECT * FROM (SELECT {ENTITY_SQL} AS entity_id, route AS action, event_time AS ts FROM routed) x WHERE entity_id IS NOT NULL
+), passed(e, a, t) AS (
+  SELECT entity_id, action, min(ts) FROM req GROUP BY entity_id, action
+  UNION ALL
+  SELECT p.e, p.a, min(r.ts) FROM passed p JOIN req r ON r.entity_id = p.e AND r.action = p.a AND r.ts >= p.t + INTERVAL {AC.COOLDOWN_HOURS} HOUR
+  GROUP BY p.e, p.a
+)""").replace("WITH", "WITH RECURSIVE", 1)
+
+
 def cooldown_requests(spark, d):
     """Action requests from the alert feed: (entity, alert class, time)."""
     r = AL.with_entity(AL.with_route(AL.parse_alerts(raw_alerts(spark, d))))
@@ -122,13 +139,13 @@ def cooldown_requests(spark, d):
         "entity_id", F.col("route").alias("action"), F.col("event_time").alias("ts"))
 
 
-@register("action_cooldown")
+@register("action_cooldown", COOLDOWN_SQL)
 def action_cooldown(spark, d):
     """T5 / X7 batch form: greedy 24 h cooldown per (entity, action)."""
     return AC.cooldown(cooldown_requests(spark, d))
 
 
-@register("action_cooldown_stream")
+@register("action_cooldown_stream", COOLDOWN_SQL)
 def action_cooldown_stream(spark, d):
     """T5 / X7 stream form (stateful processor, RocksDB state store)."""
     base = scratch_dir(spark, f"streams/{uuid.uuid4().hex}")
