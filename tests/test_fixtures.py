@@ -25,6 +25,17 @@ def test_bad_time_text_is_null_and_kept(spark):
     assert [r.order_purchase_timestamp for r in out] == [None, None, dt.datetime(2024, 1, 2, 10)]
 
 
+def test_rows_that_differ_in_any_column_stay(spark, tmp_path):
+    text = ('review_id,order_id,review_score,review_comment_message\n'
+            'r1,o1,5,"good\nstuff"\nr2,o1,5,fine\nr1,o1,5,"good\nstuff"\n')
+    (tmp_path / "olist_order_reviews_dataset.csv").write_text(text)
+    tables, _ = IG.ingest(spark, str(tmp_path))
+    got = {(r.review_id, r.review_score, r.review_comment_message) for r in tables["order_reviews"].collect()}
+    assert got == {("r1", 5, "good\nstuff"), ("r2", 5, "fine")} and tables["order_reviews"].count() == 2
+    report = {r.table: (r.status, r.rows) for r in IG.load(spark, str(tmp_path), str(tmp_path / "out")).collect()}
+    assert report["order_reviews"] == ("loaded", 2) and report["geolocation"] == ("missing", None)
+
+
 def test_duplicate_rows_with_null_and_nan(spark):
     rows = [("a", None, float("nan")), ("a", None, float("nan")), ("a", None, None)]
     df = spark.createDataFrame(rows, "k string, x string, y double")

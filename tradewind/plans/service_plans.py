@@ -101,42 +101,82 @@ def retrieve_topk(spark, d):
 # ---------------------------------------------------------------- ingest
 
 
-def _extract_dir(spark, d):
-    """Write the business tables as CSV extracts (the ETL's input files)."""
+# The business tables that the adapter makes, as the ETL's input files; the numeric and
+# time columns of each, which the load checks by their exact sums.
+_EXTRACTS = {
+    "orders": ("b_orders", ["order_purchase_timestamp", "order_delivered_customer_date"]),
+    "order_items": ("b_items", ["order_item_id", "price", "freight_value"]),
+    "order_payments": ("b_payments", ["payment_sequential", "payment_value"]),
+    "order_reviews": ("b_reviews", ["review_score"]),
+    "products": ("b_products", ["product_weight_g"]),
+    "category_translation": ("b_categories", []),
+    "customers": ("b_customers", []),
+    "sellers": ("b_sellers", []),
+}
+
+
+def _frames(spark, d):
     b = from_testdata(spark, d)
-    frames = {"orders": b.orders, "order_items": b.items, "order_payments": b.payments,
-              "order_reviews": b.reviews, "products": b.products, "category_translation": b.translation,
-              "customers": b.customers, "sellers": b.sellers}
+    return {"orders": b.orders, "order_items": b.items, "order_payments": b.payments,
+            "order_reviews": b.reviews, "products": b.products, "category_translation": b.translation,
+            "customers": b.customers, "sellers": b.sellers}
+
+
+def _extract_dir(spark, d, tables):
+    """Write business tables, all their columns, as CSV extracts."""
+    frames = _frames(spark, d)
     out = scratch_dir(spark, f"extracts/{uuid.uuid4().hex}")
-    IG.write_extracts(spark, frames, out)
+    IG.write_extracts(spark, {t: frames[t] for t in tables}, out)
     return out
 
 
-_ITEM_COLS = "order_id, order_item_id, product_id, seller_id, price, freight_value"
 _ORDER_COLS = ("order_id, customer_id, order_status, order_purchase_timestamp, order_approved_at, "
                "order_delivered_carrier_date, order_delivered_customer_date, order_estimated_delivery_date")
-
-
-@register("ingest_tables", with_views(f"SELECT {_ITEM_COLS} FROM b_items"))
+#: The column of each table whose values the checks count.
+_KEYS = {"orders": "customer_id", "order_items": "product_id", "order_payments": "payment_type", "order_reviews": "order_id",
+         "products": "product_id", "category_translation": "product_category_name", "customers": "customer_id",
+         "sellers": "seller_id"}
+_SUMMARY = []
+for _t, (_v, _sums) in _EXTRACTS.items():
+    _key = _KEYS[_t]
+    _nums = [f"CAST(sum({'CAST(' + c + ' AS DECIMAL(18,4))' if not c.endswith(('timestamp', 'date')) else 'CAST(epoch(' + c + ') AS BIGINT)'}) AS DOUBLE)"
+             for c in _sums]
+    _SUMMARY.append(f"SELECT '{_t}' AS \"table\", count(*) AS rows, count({_key}) AS keys, count(DISTINCT {_key}) AS distinct_keys, "
+                    f"{' + '.join(f'coalesce({n}, 0)' for n in _nums) or '0.0'} AS total FROM (SELECT DISTINCT * FROM {_v})")
+
+
+@register("ingest_tables", with_views(" UNION ALL ".join(_SUMMARY)))
 def ingest_tables(spark, d):
-    tables, _ = IG.ingest(spark, _extract_dir(spark, d))
-    return tables["order_items"]
+    """Every table of the catalogue through the whole load; one row of checks a table."""
+    out = None
+    base = scratch_dir(spark, f"ingested/{uuid.uuid4().hex}")
+    IG.load(spark, _extract_dir(spark, d, _EXTRACTS), base)
+    for t, (_, sums) in _EXTRACTS.items():
+        df = spark.read.parquet(f"{base}/{t}")
+        key = _KEYS[t]
+        total = F.lit(0.0)
+        for c in sums:
+            x = (F.unix_seconds(F.col(c).cast("timestamp")) if c.endswith(("timestamp", "date")) else F.col(c).cast("decimal(18,4)"))
+            total = total + F.coalesce(F.sum(x).cast("double"), F.lit(0.0))
+        row = df.agg(F.count("*").alias("rows"), F.count(key).alias("keys"), F.countDistinct(key).alias("distinct_keys"),
+                     total.alias("total")).select(F.lit(t).alias("table"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register("coerce_timestamps", with_views(f"SELECT {_ORDER_COLS} FROM b_orders"))
 def coerce_timestamps(spark, d):
-    tables, _ = IG.ingest(spark, _extract_dir(spark, d), dedup=False)
-    return tables["orders"]
+    tables, _ = IG.ingest(spark, _extract_dir(spark, d, ["orders"]), dedup=False)
+    return tables["orders"].select(*_ORDER_COLS.split(", "))
 
 
 @register("dedup_rows", with_views(f"SELECT DISTINCT {_ORDER_COLS} FROM b_orders"))
 def dedup_rows(spark, d):
     """The same extract loaded twice collapses to one copy of each row."""
-    out = _extract_dir(spark, d)
-    path = f"{out}/olist_orders_dataset.csv"
-    text = IG.read_csv_text(spark, path)
+    out = _extract_dir(spark, d, ["orders"])
+    text = IG.read_csv_text(spark, f"{out}/olist_orders_dataset.csv", "orders")
     twice = IG.coerce(text.unionByName(text), IG.SCHEMAS["orders"])
-    return twice.dropDuplicates()
+    return twice.dropDuplicates().select(*_ORDER_COLS.split(", "))
 
 
 @register("table_sink_roundtrip", with_views(
@@ -151,7 +191,13 @@ def table_sink_roundtrip(spark, d):
     return spark.read.parquet(path)
 
 
-@register("ingest_report")
+_REPORT = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", '{f}' AS file, '{'loaded' if t in _EXTRACTS else 'missing'}' AS status, "
+    + (f"(SELECT count(*) FROM (SELECT DISTINCT * FROM {_EXTRACTS[t][0]}))" if t in _EXTRACTS else "CAST(NULL AS BIGINT)") + " AS rows"
+    for f, t in IG.CATALOGUE.items())
+
+
+@register("ingest_report", with_views(_REPORT))
 def ingest_report(spark, d):
-    tables, rep = IG.ingest(spark, _extract_dir(spark, d))
-    return IG.with_row_counts(spark, tables, rep)
+    """Status and rows of every entry of the catalogue; the test data has no geolocation file."""
+    return IG.load(spark, _extract_dir(spark, d, _EXTRACTS), scratch_dir(spark, f"ingested/{uuid.uuid4().hex}"))

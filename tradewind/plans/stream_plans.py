@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tradewind.operators import actions as AC
 from tradewind.operators import alerts as AL
-from tradewind.operators import ml as ML
 from tradewind.plans import ml_plans as MP
 from tradewind.plans.alert_plans import ALERT_CTES, ENTITY_SQL, PARSED_COLS
 from tradewind.plans.catalog import register
@@ -26,49 +25,32 @@ from tradewind.streaming import alert_stream as AS
 from tradewind.streaming import cooldown as CS
 from tradewind.streaming import monitor as MO
 
-ARRIVAL_FILES = 4
-TIMEOUT_S = 600
+ARRIVALS = 3
+#: Input rows for each partition of a stream's state (fixed when its checkpoint begins).
+ROWS_PER_STATE_PARTITION = 1_000_000
 
 
-def _land(df, path, order_col):
-    """Write rows as a few files, one write per time slice in arrival order,
-    so the file source (which orders files by modification time) replays
-    them in that order."""
-    qs = df.select(F.percentile_approx(order_col, [i / ARRIVAL_FILES for i in range(1, ARRIVAL_FILES)])
-                   ).first()[0]
-    lo = None
-    for hi in list(qs) + [None]:
-        part = df
-        if lo is not None:
-            part = part.where(F.col(order_col) > lo)
-        if hi is not None:
-            part = part.where(F.col(order_col) <= hi)
-        part.coalesce(1).write.mode("append").parquet(path)
-        lo = hi
+def _slices(df, order_col):
+    """The rows cut into ``ARRIVALS`` time slices, in arrival order; rows without a time
+    come with the first."""
+    at = df.select(F.percentile_approx(order_col, [i / ARRIVALS for i in range(1, ARRIVALS)])).first()[0] or []
+    c = F.col(order_col)
+    bounds = [None, *at, None]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        after = (c > lo) if lo is not None else F.lit(True)
+        until = (c <= hi) if hi is not None else F.lit(True)
+        yield df.where((after & until) | c.isNull() if lo is None else after & until)
 
 
-from contextlib import contextmanager
-
-
-@contextmanager
-def state_partitions(spark):
-    """State-store partitions of a new streaming query: the configured
-    shuffle width, but not more than two per task slot (fixed for the life
-    of the query's checkpoint, so sized when the query first starts)."""
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(old), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
+def _arrive(df, order_col, path, start):
+    """Land one slice after the other and let the stream (same checkpoint) take each as it comes."""
+    for part in _slices(df, order_col):
+        part.write.mode("append").parquet(path)
+        _run(start())
 
 
 def _run(query):
-    query.awaitTermination(TIMEOUT_S)
-    if query.isActive:
-        query.stop()
-        raise TimeoutError("streaming query did not finish")
+    query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
 
@@ -78,37 +60,29 @@ def alert_stream(spark, d):
     """T1 + T2: parse the arriving feed into the alert table and keep the
     bounded newest-500 store; returns the alert table (= batch alert_parse)."""
     base = scratch_dir(spark, f"streams/{uuid.uuid4().hex}")
-    _land(raw_alerts(spark, d), f"{base}/in", "seq")
-    stream = AS.read_alert_stream(spark, f"{base}/in")
-    with state_partitions(spark):
+    for part in _slices(raw_alerts(spark, d), "seq"):
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = AS.read_alert_stream(spark, f"{base}/in", files_per_trigger=1000)
         _run(AS.start_parse_sink(stream, f"{base}/alerts", f"{base}/ckpt_alerts"))
-        _run(AS.start_bounded_store(AS.read_alert_stream(spark, f"{base}/in"), f"{base}/store",
-                                    f"{base}/ckpt_store"))
+        _run(AS.start_bounded_store(stream, f"{base}/store", f"{base}/ckpt_store"))
     return spark.read.parquet(f"{base}/alerts")
 
 
 def _monitor(spark, d):
     base = scratch_dir(spark, f"streams/{uuid.uuid4().hex}")
-    model, _ = MP.risk_model(spark, d)
     b = from_testdata(spark, d)
-    feats = (ML.open_order_features(b).join(b.orders_nodates.select("order_id", "order_purchase_timestamp"),
-                                            "order_id")
-             .withColumnRenamed("order_purchase_timestamp", "event_time"))
-    _land(feats, f"{base}/in", "event_time")
-    stream = (spark.readStream.schema(spark.read.parquet(f"{base}/in").schema)
-              .option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
-    scored = model.transform(stream.withColumn("payment_type", ML.known_payment(model))) \
-        .select("order_id", "event_time", (ML.prob1() * 100.0).alias("risk_score"))
-    churn = MP.scored_customers(spark, d).where(F.col("churn_prob") > MP.CHURN_ALERT).count()
-    with state_partitions(spark):
-        _run(MO.start_monitor(scored, churn, f"{base}/snapshot", f"{base}/ckpt"))
+    orders = (b.orders_nodates.where(F.col("order_status").isin("processing", "shipped"))
+              .select("order_id", F.col("order_purchase_timestamp").alias("event_time")))
+    _arrive(orders, "event_time", f"{base}/in", lambda: MO.start_monitor(
+        spark.readStream.schema("order_id string, event_time timestamp_ntz").parquet(f"{base}/in"),
+        lambda: MP.monitor_counts(spark, d), f"{base}/snapshot", f"{base}/ckpt"))
     return f"{base}/snapshot"
 
 
 @register("monitor_stream")
 def monitor_stream(spark, d):
     """Counts published by the micro-batch monitor (raw snapshot text)."""
-    return spark.read.text(_monitor(spark, d))
+    return spark.read.text(AS.latest_generation(spark, _monitor(spark, d)))
 
 
 @register("kpi_snapshot")
@@ -149,12 +123,15 @@ def action_cooldown(spark, d):
 def action_cooldown_stream(spark, d):
     """T5 / X7 stream form (stateful processor, RocksDB state store)."""
     base = scratch_dir(spark, f"streams/{uuid.uuid4().hex}")
-    _land(cooldown_requests(spark, d), f"{base}/in", "ts")
-    stream = (spark.readStream.schema("entity_id string, action string, ts timestamp_ntz")
-              .option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
-    with state_partitions(spark):
-        q = (CS.cooldown_stream(stream).writeStream.format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/ckpt").outputMode("append")
-             .trigger(availableNow=True).start())
-        _run(q)
+    requests = cooldown_requests(spark, d)
+    own = spark.newSession()  # the stream's settings are its own
+    own.conf.set("spark.sql.shuffle.partitions", max(
+        spark.sparkContext.defaultParallelism, -(-requests.count() // ROWS_PER_STATE_PARTITION)))
+
+    def start():
+        stream = own.readStream.schema("entity_id string, action string, ts timestamp_ntz").parquet(f"{base}/in")
+        return (CS.cooldown_stream(stream).writeStream.format("parquet").option("path", f"{base}/out")
+                .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
+
+    _arrive(requests, "ts", f"{base}/in", start)
     return spark.read.parquet(f"{base}/out")

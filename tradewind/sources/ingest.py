@@ -1,9 +1,9 @@
 """Catalogue-driven CSV ingest (the reference's ETL step).
 
 For each catalogue entry (file name -> table name): check the file exists,
-read it as text with a header, turn pandas' NA words into null, cast every
-column to its declared type with ``try_cast`` (bad text -> null, the row is
-kept), drop whole-row duplicates and write the table. A load report row
+read it as text with a header, turn pandas' NA words into null, cast the
+columns of known type with ``try_cast`` (bad text -> null, the row is kept; all
+other columns stay, as text), drop whole-row duplicates and write the table. A load report row
 records status and row count per entry.
 """
 
@@ -66,24 +66,28 @@ def file_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+#: Tables with free text, whose quoted fields may hold line breaks. Only these are read
+#: a file at a time; the others are split like any text.
+FREE_TEXT = {"order_reviews"}
+
+
+def read_csv_text(spark: SparkSession, path: str, table: str = "") -> DataFrame:
+    return (spark.read.option("header", True).option("multiLine", table in FREE_TEXT).option("escape", '"')
             .option("inferSchema", False).csv(path))
 
 
 def coerce(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Declared columns via try_cast after NA words -> null; unknown columns
-    dropped, missing ones filled with typed nulls."""
+    """Every column of the file: those of known type via try_cast after NA words ->
+    null, the others as text after NA words -> null. Declared columns that the file
+    lacks are filled with typed nulls."""
+    declared = {f.name: f.dataType for f in schema.fields}
     cols = []
-    present = set(df.columns)
-    for f in schema.fields:
-        if f.name in present:
-            txt = F.when(F.col(f.name).isin(*NA_WORDS), None).otherwise(F.col(f.name))
-            cols.append(txt.try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType)
-                        else txt.alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols) if cols else df
+    for name in df.columns:
+        txt = F.when(F.col(f"`{name}`").isin(*NA_WORDS), None).otherwise(F.col(f"`{name}`"))
+        kind = declared.get(name, T.StringType())
+        cols.append((txt if isinstance(kind, T.StringType) else txt.try_cast(kind)).alias(name))
+    cols += [F.lit(None).cast(t).alias(n) for n, t in declared.items() if n not in df.columns]
+    return df.select(*cols)
 
 
 def ingest(spark: SparkSession, data_dir: str, catalogue: dict[str, str] = CATALOGUE,
@@ -95,7 +99,7 @@ def ingest(spark: SparkSession, data_dir: str, catalogue: dict[str, str] = CATAL
         if not file_exists(spark, path):
             report.append((table, file_name, "missing", None))
             continue
-        df = coerce(read_csv_text(spark, path), SCHEMAS.get(table, T.StructType([])))
+        df = coerce(read_csv_text(spark, path, table), SCHEMAS.get(table, T.StructType([])))
         if dedup:
             df = df.dropDuplicates()
         tables[table] = df
@@ -116,11 +120,21 @@ def with_row_counts(spark: SparkSession, tables: dict[str, DataFrame], report: D
                   .select("table", "file", "status", "rows"))
 
 
+def load(spark: SparkSession, data_dir: str, out_dir: str, catalogue: dict[str, str] = CATALOGUE) -> DataFrame:
+    """The whole ETL: every file of the catalogue coerced, de-duplicated and written as
+    the table it names (full replace); the report has the rows of each written table."""
+    tables, report = ingest(spark, data_dir, catalogue)
+    written = {}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
+        written[name] = spark.read.parquet(f"{out_dir}/{name}")
+    return with_row_counts(spark, written, report)
+
+
 def write_extracts(spark: SparkSession, frames: dict[str, DataFrame], out_dir: str,
                    catalogue: dict[str, str] = CATALOGUE) -> None:
     """Write business tables as header CSV files named like the catalogue."""
     by_table = {t: f for f, t in catalogue.items()}
     for table, df in frames.items():
-        cols = [f.name for f in SCHEMAS[table].fields]
-        (df.select(*cols).write.mode("overwrite").option("header", True)
+        (df.write.mode("overwrite").option("header", True)
            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{out_dir}/{by_table[table]}"))

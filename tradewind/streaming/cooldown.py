@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -36,16 +37,16 @@ def make_processor(hours: int = COOLDOWN_HOURS) -> StatefulProcessor:
             self.last = handle.getValueState("last_passed_us", StructType([StructField("us", LongType())]))
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            pdf = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
+            pdf = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable", na_position="last")
             last = self.last.get()[0] if self.last.exists() else None
-            us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            allowed = []
-            for v in us:
-                if last is None or v - last >= self.limit_us:
-                    allowed.append(True)
-                    last = int(v)
-                else:
-                    allowed.append(False)
+            timed = pdf["ts"].notna().to_numpy()
+            us = pdf["ts"][timed].astype("datetime64[us]").astype("int64").to_numpy()
+            allowed, at = np.zeros(len(pdf), bool), 0
+            while at < len(us):  # from one passed request to the next, by search
+                if last is not None:
+                    at = int(np.searchsorted(us, last + self.limit_us))
+                if at < len(us):
+                    allowed[at], last = True, int(us[at])
             if last is not None:
                 self.last.update((last,))
             yield pd.DataFrame({"entity_id": pdf["entity_id"].astype(str), "action": pdf["action"].astype(str),

@@ -1,40 +1,43 @@
 """The periodic monitor (scan, count, publish) as a micro-batch stream.
 
-Each trigger scores the open orders that arrived, keeps running counts in
-Spark's state store (a streaming aggregation, update mode), and publishes a
-one-row KPI snapshot from ``foreachBatch`` (last value wins, T4). The
-reference's UI says the monitor refreshes every 10 seconds; that is the
-processing-time trigger here, tests use ``availableNow``.
+Each trigger scans the open orders and customers anew, as the reference's
+monitor does, so the counts also fall when orders close, and publishes a
+one-row KPI snapshot (last value wins, T4). Snapshots are generations numbered
+by epoch: a reader sees the newest complete one, a retried trigger finds its
+own in place. The reference's UI says the monitor refreshes every 10 seconds;
+that is the processing-time trigger here, tests use ``availableNow``.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind.streaming.alert_stream import complete_generations, delete_generation, generation_path, latest_generation
+
 SNAPSHOT_SCHEMA = "risk_count long, churn_count long, scan_time string"
 TRIGGER = "10 seconds"
 
 
-def start_monitor(scored_orders: DataFrame, churn_count: int, snapshot_dir: str, checkpoint: str,
-                  risk_threshold: float = 70.0, available_now: bool = True):
-    """``scored_orders`` is a streaming DataFrame with ``risk_score`` and
-    ``event_time``. ``churn_count`` comes from the batch customer scan."""
-    counts = scored_orders.groupBy().agg(
-        F.count_if(F.col("risk_score") > risk_threshold).alias("risk_count"),
-        F.max("event_time").alias("last_event"))
+def start_monitor(arrivals: DataFrame, scan: Callable[[], DataFrame], snapshot_dir: str, checkpoint: str,
+                  available_now: bool = True):
+    """``arrivals`` is a streaming DataFrame with ``event_time``; ``scan()`` gives one row
+    (risk_count, churn_count) over what the tables hold at that moment."""
+    spark = arrivals.sparkSession
 
     def publish(batch: DataFrame, epoch_id: int) -> None:
-        snap = batch.select(
-            F.to_json(F.struct(F.col("risk_count"), F.lit(churn_count).cast("long").alias("churn_count"),
-                               F.date_format(F.col("last_event") + F.expr("INTERVAL 7 HOURS"), "HH:mm:ss")
-                               .alias("scan_time"))).alias("value"))
-        snap.coalesce(1).write.mode("overwrite").text(snapshot_dir)
-
-    w = (counts.writeStream.outputMode("update").foreachBatch(publish)
-         .option("checkpointLocation", checkpoint))
+        done = complete_generations(spark, snapshot_dir)
+        if epoch_id in done:
+            return
+        last = batch.agg(F.date_format(F.max("event_time") + F.expr("INTERVAL 7 HOURS"), "HH:mm:ss")).first()[0]
+        snap = scan().select(F.to_json(F.struct("risk_count", "churn_count", F.lit(last).alias("scan_time"))).alias("value"))
+        snap.write.mode("overwrite").text(generation_path(snapshot_dir, epoch_id))
+        for g in [g for g in done if g < epoch_id][:-1]:
+            delete_generation(spark, snapshot_dir, g)
+
+    w = arrivals.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=TRIGGER)
     return w.start()
 
@@ -45,11 +48,8 @@ SNAPSHOT_DEFAULTS = {"risk_count": 0, "churn_count": 0, "scan_time": ""}
 
 
 def read_snapshot(spark: SparkSession, snapshot_dir: str) -> DataFrame:
-    """Parse the snapshot text; missing fields take the defaults."""
-    raw = spark.read.text(snapshot_dir)
+    """The newest snapshot; missing fields, or no snapshot at all, take the defaults."""
+    path = latest_generation(spark, snapshot_dir)
+    raw = spark.read.text(path) if path else spark.range(1).select(F.lit("{}").alias("value"))
     p = raw.select(F.from_json("value", SNAPSHOT_SCHEMA).alias("k"))
     return p.select(*[F.coalesce(F.col(f"k.{k}"), F.lit(v)).alias(k) for k, v in SNAPSHOT_DEFAULTS.items()])
-
-
-def defaults_json() -> str:
-    return json.dumps(SNAPSHOT_DEFAULTS)
