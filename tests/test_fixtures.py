@@ -224,6 +224,27 @@ def test_alert_parse_skip_rules(spark):
     assert kept == [0, 4, 6]
 
 
+def test_alert_rules_equal_a_plain_reader(spark):
+    """Arrays, objects and repeated keys, against Python's own JSON reader."""
+    texts = ['{"message": ["[CHURN]", 5]}', '{"message": ["a [CHURN]"]}', '{"message": {"Seller": 1}}', '{"message": {"x": "Seller"}}',
+             '{"message": "Seller a", "message": "none"}', '{"message": 1, "message": "Kh\u00e1ch `c1`"}',
+             '{"message": "x", "message": null}', '{"message": true}', '{"message": ["Seller", "Kh\u00e1ch"], "order_id": 7}',
+             '{"order_id": "o1", "message": null}', '{"order_id": "o2", "order_id": "o3"}', '{"message": ""} ', "{'message': 'x'}", '{"a": ']
+    want, orders = {}, {}
+    for i, t in enumerate(texts):
+        try:
+            alert = json.loads(t)
+            if "order_id" in alert:
+                orders[i] = str(alert["order_id"])
+            msg = alert.get("message", "")
+            want[i] = "churn" if "[CHURN]" in msg or "Khách" in msg else "seller" if "Seller" in msg else "delivery"
+        except Exception:
+            continue
+    raw = _raw(spark, texts)
+    assert {r.seq: r.route for r in AL.with_route(AL.parse_alerts(raw)).collect()} == want
+    assert {r.seq: r.order_id for r in AL.feed_order_ids(raw).collect()} == orders
+
+
 def test_alert_route(spark):
     msgs = ["[CHURN] x", "Khách `ab-1_x` đi", "Seller 9f", "[CEO ACTION] Đơn `o1` / Seller `s1`", "other"]
     raw = _raw(spark, [json.dumps({"message": m}) for m in msgs])

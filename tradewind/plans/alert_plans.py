@@ -24,7 +24,7 @@ from tradewind.sources.business import Biz, from_testdata
 # ---------------------------------------------------------------- SQL pieces
 
 VALID_SQL = ("CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' AND "
-             "coalesce(json_type(raw, '$.message'), 'VARCHAR') = 'VARCHAR' ELSE false END")
+             "coalesce(json_type(raw, '$.message'), 'VARCHAR') IN ('VARCHAR', 'ARRAY', 'OBJECT') ELSE false END")
 
 
 def parsed_sql(src: str) -> str:
@@ -35,19 +35,25 @@ def parsed_sql(src: str) -> str:
          TRY_CAST({g('$.risk_score')} AS DOUBLE) AS risk_score,
          coalesce({g('$.type')}, 'warning') AS type,
          coalesce({g('$.message')}, '') AS message,
-         coalesce({g('$.timestamp')}, '') AS "timestamp"
+         coalesce({g('$.timestamp')}, '') AS "timestamp",
+         CASE WHEN json_valid(raw) THEN CASE json_type(raw, '$.message') WHEN 'ARRAY' THEN json_extract_string(raw, '$.message[*]')
+              WHEN 'OBJECT' THEN json_keys(raw, '$.message') END END AS words
   FROM {src} WHERE {VALID_SQL}"""
 
 
-ROUTE_SQL = (f"CASE WHEN contains(message, '[CHURN]') OR contains(message, '{CUSTOMER_WORD}') THEN 'churn' "
-             f"WHEN contains(message, '{SELLER_WORD}') THEN 'seller' ELSE 'delivery' END")
+def _has(word: str) -> str:
+    return f"CASE WHEN words IS NULL THEN contains(message, '{word}') ELSE list_contains(words, '{word}') END"
+
+
+ROUTE_SQL = (f"CASE WHEN {_has('[CHURN]')} OR {_has(CUSTOMER_WORD)} THEN 'churn' "
+             f"WHEN {_has(SELLER_WORD)} THEN 'seller' ELSE 'delivery' END")
 
 
 def _rx(word):
     return f"NULLIF(regexp_extract(message, '{entity_pattern(word)}', 1), '')"
 
 
-ENTITY_SQL = (f"CASE WHEN route = 'churn' AND contains(message, '{CUSTOMER_WORD}') THEN {_rx(CUSTOMER_WORD)} "
+ENTITY_SQL = (f"CASE WHEN words IS NOT NULL THEN NULL WHEN route = 'churn' AND contains(message, '{CUSTOMER_WORD}') THEN {_rx(CUSTOMER_WORD)} "
               f"WHEN route = 'seller' AND contains(message, '{SELLER_WORD}') THEN {_rx(SELLER_WORD)} "
               f"WHEN route = 'delivery' AND contains(message, '{ORDER_WORD}') THEN {_rx(ORDER_WORD)} END")
 
@@ -73,7 +79,7 @@ def _routed(spark, d):
 
 @register("alert_parse", with_views(f"SELECT {PARSED_COLS} FROM parsed", ALERT_CTES))
 def alert_parse(spark, d):
-    return _parsed(spark, d)
+    return _parsed(spark, d).select(AL.ALERT_COLUMNS)
 
 
 @register("alert_route", with_views("SELECT seq, route FROM routed", ALERT_CTES))
@@ -94,7 +100,7 @@ def alert_counts(spark, d):
 
 @register("alert_latest_500", with_views(f"SELECT {PARSED_COLS} FROM pnew", ALERT_CTES))
 def alert_latest_500(spark, d):
-    return AL.parse_alerts(AL.newest_raw(raw_alerts(spark, d)))
+    return AL.parse_alerts(AL.newest_raw(raw_alerts(spark, d))).select(AL.ALERT_COLUMNS)
 
 
 @register("alert_top10_per_route", with_views(f"""
@@ -114,8 +120,9 @@ def alert_append_trim(spark, d):
     from tradewind.sources.sinks import append_and_trim
     raw = raw_alerts(spark, d)
     cut = raw.select(F.percentile_approx("seq", 0.5)).first()[0]
+    later = F.coalesce(F.col("seq") > cut, F.lit(False))  # a row without a number is older than all
     path = scratch_dir(spark, f"alert_store/{uuid.uuid4().hex}")
-    return append_and_trim(spark, path, raw.where(F.col("seq") <= cut), raw.where(F.col("seq") > cut),
+    return append_and_trim(spark, path, raw.where(~later), raw.where(later),
                            AL.FEED_LIMIT).select("seq", "raw")
 
 
@@ -123,8 +130,7 @@ def alert_append_trim(spark, d):
 
 
 def focus_orders(b: Biz, spark, d) -> DataFrame:
-    pnew = AL.parse_alerts(AL.newest_raw(raw_alerts(spark, d)))
-    a = AL.alert_order_ids(pnew)
+    a = AL.alert_order_ids(AL.newest_raw(raw_alerts(spark, d)))
     need = AL.needed(a)
     wh = RP.newest_orders(b, need + 10, RP.OPEN_STATUSES, with_pos=True) if need else None
     return AL.focus_list(a, _positions(wh, "order_id", 12, a), AL.FALLBACK_ORDER_ID)
@@ -168,21 +174,23 @@ flist AS (SELECT * FROM flist0 UNION ALL SELECT 1, '{fallback}' WHERE NOT EXISTS
 
 
 FOCUS_ORDERS_CTES = ALERT_CTES + _focus_sql(
-    "SELECT substr(order_id, 1, 12) AS id, -seq AS pos FROM pnew WHERE order_id IS NOT NULL",
+    """SELECT substr(order_id, 1, 12) AS id, -seq AS pos FROM (
+         SELECT seq, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN json_extract_string(raw, '$.order_id') END AS order_id
+         FROM newest) o WHERE order_id IS NOT NULL""",
     """SELECT substr(order_id, 1, 12) AS id,
               row_number() OVER (ORDER BY order_purchase_timestamp DESC NULLS FIRST, order_id, order_id) AS pos
        FROM b_orders_base WHERE order_status IN ('processing', 'shipped')""", 10, AL.FALLBACK_ORDER_ID)
 
 FOCUS_CUSTOMERS_CTES = ALERT_CTES + _focus_sql(
     f"""SELECT substr({_rx(CUSTOMER_WORD)}, 1, 12) AS id, -seq AS pos FROM pnew
-        WHERE contains(message, '[CHURN]') OR contains(message, '{CUSTOMER_WORD}')""",
+        WHERE words IS NULL AND (contains(message, '[CHURN]') OR contains(message, '{CUSTOMER_WORD}'))""",
     """SELECT substr(customer_id, 1, 12) AS id,
               row_number() OVER (ORDER BY order_purchase_timestamp DESC NULLS FIRST, order_id, customer_id) AS pos
        FROM b_orders_base""", 20, AL.FALLBACK_CUSTOMER_ID)
 
 FOCUS_SELLERS_CTES = ALERT_CTES + _focus_sql(
     f"""SELECT substr({_rx(SELLER_WORD)}, 1, 8) AS id, -seq AS pos FROM pnew
-        WHERE contains(message, '{SELLER_WORD}')""",
+        WHERE words IS NULL AND contains(message, '{SELLER_WORD}')""",
     """SELECT substr(i.seller_id, 1, 8) AS id,
               row_number() OVER (ORDER BY o.order_purchase_timestamp DESC NULLS FIRST, i.order_id,
                                  i.order_item_id, i.product_id, i.seller_id) AS pos

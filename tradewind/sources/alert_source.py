@@ -54,7 +54,7 @@ def raw_alerts(spark: SparkSession, d: str) -> DataFrame:
     ``events`` once per process and data folder, written as parquet under
     the shared checkpoint folder, and read back by every alert query.
     """
-    key = (id(spark.sparkContext), d)
+    key = (spark.sparkContext.applicationId, d)
     with _LOCK:
         path = _land_feed(spark, d, key)
     return spark.read.parquet(path)
@@ -111,10 +111,12 @@ def build_raw_alerts(spark: SparkSession, d: str) -> DataFrame:
                  ("message", q(F.concat(L(MSG_ACTION[0]), L("LOCK_SELLER"), L(MSG_ACTION[1]), oid,
                                         L(MSG_ACTION[2]), sid, L(MSG_ACTION[3])))),
                  ("timestamp", q(clock)))
-    k = eid % 4
+    k = eid % 6
     error = (F.when(k == 0, obj(("order_id", q(oid)), ("type", q(L("warning"))), ("timestamp", q(clock))))
               .when(k == 1, obj(("order_id", q(oid)), ("message", L("null"))))
               .when(k == 2, obj(("message", L("42"))))
+              .when(k == 3, obj(("order_id", q(oid)), ("message", L('["[CHURN]",5]'))))
+              .when(k == 4, obj(("order_id", q(oid)), ("message", L('{"Seller":"x"}'))))
               .otherwise(obj(("type", q(L("warning"))), ("message", q(L(MSG_WEATHER))),
                              ("timestamp", q(clock)))))
     et = F.col("event_type")
@@ -161,9 +163,11 @@ def raw_alerts_sql() -> str:
                  ("message", q(f"{lit(MSG_ACTION[0])} || 'LOCK_SELLER' || {lit(MSG_ACTION[1])} || {oid} || "
                                f"{lit(MSG_ACTION[2])} || {sid} || {lit(MSG_ACTION[3])}")),
                  ("timestamp", q(clock)))
-    error = (f"CASE WHEN event_id % 4 = 0 THEN {obj(('order_id', q(oid)), ('type', q(lit('warning'))), ('timestamp', q(clock)))} "
-             f"WHEN event_id % 4 = 1 THEN {obj(('order_id', q(oid)), ('message', lit('null')))} "
-             f"WHEN event_id % 4 = 2 THEN {obj(('message', lit('42')))} "
+    error = (f"CASE WHEN event_id % 6 = 0 THEN {obj(('order_id', q(oid)), ('type', q(lit('warning'))), ('timestamp', q(clock)))} "
+             f"WHEN event_id % 6 = 1 THEN {obj(('order_id', q(oid)), ('message', lit('null')))} "
+             f"WHEN event_id % 6 = 2 THEN {obj(('message', lit('42')))} "
+             f"WHEN event_id % 6 = 3 THEN {obj(('order_id', q(oid)), ('message', lit('["[CHURN]",5]')))} "
+             f"WHEN event_id % 6 = 4 THEN {obj(('order_id', q(oid)), ('message', lit('{"Seller":"x"}')))} "
              f"ELSE {obj(('type', q(lit('warning'))), ('message', q(lit(MSG_WEATHER))), ('timestamp', q(clock)))} END")
     raw = (f"CASE WHEN event_id % {MALFORMED_EVERY} = 0 THEN 'oops{{' || CAST(event_id AS VARCHAR) "
            f"WHEN event_type = 'purchase' THEN {delivery} WHEN event_type = 'view' THEN {churn} "

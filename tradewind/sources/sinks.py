@@ -26,7 +26,7 @@ def append_and_trim(spark: SparkSession, path: str, existing: DataFrame, new: Da
     write_table(existing, f"{path}/gen0", "overwrite")
     write_table(new, f"{path}/gen0", "append")
     store = spark.read.parquet(f"{path}/gen0")
-    write_table(store.orderBy(F.col(order_col).desc()).limit(keep), f"{path}/gen1", "overwrite")
+    write_table(store.orderBy(F.col(order_col).desc_nulls_last()).limit(keep), f"{path}/gen1", "overwrite")
     return spark.read.parquet(f"{path}/gen1")
 
 

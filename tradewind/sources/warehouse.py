@@ -35,8 +35,9 @@ _BUILT: dict = {}
 _LOCK = threading.RLock()  # one load per data folder, even with concurrent callers
 
 
-def _names(d: str) -> dict[str, str]:
-    tag = hashlib.sha1(d.encode()).hexdigest()[:10]
+def _names(spark: SparkSession, d: str) -> dict[str, str]:
+    # Another application on the same catalogue loads tables of its own.
+    tag = hashlib.sha1(f"{spark.sparkContext.applicationId} {d}".encode()).hexdigest()[:10]
     return {t: f"tw_{tag}_{t}" for t in A.VIEWS}
 
 
@@ -45,14 +46,12 @@ BYTES_PER_BUCKET = 128 * 1024 * 1024
 
 def bucket_count(spark: SparkSession, d: str) -> int:
     """About 128 MiB of the largest fact table (line items) per bucket, at
-    least one bucket per task slot, at most the shuffle partition count."""
+    least one bucket per task slot; the data alone sets the number."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(f"{d.rstrip('/')}/lineitem.parquet")
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     size = fs.getContentSummary(p).getLength() if fs.exists(p) else 0
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    want = max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_BUCKET))
-    return max(1, min(cap, want))
+    return max(1, spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_BUCKET))
 
 
 def build(spark: SparkSession, d: str, buckets: int | None = None) -> dict[str, str]:
@@ -62,12 +61,12 @@ def build(spark: SparkSession, d: str, buckets: int | None = None) -> dict[str,
 
 
 def _build(spark: SparkSession, d: str, buckets: int | None = None) -> dict[str, str]:
-    key = (id(spark.sparkContext), d)
+    key = (spark.sparkContext.applicationId, d)
     if key in _BUILT and all(spark.catalog.tableExists(n) for n in _BUILT[key].values()):
         return _BUILT[key]
     buckets = buckets or bucket_count(spark, d)
     base = scratch_dir(spark, f"warehouse/{uuid.uuid4().hex}")
-    names = _names(d)
+    names = _names(spark, d)
 
     def write(table: str) -> None:
         df = A.VIEWS[table](spark, d)

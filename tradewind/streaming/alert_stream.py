@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.operators.alerts import FEED_LIMIT, parse_alerts
+from tradewind.operators.alerts import ALERT_COLUMNS, FEED_LIMIT, parse_alerts
 
 RAW_SCHEMA = "seq long, event_time timestamp_ntz, raw string"
 
@@ -25,7 +25,7 @@ def read_alert_stream(spark: SparkSession, in_dir: str, files_per_trigger: int =
 
 def start_parse_sink(stream: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):
     """Append parsed alerts to a parquet table (exactly-once file sink)."""
-    w = (parse_alerts(stream).writeStream.format("parquet").option("path", out_dir)
+    w = (parse_alerts(stream).select(ALERT_COLUMNS).writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
