@@ -37,4 +37,5 @@ def load_all() -> None:
         service_plans,
         ml_plans,
         stream_plans,
+        check_plans,
     )
