@@ -161,7 +161,7 @@ def _matches(suffixes: DataFrame, order: list[str], partitions: int) -> DataFram
     first = materialize(first, "neighbours")
     # A few rows for each partition, whatever the partitions hold.
     ends = first.where("edge").select("g", "before", "after", "room_left", "room_right", "node", "pos")
-    second = ends.coalesce(1).sortWithinPartitions(*keys).mapInArrow(_neighbours(False), _SPAN)
+    second = ends.repartition(1).sortWithinPartitions(*keys).mapInArrow(_neighbours(False), _SPAN)
     return first.where("NOT edge").select("node", "pos", "left", "right", "partner").unionByName(second)
 
 
@@ -179,6 +179,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     one = signed.join(texts.select("text_key", F.col("node").alias("id")), ["text_key", "id"])
     kept_at = one.select(F.col("id").alias("node"), F.explode(F.arrays_zip("g", "pos")).alias("m")).select("node", "m.g", "m.pos")
     shared = kept_at.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("g")
+    # Written first, so that the join has plain exchanges on both sides and a hot shingle is split.
+    shared = materialize(shared, "shared-shingles")
     going = materialize(kept_at.join(shared, "g"), "shared-minimisers")
 
     # Contexts, from the text of one document for each text.
