@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SECONDS_PER_DAY = 86400
 MICROS_PER_DAY = 86400 * 1000 * 1000
 
 
@@ -22,8 +21,8 @@ def _c(x):
 
 
 def floor_days(end, start) -> Column:
-    secs = F.timestamp_diff("SECOND", _c(start), _c(end))
-    return F.floor(secs / F.lit(SECONDS_PER_DAY))
+    micros = F.timestamp_diff("MICROSECOND", _c(start), _c(end))
+    return F.floor(micros / F.lit(float(MICROS_PER_DAY)))
 
 
 def trunc_days(end, start) -> Column:
@@ -53,8 +52,3 @@ def month_label(ts) -> Column:
 def month_label_text(ts) -> Column:
     """``SUBSTRING(ts, 1, 7)`` on the text form of a timestamp."""
     return F.substring(_c(ts).cast("string"), 1, 7)
-
-
-def local_clock(ts, offset_hours: int = 7, fmt: str = "HH:mm:ss") -> Column:
-    """Wall-clock text in a fixed UTC offset (the reference uses UTC+7)."""
-    return F.date_format(_c(ts) + F.make_dt_interval(F.lit(0), F.lit(offset_hours)), fmt)

@@ -16,10 +16,6 @@ BAND_HIGH = 70.0
 BAND_MEDIUM = 40.0
 BULKY_KG = 15.0
 
-CHURN_RULE_CODES = ["rule1_vip", "rule2_comeback", "rule3_survey", "rule4_missyou",
-                    "rule5_refund", "rule6_suggest", "rule7_review"]
-SELLER_RULE_CODES = ["rule1_toxic", "rule2_price", "rule3_return", "rule4_rating",
-                     "rule5_star", "rule6_newbie"]
 STAR_WITHHELD = "rule5_star_withheld"
 STAR_CLUSTERS = (0, 3)
 

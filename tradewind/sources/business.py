@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.sources import adapter as A
 
 
 @dataclass
@@ -34,18 +33,3 @@ def from_testdata(spark: SparkSession, d: str) -> Biz:
     """Business tables for a test-data folder, from the warehouse load."""
     from tradewind.sources import warehouse
     return warehouse.load(spark, d)
-
-
-def lazy_views(spark: SparkSession, d: str) -> Biz:
-    """The same tables as lazy views over the driver tables (no load)."""
-    return Biz(
-        orders=A.orders(spark, d),
-        items=A.order_items(spark, d),
-        payments=A.order_payments(spark, d),
-        reviews=A.order_reviews(spark, d),
-        products=A.products(spark, d),
-        translation=A.category_translation(spark, d),
-        customers=A.customers(spark, d),
-        sellers=A.sellers(spark, d),
-        orders_base=A.orders(spark, d, with_delivery=False),
-    )
