@@ -376,7 +376,7 @@ def _sql_lit(s):
     return "'" + s.replace("'", "''") + "'"
 
 
-@register("action_event", with_views(f"""
+ACTION_EVENT_SQL = f"""
 SELECT order_id, seller_id, action, severity, CAST(x AS DOUBLE) / CAST(10.0 AS DOUBLE) AS risk_score,
        strftime(decided_at + INTERVAL 7 HOUR, '%H:%M:%S') AS "timestamp",
        '{{"order_id": "' || order_id || '", "risk_score": ' || CAST(x // 10 AS VARCHAR) || '.' ||
@@ -396,11 +396,38 @@ FROM (
                  row_number() OVER (PARTITION BY order_id ORDER BY order_item_id, product_id, seller_id) AS rn
           FROM b_items) t WHERE rn = 1) fs ON o.order_id = fs.order_id
   WHERE o.x >= 700) d
-"""))
+"""
+
+
+@register("action_event", with_views(ACTION_EVENT_SQL))
 def action_event(spark, d):
     return AC.action_events(decisions(from_testdata(spark, d)))
 
 
+@register("action_writeback", with_views(f"""
+SELECT seq, raw FROM (
+  SELECT seq, raw FROM raw UNION ALL
+  SELECT (SELECT max(seq) FROM raw) + row_number() OVER (ORDER BY order_id), payload FROM ev) f
+ORDER BY seq DESC LIMIT {AL.FEED_LIMIT}
+""", ALERT_CTES + f", ev AS ({ACTION_EVENT_SQL})"))
+def action_writeback(spark, d):
+    """The events of confirmed actions are appended to the event table, one
+    partition a channel, read back, and pushed in the order of their ids at the head of
+    the feed, which is trimmed. Only the newest events can stay, so only those are numbered."""
+    from pyspark.sql import Window
+
+    from tradewind.sources.sinks import append_and_trim
+    base = scratch_dir(spark, f"events/{uuid.uuid4().hex}")
+    AC.action_events(decisions(from_testdata(spark, d))).write.mode("append").partitionBy("channel").parquet(f"{base}/table")
+    events = spark.read.parquet(f"{base}/table").where(F.col("channel") == AC.CHANNEL)
+    feed = raw_alerts(spark, d).select("seq", "raw")
+    last = (feed.agg(F.max("seq")).first()[0] or 0) + events.count()
+    newest = events.orderBy(F.col("order_id").desc()).limit(AL.FEED_LIMIT)
+    pushed = newest.select((F.lit(last + 1) - F.row_number().over(Window.orderBy(F.col("order_id").desc()))).alias("seq"),
+                           F.col("payload").alias("raw"))
+    return append_and_trim(spark, f"{base}/feed", feed, pushed, AL.FEED_LIMIT)
+
+
 _CHURN_RULES_BODY = RP.CHURN_RULES_BODY
 _SELLER_RULES_BODY = RP.SELLER_RULES_BODY
 
