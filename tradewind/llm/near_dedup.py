@@ -95,10 +95,11 @@ def _signatures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands"])
 
 
-def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        rows = [(_set_key(s), s.view(np.int64)) for s in map(shingle_set, texts)]
-        yield pd.DataFrame(rows, columns=["set_key", "shingles"])
+def _sets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The sets of the texts whose set has the given key; null for others."""
+    for texts, keys in batches:
+        found = [(shingle_set(t), k) for t, k in zip(texts, keys, strict=True)]
+        yield pd.Series([s.view(np.int64) if _set_key(s) == bytes(k) else None for s, k in found], dtype=object)
 
 
 def _links_in_block(nodes, labels, sides, sets, threshold: int) -> list[tuple[int, int]]:
@@ -217,8 +218,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     nodes = member.select("node").distinct()
     wanted = classes.join(nodes, "node").select("node", F.col("set_key").alias("_k"))
-    sets = key.join(wanted, key["id"] == wanted["node"]).select("node", "_k", F.pandas_udf(_sets, "set_key binary, shingles array<long>")("t").alias("s")).where("s.set_key = _k")
-    sets = materialize(sets.select("node", "s.shingles").dropDuplicates(["node"]), "sets")
+    # The set is made after the join, of the joined texts only: it takes the key of the other side.
+    sets = key.join(wanted, key["id"] == wanted["node"]).select(
+        "node", F.pandas_udf(_sets, "array<long>")("t", "_k").alias("shingles")).where("shingles IS NOT NULL")
+    sets = materialize(sets.dropDuplicates(["node"]), "sets")
 
     # Star: one comparison for each class.
     pair = member.where("center <> node").groupBy("node").agg(F.min("center").alias("center"))
