@@ -8,49 +8,70 @@ reads it again for the next.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from tradewind.llm import bpe, decontaminate, near_dedup, quality, secrets
 from tradewind.llm.common import materialize, read
+from tradewind.session import apply_conf
 
 #: SQL cannot express a fitted classifier; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
+def _stage(fn):
+    """A stage may be called by itself: it first sets what the session leaves unset, above
+    all the bound on rows of an Arrow batch, which bounds a Python worker's memory."""
+    @functools.wraps(fn)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return fn(apply_conf(spark), docs, sf_dir)
+    return staged
+
+
+@_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the quality classifier rejects go."""
     model = quality.train(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
     return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
 
 
+@_stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of each group of near duplicates the document of the smallest id stays."""
     return near_dedup.keep_one(docs).select(*docs.columns)
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents contaminated by the benchmark go."""
     items = read(spark, sf_dir, "benchmark").select("item_id", "text")
     return decontaminate.decontaminate(docs, items, remove="documents").select(*docs.columns)
 
 
+@_stage
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: every secret is replaced by its kind; n_chars follows the text."""
-    found = secrets.redact(secrets.find_secrets(docs, out="_secrets"), spans_col="_secrets")
+    found = secrets.redact(docs, out="_secrets")
     changed = F.size("_secrets") > 0
     return found.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType))
                             .otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@_stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: token ids, their number, and whether they decode to the text again."""
-    out = bpe.round_trip(docs, public_tokenizers.path(bpe.VOCABULARY))
+    out = bpe.round_trip(docs, public_tokenizers.path(bpe.VOCABULARY), cached=CACHED_PIECES)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return out.select(*docs.columns, F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
+#: What a worker of the last stage remembers. Python workers live on from stage to
+#: stage, so less than where the operator has them to itself.
+CACHED_PIECES = 25_000
+
 STAGES = [
     ("quality classifier", keep_good),
     ("MinHash near-dedup", one_of_each),

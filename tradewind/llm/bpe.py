@@ -134,13 +134,13 @@ class _Recent(dict):
 class Encoder:
     """Encodes by halves and joins; what has been encoded of short strings is remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, cached: int = CACHED_PIECES):
+        self.ranks, self.cached = ranks, cached
         self.pieces = _splitter(pattern)
         self.vocabulary = {r: t for t, r in ranks.items()}
-        self._merged = _Recent(lambda data: merge(data, ranks), CACHED_PIECES, 2 * LEAF_BYTES)
-        self._pairs = _Recent(lambda pair: self._merged[pair[0] + pair[1]] == list(pair), CACHED_PIECES, 2)
-        self._packed = _Recent(self._pack, CACHED_PIECES, 64)
+        self._merged = _Recent(lambda data: merge(data, ranks), cached, 2 * LEAF_BYTES)
+        self._pairs = _Recent(lambda pair: self._merged[pair[0] + pair[1]] == list(pair), cached, 2)
+        self._packed = _Recent(self._pack, cached, 64)
 
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
         stable = self._pairs
@@ -190,11 +190,11 @@ def tree(parts, leaf: Callable[..., bytes], block: int = 4096) -> bytes:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(shared, cached: int = CACHED_PIECES) -> Encoder:
     """One encoder for each broadcast and Python worker."""
     if shared.id not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[shared.id] = Encoder(shared.value)
+        _ENCODERS[shared.id] = Encoder(shared.value, cached=cached)
     return _ENCODERS[shared.id]
 
 
@@ -242,13 +242,14 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
     return docs.withColumn(out, run(docs[ids_col]))
 
 
-def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``encode`` and ``decode`` in one pass, by one worker a task: columns ids and decoded."""
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", cached: int = CACHED_PIECES) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, by one worker a task: columns ids and decoded.
+    ``cached`` bounds what the worker remembers; fewer entries cost time, not results."""
     shared = _Shared(docs.sparkSession, path)
 
     @F.pandas_udf("ids array<int>, decoded binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(shared)
+        enc = _encoder(shared, cached)
         for texts in batches:
             ids = [enc.encode(t or "") for t in texts]
             yield pd.DataFrame({"ids": ids, "decoded": [enc.decode(i) for i in ids]})

@@ -343,27 +343,30 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets",
     return docs.withColumn(out, scan(docs[text_col].cast("binary")))
 
 
-def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "secrets") -> DataFrame:
-    """``docs`` with every span of ``spans_col`` replaced by ``[KIND]`` in the text; of
-    spans that overlap, the first by start (then the longest) names their union."""
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, found in zip(texts, spans, strict=True):
-            if t is None or found is None or len(found) == 0:
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-                if s["start"] >= at:
-                    parts += [t[at:s["start"]], f"[{s['kind'].upper()}]"]
-                at = max(at, s["end"])
-            out.append("".join(parts) + t[at:])
-        return pd.Series(out, dtype=object)
-
-    return docs.withColumn(text_col, F.when(F.size(spans_col) > 0, cut(docs[text_col], docs[spans_col]))
-                           .otherwise(docs[text_col]))
+def redact(docs: DataFrame, text_col: str = "text", out: str = "secrets",
+           rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """``find_secrets`` with every span replaced by ``[KIND]`` in the text, in the same pass;
+    of spans that overlap, the first by start (then the longest) names their union."""
+
+    def cut(t: str, found: list[tuple[str, int, int]]) -> str:
+        parts, at = [], 0
+        for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
+            if a >= at:
+                parts += [t[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        return "".join(parts) + t[at:]
+
+    @F.pandas_udf(f"text string, spans {SPANS}")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        find = scanner(rules)
+        for batch in batches:
+            found = [find.spans(t.encode()) if t else [] for t in batch]
+            yield pd.DataFrame({
+                "text": [cut(t, s) if s else t for t, s in zip(batch, found, strict=True)],
+                "spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found]})
+
+    done = docs.withColumn("_redacted", scan(docs[text_col]))
+    return done.withColumns({text_col: F.col("_redacted.text"), out: F.col("_redacted.spans")}).drop("_redacted")
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
