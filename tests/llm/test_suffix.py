@@ -56,3 +56,25 @@ def test_cut_and_empty(spark):
     cut = {r.doc_id: r.text for r in S.cut_repeats(df, S.repeated_passages(df)).collect()}
     assert cut == {1: "a " + passage, 2: "b  c", 3: "other"}
     assert S.repeated_passages(df.limit(0)).count() == 0
+
+
+def passages(spark, docs):
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    return df, S.repeated_passages(df)
+
+
+def words(prefix, n):
+    return " ".join(f"{prefix}{i}" for i in range(n))
+
+
+def test_common_passage_has_one_first(spark, monkeypatch):
+    """Whatever words stand around the copies, all but the smallest id are repeats."""
+    monkeypatch.setattr(S, "SORT_ROWS", 40)
+    rng = random.Random(7)
+    noise = lambda: " ".join(f"n{rng.randrange(10**6)}" for _ in range(40))
+    common = words("c", 60)
+    df, found_rows = passages(spark, {i: f"{noise()} {common} {noise()}" for i in range(1, 301)})
+    rows = found_rows.collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.partner_id, r.first) for r in rows} == {
+        (i, 40, 100, 1 if i > 1 else 2, i == 1) for i in range(1, 301)}
+    assert sum(common in r.text for r in S.cut_repeats(df, found_rows).collect()) == 1

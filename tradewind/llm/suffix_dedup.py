@@ -3,25 +3,21 @@
 Finds every passage of at least ``MIN_WORDS`` words that occurs in two documents
 of different text, and the whole texts that documents share.
 
-Suffixes are kept at content-selected positions only: the smallest of the
-hashes of W consecutive K-word shingles (minimisers). W + K - 1 = MIN_WORDS, so
-two copies of a passage keep the same positions in it. Steps:
+A passage is made of windows of MIN_WORDS words, the beginnings of suffixes. Each
+window belongs to the smallest of the hashes of its W consecutive K-word shingles
+(its minimiser; W + K - 1 = MIN_WORDS), so equal windows have equal minimisers. Steps:
 
 1. Each distinct text gives its minimisers; only shingles seen in two texts go on.
-2. Suffixes that go on carry W words of context to each side, as word hashes.
-   They are sorted by shingle and right context (range partitions, so a common
-   passage spreads over tasks) and each is compared with the nearest suffixes of
-   another text before and after it; the match is extended left and right. The
-   ends of the partitions are compared in a small second pass.
-3. The same with the sort by left context: neighbours in one order share the
-   most to the right, in the other the most to the left.
-4. Matches of at least MIN_WORDS words are merged into maximal spans of the text,
-   and every document gets the spans of its text.
-
-Extension beyond the context needs no text: minimisers are at most W words
-apart, so a longer match is the union of its neighbours' matches. A match is
-missed only if in both orders, at every kept position of the passage, a third
-text stands between that shares more on one side and less on the other.
+2. Of those every window goes on, as the hash of its words beside the shingle's.
+   They are sorted by hash and id (range partitions, so a common passage spreads over
+   tasks), and each window learns the smallest other text that holds it from the two
+   smallest ids of its hash. Hashes at the ends of partitions may stand in several;
+   their two smallest ids are found in a small second pass.
+3. Windows that touch or overlap are merged into maximal spans of the text, with the
+   smallest of their texts, and every document gets the spans of its text.
+
+No pairs are made, and nothing depends on which copies are neighbours: a window is
+missed in no case, and found wrongly only if two 64-bit hashes collide at once.
 
 Words: runs of anything but ASCII white space, as they are. Defined cases: null,
 empty and shorter texts have no passage; repeats inside one document do not
@@ -46,13 +42,14 @@ from tradewind.llm.common import materialize, read
 MIN_WORDS = 50
 K = 25
 W = MIN_WORDS - K + 1
-#: Suffixes of one sorted partition.
+#: Windows of one sorted partition.
 SORT_ROWS = 100_000
+#: No document: greater than any id that shares a word.
+NONE = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(3)
 _PLACE = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPAN = "node long, pos array<int>, left int, right int, partner long"
-_SUFFIX = "g long, before binary, after binary, room_left int, room_right int, node long, pos array<int>"
+_SPANS = "array<struct<start_word:int,end_word:int,partner:long>>"
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
@@ -60,18 +57,28 @@ def word_hashes(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hash, word number) of the kept positions."""
+def _mixed(g: np.ndarray) -> np.ndarray:
+    g = (g ^ (g >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return g ^ (g >> np.uint64(29))
+
+
+def _shingles(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each shingle, and for each window the word number of its smallest one."""
     n = len(h) - K + 1
     if n < W:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     g = h[:n] * _PLACE[0]
     for j in range(1, K):
         g = g + h[j:n + j] * _PLACE[j]
-    g = (g ^ (g >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    g ^= g >> np.uint64(29)
+    g = _mixed(g)
     at = np.concatenate([np.lib.stride_tricks.sliding_window_view(g[i:i + 4096 + W - 1], W).argmin(axis=1) + np.arange(
         i, min(i + 4096, n - W + 1)) for i in range(0, n - W + 1, 4096)])
+    return g, at
+
+
+def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hash, word number) of the kept positions."""
+    g, at = _shingles(h)
     pos = np.unique(at)
     return g[pos].view(np.int64), pos.astype(np.int32)
 
@@ -85,131 +92,122 @@ def _minimisers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["n_words", "g", "pos"])
 
 
-def _contexts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Text and kept positions -> the suffixes' contexts, as big-endian 32-bit word hashes;
-    the words before are listed backwards."""
-    for texts, kept in batches:
-        out = []
-        for t, pos in zip(texts, kept, strict=True):
-            h = word_hashes(t)
-            low = np.zeros(len(h) + 2 * W, dtype=">u4")
-            low[W:W + len(h)] = h.astype(np.uint32)
-            out.append([{"pos": int(p), "before": low[p:p + W][::-1].tobytes(), "after": low[p + W + K:p + K + 2 * W].tobytes(),
-                         "room_left": min(int(p), W), "room_right": min(len(h) - int(p) - K, W)} for p in sorted(pos)])
-        yield pd.Series(out)
-
-
-def _neighbours(edges: bool):
-    """Sorted suffixes of a partition -> matches with the nearest other texts. With
-    ``edges`` also the suffixes at both ends, which have neighbours elsewhere."""
-    names = ["g", "before", "after", "room_left", "room_right", "node", "pos"]
-
-    def match(t: pa.Table, i: np.ndarray, j: np.ndarray, ctx, room, g, node):
-        ok = (j >= 0) & (j < len(g))
-        i, j = i[ok], j[ok]
-        ok = g[i] == g[j]
-        i, j = i[ok], j[ok]
-        ext = []
-        for c, r in zip(ctx, room, strict=True):
-            same = np.column_stack([c[i] == c[j], np.zeros(len(i), bool)])
-            ext.append(np.minimum(same.argmin(axis=1), np.minimum(r[i], r[j])))
-        ok = ext[0] + K + ext[1] >= MIN_WORDS
-        return i[ok], ext[0][ok], ext[1][ok], node[j[ok]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).select(names).combine_chunks()
-        n = t.num_rows
-        g, node = t["g"].to_numpy(), t["node"].to_numpy()
-        room = [t["room_left"].to_numpy(), t["room_right"].to_numpy()]
-        ctx = [np.frombuffer(b"".join(t[c].to_pylist()), dtype=">u4").reshape(n, W) for c in ("before", "after")]
-        new = np.concatenate([[True], node[1:] != node[:-1]])
-        starts = np.flatnonzero(new)
-        run_of = np.cumsum(new) - 1
-        ends = np.concatenate([starts[1:], [n]])
-        every = np.arange(n)
-        found = [match(t, every, starts[run_of] - 1, ctx, room, g, node), match(t, every, ends[run_of], ctx, room, g, node)]
-        i, left, right, partner = (np.concatenate(x) for x in zip(*found, strict=True))
-        cols = {"node": pa.array(node[i]), "pos": t["pos"].combine_chunks().take(pa.array(i, pa.int64())),
-                "left": pa.array(left, pa.int32()), "right": pa.array(right, pa.int32()), "partner": pa.array(partner)}
-        if not edges:
-            yield pa.RecordBatch.from_pydict(cols)
-            return
-        end = np.unique(np.concatenate([every[:ends[0] + 1], every[max(0, starts[-1] - 1):]]))
-        blank = lambda m, kind: pa.nulls(m, kind)
-        m, e = len(i), t.take(pa.array(end, pa.int64()))
-        yield pa.RecordBatch.from_pydict(cols | {
-            "g": blank(m, pa.int64()), "before": blank(m, pa.binary()), "after": blank(m, pa.binary()),
-            "room_left": blank(m, pa.int32()), "room_right": blank(m, pa.int32()), "edge": pa.array([False] * m, pa.bool_())})
-        yield pa.RecordBatch.from_pydict({
-            "node": e["node"].combine_chunks(), "pos": e["pos"].combine_chunks(), "left": blank(len(end), pa.int32()),
-            "right": blank(len(end), pa.int32()), "partner": blank(len(end), pa.int64()), "g": e["g"].combine_chunks(),
-            "before": e["before"].combine_chunks(), "after": e["after"].combine_chunks(),
-            "room_left": e["room_left"].combine_chunks(), "room_right": e["room_right"].combine_chunks(),
-            "edge": pa.array([True] * len(end), pa.bool_())})
-
-    return run
-
-
-def _matches(suffixes: DataFrame, order: list[str], partitions: int) -> DataFrame:
-    """(node, pos, left, right, partner) of neighbours in one order."""
-    keys = ["g", *order, "node"]
-    first = suffixes.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(
-        _neighbours(True), _SPAN + ", g long, before binary, after binary, room_left int, room_right int, edge boolean")
-    first = materialize(first, "neighbours")
-    # A few rows for each partition, whatever the partitions hold.
-    ends = first.where("edge").select("g", "before", "after", "room_left", "room_right", "node", "pos")
-    second = ends.repartition(1).sortWithinPartitions(*keys).mapInArrow(_neighbours(False), _SPAN)
-    return first.where("NOT edge").select("node", "pos", "left", "right", "partner").unionByName(second)
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text and shared shingles -> the windows of those shingles: shingle hash, hash of all
+    words, and the word numbers where the window starts."""
+    for batch in batches:
+        for node, t, shared in zip(batch.column("node").to_pylist(), batch.column("t").to_pylist(),
+                                   batch.column("shared").to_pylist(), strict=True):
+            g, at = _shingles(word_hashes(t))
+            p = np.flatnonzero(np.isin(g[at], np.array(shared, np.int64).view(np.uint64)))
+            # K + K words make a window, so its two shingles hash all of it.
+            w = _mixed(g[p] * _PLACE[0] + _mixed(g[p + MIN_WORDS - K] ^ _PLACE[1]) * _PLACE[2])
+            of = g[at[p]]
+            order = np.lexsort((p, w, of))
+            p, w, of = p[order], w[order], of[order]
+            new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (of[1:] != of[:-1])])) if len(p) else p
+            yield pa.RecordBatch.from_pydict({
+                "node": pa.array(np.full(len(new), node, np.int64)), "g": pa.array(of[new].view(np.int64)),
+                "w": pa.array(w[new].view(np.int64)), "at": pa.ListArray.from_arrays(
+                    pa.array(np.append(new, len(p)), pa.int32()), pa.array(p, pa.int32()))})
+
+
+def _sharers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted windows of a partition -> those with the smallest other text that holds them.
+    Of the first and the last hash, which may stand elsewhere too, all windows without it;
+    ``least`` marks the two smallest texts here."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got).combine_chunks()
+    g, w, node = (t[c].to_numpy() for c in ("g", "w", "node"))
+    n = len(g)
+    starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])]))
+    sizes = np.diff(np.append(starts, n))
+    run_of = np.repeat(np.arange(len(starts)), sizes)
+    lo, after = node[starts], np.where(sizes > 1, node[np.minimum(starts + 1, n - 1)], NONE)
+    place = np.arange(n) - starts[run_of]
+    partner = np.where(place == 0, after[run_of], lo[run_of])
+    edge = (run_of == 0) | (run_of == len(starts) - 1)
+    out = t.select(["g", "w", "node", "at"])
+    for c, values in (("partner", pa.array(partner, mask=edge)), ("edge", pa.array(edge)), ("least", pa.array(edge & (place < 2)))):
+        out = out.append_column(c, values)
+    yield from out.filter(pa.array(edge | (partner != NONE))).to_batches()
+
+
+def _runs(partner: np.ndarray) -> list[dict]:
+    """Words' partners -> maximal runs of words that have one, with the smallest."""
+    has = np.concatenate([[False], partner != NONE, [False]])
+    starts, ends = np.flatnonzero(has[1:] & ~has[:-1]), np.flatnonzero(has[:-1] & ~has[1:])
+    return [{"start_word": int(a), "end_word": int(b), "partner": int(partner[a:b].min())}
+            for a, b in zip(starts, ends, strict=True)]
+
+
+def _spans(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    """Words of a text, its windows with their partners, its smallest two ids -> spans of the
+    document with the smallest id, and spans of the other documents of this text."""
+    for n_words, ats, partners, nodes, seconds in batches:
+        rows = []
+        for n, at, other, node, second in zip(n_words, ats, partners, nodes, seconds, strict=True):
+            word = np.full(n, NONE, np.int64)
+            if at is not None and len(at):
+                word[np.concatenate(list(at))] = np.repeat(np.asarray(other, np.int64), [len(a) for a in at])
+                # Smallest of the last MIN_WORDS window starts, by doubling.
+                done = 1
+                while done < MIN_WORDS:
+                    step = min(done, MIN_WORDS - done)
+                    word[step:] = np.minimum(word[step:], word[:-step])
+                    done += step
+            copies = second is not None and second == second
+            rows.append((_runs(np.minimum(word, int(second))), _runs(np.minimum(word, int(node)))) if copies
+                        else (_runs(word), []))
+        yield pd.DataFrame(rows, columns=["least", "others"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each maximal repeated span of each document: its id, start_word and
-    end_word (end exclusive), n_words, partner_id (the smallest id among documents found
-    to share a part of it) and first (no smaller id was found to)."""
+    """One row for each repeated span of each document: its id, start_word and end_word
+    (end exclusive), n_words, partner_id (the smallest other id among the documents that
+    share a part of it) and first (no smaller id does)."""
     key = docs.select(F.col(id_col).cast("long").alias("id"), docs[text_col].cast("binary").alias("t")).where(
         "id IS NOT NULL AND t IS NOT NULL")
     kept = F.pandas_udf(_minimisers, "n_words int, g array<long>, pos array<int>")
     signed = materialize(key.select("id", F.unhex(F.md5("t")).alias("text_key"), kept("t").alias("m"))
-                         .select("id", "text_key", "m.*").where(F.col("n_words") >= MIN_WORDS), "minimisers")
+                         .select("id", "text_key", "m.n_words", "m.g").where(F.col("n_words") >= MIN_WORDS), "minimisers")
     texts = materialize(signed.groupBy("text_key").agg(F.min("id").alias("node"), F.max("id").alias("last"),
                                                        F.first("n_words").alias("n_words")), "texts")
     one = signed.join(texts.select("text_key", F.col("node").alias("id")), ["text_key", "id"])
-    kept_at = one.select(F.col("id").alias("node"), F.explode(F.arrays_zip("g", "pos")).alias("m")).select("node", "m.g", "m.pos")
+    kept_at = one.select(F.col("id").alias("node"), F.explode(F.array_distinct("g")).alias("g"))
     shared = kept_at.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("g")
     # Written first, so that the join has plain exchanges on both sides and a hot shingle is split.
     shared = materialize(shared, "shared-shingles")
-    going = materialize(kept_at.join(shared, "g"), "shared-minimisers")
-
-    # Contexts, from the text of one document for each text.
-    of_text = going.groupBy("node").agg(F.collect_set("pos").alias("kept"))
-    made = "array<struct<pos:int,before:binary,after:binary,room_left:int,room_right:int>>"
-    context = (key.join(of_text, key["id"] == of_text["node"])
-               .select("node", F.explode(F.pandas_udf(_contexts, made)("t", "kept")).alias("c")).select("node", "c.*"))
-    suffixes = materialize(context.join(going, ["node", "pos"]).groupBy(
-        "g", "before", "after", "room_left", "room_right", "node").agg(F.collect_set("pos").alias("pos")), "suffixes")
-    partitions = max(suffixes.sparkSession.sparkContext.defaultParallelism, -(-suffixes.count() // SORT_ROWS))
-    found = _matches(suffixes, ["after", "before"], partitions).unionByName(
-        _matches(suffixes, ["before", "after"], partitions))
-
-    span = found.select("node", F.explode("pos").alias("p"), "left", "right", "partner").select(
-        "node", (F.col("p") - F.col("left")).alias("start"), (F.col("p") + K + F.col("right")).alias("end"), "partner")
-    span = span.groupBy("node", "start", "end").agg(F.min("partner").alias("partner"))
-    copies = texts.where("node <> last").select("node", F.lit(0).alias("start"), F.col("n_words").alias("end"),
-                                                F.col("last").alias("partner"))
-    order = W_.partitionBy("node").orderBy("start", "end")
-    span = span.unionByName(copies).withColumn("seen", F.max("end").over(order.rowsBetween(W_.unboundedPreceding, -1)))
-    island = F.sum(F.coalesce((F.col("start") > F.col("seen")).cast("int"), F.lit(1))).over(order)
-    merged = span.withColumn("island", island).groupBy("node", "island").agg(
-        F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("partner").alias("partner"))
-
-    all_docs = signed.select("id", "text_key").distinct().join(texts.select("text_key", "node"), "text_key")
-    return all_docs.join(merged, "node").select(
-        F.col("id").alias(id_col), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"),
-        F.when(F.col("id") == F.col("node"), F.col("partner")).otherwise(F.least("node", "partner")).alias("partner_id"),
-    ).withColumn("first", F.col(id_col) < F.col("partner_id"))
+    of_text = kept_at.join(shared, "g").groupBy("node").agg(F.collect_set("g").alias("shared"))
+
+    # Windows, from the text of one document for each text.
+    source = key.join(of_text, key["id"] == of_text["node"]).select("node", "t", "shared").dropDuplicates(["node"])
+    windows = materialize(source.mapInArrow(_windows, "node long, g long, w long, at array<int>"), "windows")
+    partitions = max(windows.sparkSession.sparkContext.defaultParallelism, -(-windows.count() // SORT_ROWS))
+    keys = ["g", "w", "node"]
+    sharers = materialize(windows.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(
+        _sharers, "g long, w long, node long, at array<int>, partner long, edge boolean, least boolean"), "sharers")
+    # Two hashes a partition at most.
+    ends = (sharers.where("least").groupBy("g", "w").agg(F.array_sort(F.collect_list("node")).alias("n"))
+            .where(F.size("n") > 1).select("g", "w", F.col("n")[0].alias("lo"), F.col("n")[1].alias("after")))
+    at_ends = sharers.where("edge").drop("partner").join(F.broadcast(ends), ["g", "w"]).withColumn(
+        "partner", F.when(F.col("node") == F.col("lo"), F.col("after")).otherwise(F.col("lo")))
+    columns = ["node", "at", "partner"]
+    found = sharers.where("NOT edge").select(columns).unionByName(at_ends.select(columns)).groupBy("node").agg(
+        F.collect_list(F.struct("at", "partner")).alias("found"))
+
+    all_docs = signed.select("id", "text_key").distinct().join(texts, "text_key")
+    seconds = all_docs.where("id <> node").groupBy("node").agg(F.min("id").alias("second"))
+    spans = F.pandas_udf(_spans, f"least {_SPANS}, others {_SPANS}")
+    of_texts = (texts.join(seconds, "node", "left").join(found, "node", "left").where("second IS NOT NULL OR found IS NOT NULL")
+                .select("text_key", spans("n_words", "found.at", "found.partner", "node", "second").alias("s")))
+    return all_docs.join(materialize(of_texts.select("text_key", "s.*"), "spans"), "text_key").select(
+        F.col("id").alias(id_col), F.explode(F.when(F.col("id") == F.col("node"), F.col("least")).otherwise(
+            F.col("others"))).alias("s")).select(
+        id_col, "s.start_word", "s.end_word", (F.col("s.end_word") - F.col("s.start_word")).alias("n_words"),
+        F.col("s.partner").alias("partner_id")).withColumn("first", F.col(id_col) < F.col("partner_id"))
 
 
 def cut_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
