@@ -78,3 +78,22 @@ def test_common_passage_has_one_first(spark, monkeypatch):
     assert {(r.doc_id, r.start_word, r.end_word, r.partner_id, r.first) for r in rows} == {
         (i, 40, 100, 1 if i > 1 else 2, i == 1) for i in range(1, 301)}
     assert sum(common in r.text for r in S.cut_repeats(df, found_rows).collect()) == 1
+
+
+def test_joined_passages_keep_their_own_first(spark):
+    """A document that joins passages of two others, side by side and overlapping."""
+    p, q, r = words("p", 60), words("q", 60), words("r", 70).split()
+    docs = {3: p + " x", 5: f"{p} {q}", 9: "y " + q, 13: " ".join(r[:55]) + " x", 15: " ".join(r), 19: "y " + " ".join(r[15:])}
+    df, found_rows = passages(spark, docs)
+    assert {tuple(x) for x in found_rows.collect()} == {
+        (3, 0, 60, 60, 5, True), (5, 0, 60, 60, 3, False), (5, 60, 120, 60, 9, True), (9, 1, 61, 60, 5, False),
+        (13, 0, 55, 55, 15, True), (15, 0, 55, 55, 13, False), (15, 55, 70, 15, 19, True), (19, 1, 56, 55, 15, False)}
+    left = " ".join(x.text for x in S.cut_repeats(df, found_rows).collect()).split()
+    assert sorted(w for w in left if w not in "xy") == sorted([*p.split(), *q.split(), *r])
+
+
+def test_smallest_of_several_copies(spark):
+    text = words("t", 60)
+    _, found_rows = passages(spark, {7: text, 4: text, 9: text, 2: "a " + text[text.index("t5 "):], 11: text + " z"})
+    assert {(r.doc_id, r.start_word, r.end_word, r.partner_id) for r in found_rows.collect()} == {
+        (2, 1, 56, 4), (4, 0, 5, 7), (4, 5, 60, 2), (7, 0, 5, 4), (7, 5, 60, 2), (9, 0, 5, 4), (9, 5, 60, 2), (11, 0, 5, 4), (11, 5, 60, 2)}

@@ -13,8 +13,9 @@ window belongs to the smallest of the hashes of its W consecutive K-word shingle
    tasks), and each window learns the smallest other text that holds it from the two
    smallest ids of its hash. Hashes at the ends of partitions may stand in several;
    their two smallest ids are found in a small second pass.
-3. Windows that touch or overlap are merged into maximal spans of the text, with the
-   smallest of their texts, and every document gets the spans of its text.
+3. A word's partner is the smallest over the windows that it lies in; runs of words
+   with one partner are the spans of the text, and every document gets the spans of
+   its text.
 
 No pairs are made, and nothing depends on which copies are neighbours: a window is
 missed in no case, and found wrongly only if two 64-bit hashes collide at once.
@@ -136,11 +137,11 @@ def _sharers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(partner: np.ndarray) -> list[dict]:
-    """Words' partners -> maximal runs of words that have one, with the smallest."""
-    has = np.concatenate([[False], partner != NONE, [False]])
-    starts, ends = np.flatnonzero(has[1:] & ~has[:-1]), np.flatnonzero(has[:-1] & ~has[1:])
-    return [{"start_word": int(a), "end_word": int(b), "partner": int(partner[a:b].min())}
-            for a, b in zip(starts, ends, strict=True)]
+    """Words' partners -> maximal runs of words with one partner."""
+    ends = np.flatnonzero(np.concatenate([partner[1:] != partner[:-1], [True]])) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    return [{"start_word": int(a), "end_word": int(b), "partner": int(partner[a])}
+            for a, b in zip(starts, ends, strict=True) if partner[a] != NONE]
 
 
 def _spans(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -167,7 +168,8 @@ def _spans(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each repeated span of each document: its id, start_word and end_word
     (end exclusive), n_words, partner_id (the smallest other id among the documents that
-    share a part of it) and first (no smaller id does)."""
+    share a passage with these words) and first (no smaller id does). A span ends where
+    no passage goes on or the partner changes."""
     key = docs.select(F.col(id_col).cast("long").alias("id"), docs[text_col].cast("binary").alias("t")).where(
         "id IS NOT NULL AND t IS NOT NULL")
     kept = F.pandas_udf(_minimisers, "n_words int, g array<long>, pos array<int>")
