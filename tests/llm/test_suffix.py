@@ -97,3 +97,17 @@ def test_smallest_of_several_copies(spark):
     _, found_rows = passages(spark, {7: text, 4: text, 9: text, 2: "a " + text[text.index("t5 "):], 11: text + " z"})
     assert {(r.doc_id, r.start_word, r.end_word, r.partner_id) for r in found_rows.collect()} == {
         (2, 1, 56, 4), (4, 0, 5, 7), (4, 5, 60, 2), (7, 0, 5, 4), (7, 5, 60, 2), (9, 0, 5, 4), (9, 5, 60, 2), (11, 0, 5, 4), (11, 5, 60, 2)}
+
+
+def test_other_texts_between(spark):
+    """Repeats whose neighbours in both sort orders share more on one side and less on the other."""
+    rng = random.Random(11)
+    noise = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    docs = {}
+    for i in range(25):
+        a, x, b = ([f"{c}{i}_{j}" for j in range(n)] for c, n in (("a", 6), ("x", 40), ("b", 6)))
+        for j, text in enumerate([a + x + b, a[1:] + x + b[:5], x + b, a + x]):
+            # More texts of C's and D's kind stand around A in either order.
+            for copy in range(1 if j < 2 else 4):
+                docs[100 * i + 10 * j + copy] = " ".join(noise(30) + text + noise(30))
+    assert found(spark, [(i, t, "x") for i, t in docs.items()]) == covered(docs)
