@@ -72,3 +72,15 @@ def test_restored_words(spark):
         assert word in restore(disguised), disguised
     assert T.Restorer.apart("an i d i o t here") == ["idiot"]
     assert restore("plain") == ("plain",)
+
+
+def test_letters_apart_and_hidden(spark):
+    """Word edges inside a run of letters, any white space, pieces of two, symbols inside a word."""
+    model = T.CharModel(T.count_trigrams(spark.read.parquet(f"{SF}/documents.parquet")))
+    tox = T.Toxicity(model, {f"{w}$": 5.0 for w in ("idiot", "moron", "stupid", "loser")}, [0.0, 0.0, 0.0])
+    for text in ["such a l o s e r", "I i d i o t", "y o u i d i o t", "an id io t !", "yo ui di ot", "you i\td\ni  o\tt then",
+                 "a s t u p i d l o s e r", "he is 1 d 1 0 t", "i. d. i. o. t.", "st***d", "***moron***", "l 0 $ e r x"]:
+        assert tox.inputs(text)[0] == 5.0, text
+    for text in ["if it is so", "he is at it", "1 2 3 4 5 6", "- - - - -", "a b c d e f", "l o v e", "st*** d", "*** st***", "s t o p"]:
+        assert tox.inputs(text) == (0.0, 0.0), text
+    assert tox.inputs("q " * 3000 + "i d i o t " + "q " * 3000)[0] == 5.0

@@ -7,6 +7,12 @@
    lattice: every character may stand for the letters it imitates, for itself, or,
    as a repetition or filler, for nothing. Viterbi finds the likeliest letters
    under the channel and the language model. Other tokens have one path only.
+   Three or more pieces of one or two characters in a row are one lattice, whatever
+   white space parts them; there a word may end after every letter. Words of evidence
+   that it may hold count if the lattice with their edges is about as likely as the
+   best one, as trigrams alone do not tell all edges. Hidden letters
+   (three or more symbols in a row inside a token) may be any: such a token is also
+   held against the words of evidence that have its other letters.
 3. Restored words are scored: words and word beginnings carry log odds learned
    from labelled documents, and a document's score is a logistic function of its
    strongest evidence and of the sum of all, found anywhere in its whole text.
@@ -56,6 +62,14 @@ IMITATES = {
 FILLERS = set(".-_*'~^`,#")
 #: Channel costs (negative log): a letter shown as itself, disguised, left out as filler or as repetition.
 SAME, DISGUISED, FILLER, REPEATED = 0.0, 1.0, 0.5, 0.3
+#: In letters written apart: white space that is no word edge, and a word edge without white space.
+GAP, JOINED = 0.0, 1.0
+#: What a reading with a word of evidence may cost more than the likeliest one.
+MARGIN = 8.0
+#: Letters on both sides of it that are weighed with it.
+AROUND = 24
+#: Between letters that one word must hold, and where a word must end.
+GLUE, MUST_END = "\0", "\n"
 
 SYMBOLS = 28  # 0: edge of a word, 1-26: a-z, 27: any other letter
 
@@ -98,9 +112,14 @@ class CharModel:
         self.cost = -np.log((n + mix) / (n.sum(axis=2, keepdims=True) + mix.sum()))
         self.table = self.cost.tolist()
 
-    def restore(self, token: str) -> str:
+    def restore(self, token: str, apart: bool = False) -> str:
         """The likeliest letters behind a lower-case token, by Viterbi over the lattice.
-        A state is the last two letters written."""
+        A state is the last two letters written. In letters written ``apart`` a word
+        may end after each letter; the words come back with a blank between them."""
+        return self.likeliest(token, apart)[1]
+
+    def likeliest(self, token: str, apart: bool = False) -> tuple[float, str]:
+        """The cost of the likeliest letters, and these."""
         cost = self.table
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i, ch in enumerate(token):
@@ -112,29 +131,46 @@ class CharModel:
             if i and ch == token[i - 1]:
                 drop = REPEATED
             elif ch in FILLERS or ch.isspace() or not options:
-                drop = FILLER
+                drop = GAP if apart and (ch.isspace() or ch == GLUE) else FILLER
+            if apart and ch.isspace():
+                options = [(" ", SAME)]
+                drop = None if ch == MUST_END else drop
+            elif apart and i and ch != GLUE and token[i - 1] != GLUE and not token[i - 1].isspace():
+                for (a, b), (so_far, path) in list(best.items()):
+                    c = so_far + JOINED + cost[a][b][0]
+                    if b and ((b, 0) not in best or c < best[b, 0][0]):
+                        best[b, 0] = (c, (" ", path))
             step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (so_far, path) in best.items():
                 if drop is not None and ((a, b) not in step or so_far + drop < step[a, b][0]):
                     step[a, b] = (so_far + drop, path)
                 for x, channel in options:
-                    k = ord(x) - 96 if "a" <= x <= "z" else 27
+                    if x == " " and not b:
+                        if ch == MUST_END:
+                            step[a, b] = min(step.get((a, b), (math.inf, None)), (so_far, path), key=lambda e: e[0])
+                        continue
+                    k = ord(x) - 96 if "a" <= x <= "z" else 0 if x == " " else 27
                     c = so_far + channel + cost[a][b][k]
                     if (b, k) not in step or c < step[b, k][0]:
                         step[b, k] = (c, (x, path))
             best = step
-        (_, path), letters = min(best.items(), key=lambda e: (e[1][0] + cost[e[0][0]][e[0][1]][0], e[0]))[1], []
+        ended = {e: (c + (cost[e[0]][e[1]][0] if e[1] or not apart else 0.0), path) for e, (c, path) in best.items()}
+        (total, path), letters = min(ended.items(), key=lambda e: (e[1][0], e[0]))[1], []
         while path:
             letters.append(path[0])
             path = path[1]
-        return "".join(reversed(letters))
+        return total, "".join(reversed(letters))
 
 
-_EDGE = re.compile(r"^[^\w@$!|*#+(<€£¥]+|[^\w@$*#+€£¥]+$|[$*#%&+]{3,}")
+_EDGE = re.compile(r"^[^\w@$!|*#+(<€£¥]+|[^\w@$*#+€£¥]+$")
+_SYMBOLS_AT_END = re.compile(r"^[$*#%&+]{3,}|(?<![$*#%&+])[$*#%&+]{3,}$")
+_HIDDEN = re.compile(r"[$*#%&+]{3,}")
 _WORD = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _RUN = re.compile(r"(\w)\1\1")
 _APART = re.compile(r"(?<!\S)\S(?:[ .\-_*]{1,2}\S){3,}(?!\S)")
+_PIECE = r"(?:[^\W_]{1,2}(?:[.\-_*]{1,2}[^\W_]{1,2})+[.\-_*]{0,2}|\S{1,2})(?!\S)"
+_PIECES = re.compile(rf"(?<!\S){_PIECE}(?:\s+{_PIECE}){{2,}}")
 
 
 class Restorer:
@@ -142,8 +178,11 @@ class Restorer:
         self.model = model
 
     def words(self, token: str) -> tuple[str, ...]:
-        """The lower-case words of a token as it stands, and as restored if it looks disguised."""
-        core = _EDGE.sub("", token.lower())
+        """The lower-case words of a token as it stands, and as restored if it looks disguised;
+        of pieces, the words that they make together."""
+        if " " in token:
+            return tuple(self.model.restore(token, apart=True).split())
+        core = self.core(token)
         if _PLAIN.match(core) and not _RUN.search(core):
             return (core,)
         found = tuple(_WORD.findall(core))
@@ -151,11 +190,25 @@ class Restorer:
             found += (self.model.restore(core),)
         return found
 
+    @staticmethod
+    def core(token: str) -> str:
+        """The lower-case token without what stands around it."""
+        return _EDGE.sub("", _SYMBOLS_AT_END.sub("", _EDGE.sub("", token.lower())))
+
     @staticmethod
     def apart(text: str) -> list[str]:
         """Letters written apart, as one token each."""
         return ["".join(m.group().split()) for m in _APART.finditer(text)]
 
+    @classmethod
+    def pieces(cls, text: str) -> list[str]:
+        """Pieces of one or two characters in a row, with one blank between them."""
+        return [p for m in _PIECES.finditer(text) if " " in (p := cls.core(" ".join(m.group().split())))]
+
+    @classmethod
+    def tokens(cls, text: str) -> set[str]:
+        return {*text.split(), *cls.apart(text), *cls.pieces(text)}
+
 
 def features(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in BEGINNINGS if n <= len(word))] if len(word) > 2 else []
@@ -167,27 +220,67 @@ class Toxicity:
     evidence: dict[str, float]
     weights: list[float]
     _known: dict[str, float] = field(default_factory=dict, repr=False)
+    _beginnings: set[str] | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return self.model, self.evidence, self.weights
 
     def __setstate__(self, state):
         self.model, self.evidence, self.weights = state
-        self._known = {}
+        self._known, self._beginnings = {}, None
 
     def strength(self, token: str) -> float:
         if (s := self._known.get(token)) is None:
             s = max((self.evidence.get(f, 0.0) for w in Restorer(self.model).words(token) for f in features(w)), default=0.0)
+            s = max(s, self.spelled(token) if " " in token else self.hidden(token))
             if len(self._known) >= CACHED_TOKENS:
                 self._known.clear()
             self._known[token] = s
         return s
 
+    def spelled(self, token: str) -> float:
+        """The strongest word of evidence that pieces may hold."""
+        if self._beginnings is None:
+            self._beginnings = {f[:n] for f in self.evidence if f.endswith("$") for n in range(len(f))}
+        letters, starts, strongest, n = token.replace(" ", ""), {0}, 0.0, 0
+        for piece in token.split(" "):
+            n += len(piece)
+            starts.add(n)
+
+        def spaced(a: int, b: int) -> str:
+            return "".join((" " if n in starts and n > a else "") + letters[n] for n in range(a, b))
+
+        for i in range(len(letters)):
+            begun, j = {""}, i
+            while begun and j < len(letters):
+                ch = letters[j]
+                options = IMITATES.get(ch, "") + (ch if ch.isalpha() else "")
+                left_out = j > i and (ch in FILLERS or ch == letters[j - 1])
+                begun = {b + x for b in begun for x in options if b + x in self._beginnings} | (begun if left_out else set())
+                j += 1
+                s = max((self.evidence.get(b + "$", 0.0) for b in begun), default=0.0)
+                if s > strongest:
+                    a, b = max(0, i - AROUND), min(len(letters), j + AROUND)
+                    held = MUST_END.join(x for x in (spaced(a, i), GLUE.join(letters[i:j]), spaced(j, b)) if x)
+                    more = self.model.likeliest(held, True)[0] - self.model.likeliest(spaced(a, b), True)[0]
+                    if more + JOINED * ((i not in starts) + (j not in starts)) <= MARGIN:
+                        strongest = s
+        return strongest
+
+    def hidden(self, token: str) -> float:
+        """The strongest word of evidence that a token with hidden letters may be."""
+        core = Restorer.core(token) if _HIDDEN.search(token) else ""
+        shown = _HIDDEN.split(core)
+        if len(shown) < 2 or not all(x.isalpha() for x in shown):
+            return 0.0
+        like = re.compile(_HIDDEN.sub(lambda m: f"[^\\W\\d_]{{{len(m.group())}}}", core) + r"\$\Z")
+        return max((s for f, s in self.evidence.items() if like.match(f)), default=0.0)
+
     def inputs(self, text: str | None) -> tuple[float, float]:
         """The strongest evidence of the text's tokens, and the log of the sum of all."""
         if not text:
             return 0.0, 0.0
-        found = [s for t in {*text.split(), *Restorer.apart(text)} if (s := self.strength(t)) > 0]
+        found = [s for t in Restorer.tokens(text) if (s := self.strength(t)) > 0]
         return max(found, default=0.0), math.log1p(sum(sorted(found)))
 
     def score(self, text: str | None) -> float:
@@ -233,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> T
         for batch in batches:
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = set()
-                for t in {*text.split(), *Restorer.apart(text)} if text else ():
+                for t in restorer.tokens(text) if text else ():
                     if t not in of_token:
                         of_token[t] = [f for w in restorer.words(t) for f in features(w)]
                     found.update(of_token[t])
