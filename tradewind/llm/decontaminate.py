@@ -8,7 +8,8 @@ item; an item of fewer words, but not none, is one window.
    the set of benchmark window hashes. The set is broadcast behind a check of
    its measured size; beyond the bound Spark joins by shuffle.
 2. Only texts with a lookup hit are read again, once per distinct text; there
-   the window's words themselves are compared.
+   the window's words themselves are compared, with the distinct windows only.
+   Which items hold a window stands in rows of one item each, joined by shuffle.
 3. Every document gets the counts of its text; copies share them.
 
 Defined cases: a null or wordless text has no words and no hits; repeated
@@ -30,6 +31,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Most distinct window hashes (8 bytes each, about 40 as rows) to broadcast.
 BROADCAST_HASHES = 1_000_000
+#: Most bytes of the words of all distinct windows to broadcast.
+BROADCAST_BYTES = 128_000_000
 
 
 def words(text: Column) -> Column:
@@ -49,25 +52,28 @@ def windows_of(ws: Column, lengths: list[int], make) -> Column:
 
 
 def benchmark_windows(items: DataFrame, n: int = N) -> DataFrame:
-    """h, words, item_ids: the distinct windows, each with the items that hold it."""
+    """words, item_id: the windows, one row for each item that holds one."""
     it = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("ws"))
     # Past the last full window slices come out shorter, so only a short item has its one.
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - n + 1))
-    it = it.where(F.size("ws") > 0).select(
-        "item_id", F.explode(F.transform(starts, lambda i: F.slice("ws", i, n))).alias("words"))
-    return (it.groupBy("words").agg(F.collect_set("item_id").alias("item_ids"))
-            .withColumn("h", F.xxhash64("words")))
+    return it.where(F.size("ws") > 0).select(
+        "item_id", F.explode(F.transform(starts, lambda i: F.slice("ws", i, n))).alias("words")).distinct()
 
 
 def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", n: int = N) -> DataFrame:
     """One row for each distinct text with hits: text_key (MD5 of the text), hit_words
     (sorted word numbers from 0), item_ids (sorted)."""
-    bench = materialize(benchmark_windows(items, n), "benchmark-windows")
+    held = materialize(benchmark_windows(items, n), "benchmark-items")
+    bench = materialize(held.select("words").distinct().withColumn("h", F.xxhash64("words"))
+                        .withColumn("window", F.monotonically_increasing_id()), "benchmark-windows")
+    members = held.join(bench, "words").select("window", "item_id")
     hashes = bench.select("h").distinct()
     lengths = sorted(r[0] for r in bench.select(F.size("words")).distinct().collect()) or [n]
+    n_bytes = bench.agg(F.sum(F.octet_length(F.array_join("words", " ")).cast("long"))).first()[0] or 0
     small = hashes.count() <= BROADCAST_HASHES
     bounded = F.broadcast if small else (lambda df: df)
+    bounded_words = F.broadcast if small and n_bytes <= BROADCAST_BYTES else (lambda df: df)
 
     text = docs.where(F.col(text_col).isNotNull()).select(
         F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text_key"), F.col(text_col).alias("text"))
@@ -81,12 +87,12 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", n: int
         i.alias("start"), F.slice(w, i, k).alias("words")))
     spans = found.select("text_key", F.explode(spans).alias("s")).select(
         "text_key", "s.start", "s.words", F.xxhash64("s.words").alias("h"))
-    hits = spans.join(bounded(bench), ["h", "words"]).select(
-        "text_key", F.explode(F.sequence(F.col("start") - 1, F.col("start") + F.size("words") - 2)).alias("word"),
-        "item_ids")
-    hit_words = hits.groupBy("text_key").agg(F.sort_array(F.collect_set("word")).alias("hit_words"))
-    hit_items = (hits.select("text_key", F.explode("item_ids").alias("item")).distinct()
-                 .groupBy("text_key").agg(F.sort_array(F.collect_list("item")).alias("item_ids")))
+    hits = materialize(spans.join(bounded_words(bench), ["h", "words"]).select(
+        "text_key", "window", "start", F.size("words").alias("n")), "hits")
+    hit_words = (hits.select("text_key", F.explode(F.sequence(F.col("start") - 1, F.col("start") + F.col("n") - 2)).alias("word"))
+                 .groupBy("text_key").agg(F.sort_array(F.collect_set("word")).alias("hit_words")))
+    hit_items = (hits.select("text_key", "window").distinct().join(members, "window").select("text_key", "item_id").distinct()
+                 .groupBy("text_key").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids")))
     return hit_words.join(hit_items, "text_key")
 
 
