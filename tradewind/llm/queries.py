@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import bpe, chat_format, decontaminate, near_dedup, quality, secrets, sharding, suffix_dedup, topk, toxicity
+from tradewind.llm import (
+    bpe,
+    chat_format,
+    decontaminate,
+    near_dedup,
+    quality,
+    secrets,
+    sharding,
+    suffix_dedup,
+    token_files,
+    topk,
+    toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = [secrets.op1_secret_scans, topk.op2_exact_top_k, suffix_dedup.op3_suffix_array_dedup, toxicity.op4_toxicity,
            sharding.op5_sharding, quality.op6_quality_classifier,
            decontaminate.op7_benchmark_decontamination,
-           bpe.op8_byte_bpe, chat_format.op9_chat_formatting, near_dedup.op10_minhash_near_dedup]
+           bpe.op8_byte_bpe, chat_format.op9_chat_formatting, near_dedup.op10_minhash_near_dedup,
+           token_files.op13_token_id_output]
     return {f.__name__: f for f in fns} | {"pipeline": corpus_pipeline.run}
 
 
