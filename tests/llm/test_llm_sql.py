@@ -6,7 +6,7 @@ import pytest
 
 SMOKE = "/root/testdata/sf0.001"
 KEYS = ["op1_secret_scans", "op2_exact_top_k", "op7_benchmark_decontamination", "op9_chat_formatting",
-        "op10_minhash_near_dedup"]
+        "op10_minhash_near_dedup", "op12_prefix_trie"]
 
 P25 = " ".join(f"w{i}" for i in range(25))
 LONG = " ".join(f"x{i % 977}" for i in range(30000))
