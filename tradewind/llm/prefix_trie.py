@@ -190,8 +190,9 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, limit: int = LIMIT) -> Data
     ``paths``: conv_id, depth, owner (the node of the conversation at that depth is
     (owner, depth)) and above (the owner one step up); both are read in each round.
     """
-    top = nodes.where("depth = 0").select(F.col("conv_id").alias("top_conv"), F.lit(0).cast("long").alias("top_depth"), F.col("size").alias("n"))
-    active = materialize(nodes.join(top, F.lit(True)), "trie-active")  # the root is one row
+    root = nodes.where("depth = 0").select("conv_id", "size").first() or (None, None)
+    start = {"top_conv": root[0], "top_depth": 0, "n": root[1]}  # one component, of which the root is the top
+    active = materialize(nodes.withColumns({k: F.lit(v).cast("long") for k, v in start.items()}), "trie-active")
     small, added = [], []
     while True:
         small.append(active.where(F.col("n") <= limit))
@@ -237,13 +238,13 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, limit: int = LIMIT) -> DataF
     ``convs`` (conv_id) lists all conversations, also those without turns."""
     keyed = materialize(_paths(turns), "trie-keys")
     convs = convs.select("conv_id").distinct()
-    root = convs.agg(F.min("conv_id").alias("owner"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0")
+    first, n_convs = convs.agg(F.min("conv_id"), F.count(F.lit(1))).first()
     key = ["depth", "k1", "k2"]
     named = keyed.groupBy(*key).agg(F.min("conv_id").alias("owner"), F.count(F.lit(1)).alias("n_convs"), F.min("chars").alias("chars"))
     named = materialize(named, "trie-named")
     zero = F.lit(0).cast("long")
     owned = keyed.join(named.select(*key, "owner"), key).select("conv_id", F.col("depth").cast("long").alias("depth"), "owner")
-    owned = materialize(owned.unionByName(convs.join(root.select("owner"), F.lit(True)).select("conv_id", zero.alias("depth"), "owner")), "trie-owned")
+    owned = materialize(owned.unionByName(convs.select("conv_id", zero.alias("depth"), F.lit(first).cast("long").alias("owner"))), "trie-owned")
     up = owned.select("conv_id", (F.col("depth") + 1).alias("depth"), F.col("owner").alias("above"))
     paths = materialize(owned.join(up, NODE, "left"), "trie-paths")
 
@@ -252,7 +253,8 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, limit: int = LIMIT) -> DataF
     runs = materialize(runs.withColumn("names", F.coalesce(F.col("end") - F.col("since") + 1, zero)), "trie-runs")
     held = (paths.join(runs.select("conv_id", "names"), "conv_id").groupBy(F.col("owner").alias("conv_id"), "depth").agg(F.sum("names").alias("held")))
     nodes = (named.select(F.col("owner").alias("conv_id"), F.col("depth").cast("long").alias("depth"), "n_convs", "chars")
-             .unionByName(root.select(F.col("owner").alias("conv_id"), zero.alias("depth"), "n_convs", F.lit(0).alias("chars"))))
+             .unionByName(convs.where(F.col("conv_id") == F.lit(first)).select(
+                 "conv_id", zero.alias("depth"), F.lit(n_convs).cast("long").alias("n_convs"), F.lit(0).alias("chars"))))
     parents = paths.where("conv_id = owner").select(*NODE, F.col("above").alias("parent_conv"))
     children = parents.where("depth > 0").groupBy(F.col("parent_conv").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(F.count(F.lit(1)).alias("n_children"))
     nodes = (nodes.join(parents, NODE).join(children, NODE, "left").join(held, NODE).join(runs, "conv_id")
