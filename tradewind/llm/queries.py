@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewind.llm import (
+    align,
     bpe,
     chat_format,
     decontaminate,
@@ -28,7 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
            sharding.op5_sharding, quality.op6_quality_classifier,
            decontaminate.op7_benchmark_decontamination,
            bpe.op8_byte_bpe, chat_format.op9_chat_formatting, near_dedup.op10_minhash_near_dedup,
-           prefix_trie.op12_prefix_trie, token_files.op13_token_id_output]
+           align.op11_tokenizer_alignment, prefix_trie.op12_prefix_trie, token_files.op13_token_id_output]
     return {f.__name__: f for f in fns} | {"pipeline": corpus_pipeline.run}
 
 
