@@ -21,11 +21,18 @@ def libraries():
     return a, sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
 
 
+def byte_alphabet():
+    """The bytes that the characters of byte-level vocabularies stand for."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 def plain_tokens(libraries, text):
     """(id, bytes) of A and B over a space and the text, by the libraries on the whole text."""
     a, b = libraries
     enc = a.encode(" " + text, add_special_tokens=False)
-    decode = align.byte_alphabet()
+    decode = byte_alphabet()
     of_a = [(i, bytes(decode[c] for c in a.id_to_token(i))) for i in enc.ids]
     of_b = []
     for i in b.encode(text):

@@ -34,9 +34,10 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import starmap
+from itertools import accumulate, starmap
 from operator import itemgetter
 
 import numpy as np
@@ -47,11 +48,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.llm.common import materialize, read
-from tradewind.llm.words import REMEMBERED, Remembered, cut, packed, tokenizer
+from tradewind.llm.words import REMEMBERED, Remembered, cut, tokenizer
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of a fragment of a long document, and fragments that one composition joins.
 RANGE, FAN_IN = 16_384, 8
+#: Links of a word that are kept one by one.
+MANY_LINKS = 4096
 #: Parts of the space of id pairs; and bytes of documents' pairs that one task looks up.
 BUCKETS, LOOKUP_BYTES = 32, 64_000_000
 #: Pairs after which a task gives out the counts it has summed.
@@ -164,64 +167,101 @@ def whole(f: Fragment, size_b: int) -> Fragment:
     return compose(Fragment(True), f, size_b)
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The bytes that the characters of byte-level vocabularies stand for: printable Latin-1
-    stands for itself, the others, in order, for the characters from 256 on."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+def token_bytes(made) -> np.ndarray:
+    """How many bytes each id of a byte-level vocabulary stands for: one for each character of its token."""
+    size = np.zeros(made.get_vocab_size(), np.int64)
+    for token, i in made.get_vocab(with_added_tokens=False).items():
+        size[i] = len(token)
+    return size
 
 
 class Pair:
     """The two tokenizers; closed fragments of words are remembered in packed form."""
 
-    def __init__(self, definition_a: str, model_b: bytes, limit: int = REMEMBERED):
+    def __init__(self, definition_a: str, model_b: bytes, limit: int = REMEMBERED // 2):
         import sentencepiece
         self.a, self.b = tokenizer(definition_a, plain=True), sentencepiece.SentencePieceProcessor(model_proto=model_b)
-        alphabet = byte_alphabet()
-        self.bytes_a = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab(with_added_tokens=False).items():
-            self.bytes_a[i] = bytes(alphabet[c] for c in token)
+        self.sizes_a = token_bytes(self.a).tolist()
         self.size_b = self.b.vocab_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece with a space after other characters: words are no fragments of their own")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_b = list(map(len, self.bytes_b))
         self.space = self.b.piece_to_id("▁")
+        self.text = [str(i) for i in range(max(len(self.sizes_a), self.size_b))]
         self.known = Remembered(self._words, limit)
 
-    def tokens(self, texts: list[str]) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]] | None]:
-        """A's and B's (id, end offset) tokens of a space and each text; None where their bytes differ from it."""
-        out = []
-        for text, a, b in zip(texts, packed(self.a, [" " + t for t in texts]), self.b.encode(texts, num_threads=1), strict=True):
-            b = b if text else [self.space]
-            data, a = f" {text}".encode(), np.frombuffer(a, "<u4").tolist()
-            same = b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])
-            out.append((self._ends(a, self.bytes_a), self._ends(b, self.bytes_b)) if same else None)
-        return out
+    def _raw(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]] | None]:
+        """Ids and end offsets of A's and of B's tokens of a space and each text; None where their bytes differ from it."""
+        size_a, size_b, bytes_b = self.sizes_a.__getitem__, self.sizes_b.__getitem__, self.bytes_b.__getitem__
+        encoded = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        for text, enc, b in zip(texts, encoded, self.b.encode(texts, num_threads=1), strict=True):
+            a, b, data = enc.ids, b if text else [self.space], f" {text}".encode()
+            ends_a = list(accumulate(map(size_a, a)))
+            # A's tokens are bytes of the text in order, so only lost bytes could make a difference.
+            if ends_a[-1] != len(data) or b"".join(map(bytes_b, b)) != data:
+                yield None
+            else:
+                yield a, ends_a, b, list(accumulate(map(size_b, b)))
 
-    @staticmethod
-    def _ends(ids: list[int], words: list[bytes]) -> list[tuple[int, int]]:
-        out, end = [], 0
-        for i in ids:
-            end += len(words[i])
-            out.append((i, end))
-        return out
+    def tokens(self, texts: list[str]) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]] | None]:
+        """The same as (id, end offset) of each token."""
+        return [raw and (list(zip(raw[0], raw[1], strict=True)), list(zip(raw[2], raw[3], strict=True))) for raw in self._raw(texts)]
 
     def _words(self, words: list[str]):
-        """Of each word: numbers of A tokens, B tokens and groups; the groups; keys and times of the links. None as in ``tokens``."""
-        for tokens in self.tokens(words):
-            if tokens is None:
+        """Of each word, packed: numbers of A tokens, B tokens and groups; the groups; the key
+        of every link. A fragment where there are many links; None as in ``tokens``."""
+        size_b, text = self.size_b, self.text.__getitem__
+        for raw in self._raw(words):
+            if raw is None:
                 yield None
                 continue
-            f = whole(fragment(*tokens, self.size_b), self.size_b)
-            yield struct.pack("<3I", f.n_a, f.n_b, f.n_groups), f.groups, f.keys.tobytes(), f.times.tobytes()
-
-    def _bulk(self, found: list[tuple]) -> Fragment:
-        """The composition of closed fragments in packed form."""
-        n = np.frombuffer(b"".join(map(itemgetter(0), found)), "<u4").reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
-        return Fragment(True, n_a=n[0], n_b=n[1], n_groups=n[2], groups=b";".join(map(itemgetter(1), found)),
-                        keys=np.frombuffer(b"".join(map(itemgetter(2), found)), "<u8"), times=np.frombuffer(b"".join(map(itemgetter(3), found)), "<u8"))
+            a, ends_a, b, ends_b = raw
+            i = j = n_links = 0
+            groups, keys = [], []
+            while i < len(a):
+                first_a, first_b, end_a, end_b = i, j, ends_a[i], ends_b[j]
+                while end_a != end_b:
+                    if end_a < end_b:
+                        i += 1
+                        end_a = ends_a[i]
+                    else:
+                        j += 1
+                        end_b = ends_b[j]
+                i, j = i + 1, j + 1
+                if i - first_a == 1 == j - first_b:
+                    groups.append(text(a[first_a]) + "|" + text(b[first_b]))
+                    keys.append(a[first_a] * size_b + b[first_b])
+                    n_links += 1
+                    continue
+                ids_a, ids_b = a[first_a:i], b[first_b:j]
+                n_links += len(ids_a) * len(ids_b)
+                if n_links > MANY_LINKS:
+                    break
+                groups.append(",".join(map(text, ids_a)) + "|" + ",".join(map(text, ids_b)))
+                keys += [x * size_b + y for x in ids_a for y in ids_b]
+            if n_links > MANY_LINKS:
+                yield whole(fragment(list(zip(a, ends_a, strict=True)), list(zip(b, ends_b, strict=True)), size_b), size_b)
+            else:
+                yield struct.pack("<3I", len(a), len(b), len(groups)), ";".join(groups).encode(), array("Q", keys).tobytes()
+
+    def _joined(self, pieces: list) -> Fragment:
+        """The composition of neighbouring pieces: packed words, which are closed, or fragments."""
+        f, run = Fragment(), []
+        for piece in [*pieces, None]:
+            if isinstance(piece, tuple):
+                run.append(piece)
+                continue
+            if run:
+                n = np.frombuffer(b"".join(map(itemgetter(0), run)), "<u4").reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
+                keys = np.frombuffer(b"".join(map(itemgetter(2), run)), "<u8")
+                f = compose(f, Fragment(True, n_a=n[0], n_b=n[1], n_groups=n[2], groups=b";".join(map(itemgetter(1), run)),
+                                        keys=keys, times=np.ones(len(keys), "<u8")), self.size_b)
+                run = []
+            if piece is not None:
+                f = compose(f, piece, self.size_b)
+        return f
 
     def documents(self, texts: list[str | None], size: int = RANGE) -> Iterator[list[Fragment]]:
         """The fragments of each text's ranges of ``size`` bytes; none if it has no tokens."""
@@ -236,7 +276,7 @@ class Pair:
                 tokens = self.tokens([text])[0]
                 yield [] if tokens is None else self._ranges([(tokens, len(text.encode()) + 1)], size)
             elif len(text or "") <= size // 4 or sum(len(w.encode()) + 1 for w in ws) <= size:
-                yield [self._bulk(found)] if found else []
+                yield [self._joined(found)] if found else []
             else:
                 yield self._ranges([(f, len(w.encode()) + 1, w) for f, w in zip(found, ws, strict=True)], size)
 
@@ -249,26 +289,14 @@ class Pair:
             end = start + length
             first, last = start // size, (end - 1) // size
             if word and first == last:
-                pieces[first].append(what)
+                pieces[first].append(what)  # packed, or a fragment
             else:
                 a, b = what if not word else self.tokens(word)[0]
                 for r in range(first, last + 1):
                     lo, hi = r * size - start, (r + 1) * size - start
                     pieces[r].append(fragment([t for t in a if lo < t[1] <= hi], [t for t in b if lo < t[1] <= hi], self.size_b))
             start = end
-        out = []
-        for found in pieces:
-            f, run = Fragment(), []
-            for piece in [*found, None]:
-                if isinstance(piece, tuple):
-                    run.append(piece)
-                    continue
-                if run:
-                    f, run = compose(f, self._bulk(run), self.size_b), []
-                if piece is not None:
-                    f = compose(f, piece, self.size_b)
-            out.append(f)
-        return out
+        return [self._joined(found) for found in pieces]
 
 
 _PAIRS: dict[int, Pair] = {}
@@ -303,7 +331,7 @@ def _finished(batch: int, docs: list[tuple[int, int | None, Fragment | None]], s
     if keys:
         key, place, time = np.concatenate(keys), np.concatenate(places), np.concatenate(times)
         bucket = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(BUCKETS)
-        order = np.lexsort((key, bucket))
+        order = np.argsort(bucket << np.uint64(58) | key)  # two vocabularies' ids make far less than 2^58 pairs
         key, place, time, bucket = key[order], place[order], time[order], bucket[order]
         edges = np.searchsorted(bucket, np.arange(BUCKETS + 1))
         for k in range(BUCKETS):
