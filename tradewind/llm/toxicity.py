@@ -41,7 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import read
+from tradewind.llm.bpe import _Recent
+from tradewind.llm.common import materialize, read
 from tradewind.llm.quality import held_out, training_sample
 
 TRAIN_DOCS = 6000
@@ -49,8 +50,8 @@ CUT = 0.5
 #: Training documents that a word or beginning must occur in to count as evidence.
 LEAST_DOCS = 4
 BEGINNINGS = range(4, 9)
-#: Scored tokens that a Python worker remembers (speed only).
-CACHED_TOKENS = 200_000
+#: Scored tokens, other than plain words, of each of two generations that a worker remembers (speed only).
+CACHED_TOKENS = 100_000
 
 # The letters that a character imitates.
 IMITATES = {
@@ -173,6 +174,14 @@ _PIECE = r"(?:[^\W_]{1,2}(?:[.\-_*]{1,2}[^\W_]{1,2})+[.\-_*]{0,2}|\S{1,2})(?!\S)
 _PIECES = re.compile(rf"(?<!\S){_PIECE}(?:\s+{_PIECE}){{2,}}")
 
 
+def plain(token: str) -> str | None:
+    """The lower-case word of a token of letters alone, none of them three times in a row:
+    it stands for itself. None for other tokens."""
+    if token.isalpha() and (low := token.lower()).isalpha() and not _RUN.search(low):
+        return low
+    return None
+
+
 class Restorer:
     def __init__(self, model: CharModel):
         self.model = model
@@ -182,6 +191,8 @@ class Restorer:
         of pieces, the words that they make together."""
         if " " in token:
             return tuple(self.model.restore(token, apart=True).split())
+        if (word := plain(token)) is not None:
+            return (word,)
         core = self.core(token)
         if _PLAIN.match(core) and not _RUN.search(core):
             return (core,)
@@ -222,21 +233,31 @@ class Toxicity:
     _known: dict[str, float] = field(default_factory=dict, repr=False)
     _beginnings: set[str] | None = field(default=None, repr=False)
 
+    def __post_init__(self):
+        self._known = _Recent(self._strength, CACHED_TOKENS, 200)
+        self._starts = {f[:3] for f in self.evidence}
+
     def __getstate__(self):
         return self.model, self.evidence, self.weights
 
     def __setstate__(self, state):
         self.model, self.evidence, self.weights = state
-        self._known, self._beginnings = {}, None
+        self._beginnings = None
+        self.__post_init__()
+
+    def told(self, word: str) -> float:
+        """The strongest evidence of a word: no feature is shorter than three letters."""
+        if word[:3] not in self._starts:
+            return 0.0
+        return max((self.evidence.get(f, 0.0) for f in features(word)), default=0.0)
 
     def strength(self, token: str) -> float:
-        if (s := self._known.get(token)) is None:
-            s = max((self.evidence.get(f, 0.0) for w in Restorer(self.model).words(token) for f in features(w)), default=0.0)
-            s = max(s, self.spelled(token) if " " in token else self.hidden(token))
-            if len(self._known) >= CACHED_TOKENS:
-                self._known.clear()
-            self._known[token] = s
-        return s
+        word = plain(token)
+        return self.told(word) if word is not None else self._known[token]
+
+    def _strength(self, token: str) -> float:
+        s = max((self.told(w) for w in Restorer(self.model).words(token)), default=0.0)
+        return max(s, self.spelled(token) if " " in token else self.hidden(token))
 
     def spelled(self, token: str) -> float:
         """The strongest word of evidence that pieces may hold."""
@@ -318,8 +339,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> T
     """Language model over all of ``docs``; evidence and weights from the sample."""
     model = CharModel(count_trigrams(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of the alphabet's size
-    sample = training_sample(docs, labels, "toxic", train_docs).select(
-        "id", "label", F.col("text").cast("string").alias("text")).repartition(12, "id")
+    sample = training_sample(docs, labels, "toxic", train_docs).select("id", "label", F.col("text").cast("string").alias("text"))
+    sample = materialize(sample.repartition(12, "id"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, seen, sizes, of_token = Restorer(shared.value), (Counter(), Counter()), [0, 0], {}
