@@ -42,8 +42,9 @@ SHINGLE = 5
 PERMUTATIONS, BAND = 44, 4
 BANDS = 2 * PERMUTATIONS // BAND
 THRESHOLD = 85
-#: Classes of one band that meet in one block; larger bands are cut into pairs of chunks.
-CHUNK = 512
+#: Classes of one band that meet in one block, and shingles of their sets; larger bands are
+#: cut into pairs of chunks, so that a worker holds two chunks' sets at most (and one set more).
+CHUNK, CHUNK_SHINGLES = 512, 500_000
 
 _rng = np.random.default_rng(10)
 _odd = lambda n: _rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -235,9 +236,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     upper = stars.select(F.col("u").alias("l1"), F.col("v").alias("l2"))
     label = (nodes.join(up, "node", "left").join(upper, "l1", "left")
              .select("node", F.coalesce("l2", "l1", "node").alias("label")))
-    labelled = materialize(member.select("key", "node").join(label, "node"), "labels")
-    mixed = (labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
-             .where("lo <> hi").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")))
+    labelled = materialize(member.select("key", "node", "n").join(label, "node"), "labels")
+    mixed = (labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("held"))
+             .where("lo <> hi").select("key", F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("held") / CHUNK_SHINGLES)).cast("int").alias("chunks")))
     block = labelled.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     block = block.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "key", F.least("side", "o").alias("a"), F.greatest("side", "o").alias("b"), "side", "node", "label")
