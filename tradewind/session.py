@@ -29,6 +29,7 @@ _SCALE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Texts can be long: small batches bound what a Python worker holds at once.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * 1024 * 1024),
     # 128 MiB splits keep scan tasks in memory at any scale factor.
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.ui.enabled": "false",
