@@ -20,6 +20,9 @@ from tradewind.plans.oracle_views import with_views
 from tradewind.session import scratch_dir
 from tradewind.sources.alert_source import MSG_ACTION, raw_alerts, raw_alerts_sql
 from tradewind.sources.business import Biz, from_testdata
+from tradewind.sources.feed_log import OLDEST, FeedLog
+
+FEED_SCHEMA = "seq bigint, raw string"
 
 # ---------------------------------------------------------------- SQL pieces
 
@@ -115,15 +118,16 @@ def alert_top10_per_route(spark, d):
 @register("alert_append_trim", with_views(
     f"SELECT seq, raw FROM raw ORDER BY seq DESC LIMIT {AL.FEED_LIMIT}", ALERT_CTES))
 def alert_append_trim(spark, d):
-    """Append sink + compaction: older half written, newer half appended,
-    then the store is rewritten to its newest 500 rows and read back."""
-    from tradewind.sources.sinks import append_and_trim
+    """The older half is pushed as one segment, the newer half as the next, the
+    log is trimmed, and the newest 500 rows are read from the segments that hold them."""
     raw = raw_alerts(spark, d)
     cut = raw.select(F.percentile_approx("seq", 0.5)).first()[0]
     later = F.coalesce(F.col("seq") > cut, F.lit(False))  # a row without a number is older than all
-    path = scratch_dir(spark, f"alert_store/{uuid.uuid4().hex}")
-    return append_and_trim(spark, path, raw.where(~later), raw.where(later),
-                           AL.FEED_LIMIT).select("seq", "raw")
+    log = FeedLog(spark, scratch_dir(spark, f"alert_log/{uuid.uuid4().hex}"), FEED_SCHEMA)
+    log.push(raw.where(~later), 1)
+    log.push(raw.where(later), 2)
+    log.trim(AL.FEED_LIMIT)
+    return log.newest(AL.FEED_LIMIT)
 
 
 # ---------------------------------------------------------------- focus lists
@@ -412,20 +416,22 @@ ORDER BY seq DESC LIMIT {AL.FEED_LIMIT}
 """, ALERT_CTES + f", ev AS ({ACTION_EVENT_SQL})"))
 def action_writeback(spark, d):
     """The events of confirmed actions are appended to the event table, one
-    partition a channel, read back, and pushed in the order of their ids at the head of
-    the feed, which is trimmed. Only the newest events can stay, so only those are numbered."""
+    partition a channel, read back, and pushed to the feed in the order of their ids, as
+    one segment that follows all others. Only the newest events can stay, so only those
+    are numbered."""
     from pyspark.sql import Window
 
-    from tradewind.sources.sinks import append_and_trim
     base = scratch_dir(spark, f"events/{uuid.uuid4().hex}")
     AC.action_events(decisions(from_testdata(spark, d))).write.mode("append").partitionBy("channel").parquet(f"{base}/table")
     events = spark.read.parquet(f"{base}/table").where(F.col("channel") == AC.CHANNEL)
-    feed = raw_alerts(spark, d).select("seq", "raw")
-    last = (feed.agg(F.max("seq")).first()[0] or 0) + events.count()
+    log = FeedLog(spark, f"{base}/feed", FEED_SCHEMA)
+    log.push(raw_alerts(spark, d), 1)
+    last = max((s.most for s in log.segments() if s.most > OLDEST), default=0) + events.count()
     newest = events.orderBy(F.col("order_id").desc()).limit(AL.FEED_LIMIT)
-    pushed = newest.select((F.lit(last + 1) - F.row_number().over(Window.orderBy(F.col("order_id").desc()))).alias("seq"),
-                           F.col("payload").alias("raw"))
-    return append_and_trim(spark, f"{base}/feed", feed, pushed, AL.FEED_LIMIT)
+    number = F.lit(last + 1).cast("long") - F.row_number().over(Window.orderBy(F.col("order_id").desc()))
+    log.push(newest.select(number.alias("seq"), F.col("payload").alias("raw")), 2)
+    log.trim(AL.FEED_LIMIT)
+    return log.newest(AL.FEED_LIMIT)
 
 
 _CHURN_RULES_BODY = RP.CHURN_RULES_BODY

@@ -22,7 +22,10 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite",
 def append_and_trim(spark: SparkSession, path: str, existing: DataFrame, new: DataFrame,
                     keep: int, order_col: str = "seq") -> DataFrame:
     """Write ``existing``, append ``new``, then compact the store to its newest
-    ``keep`` rows (a new generation folder; readers switch after the write)."""
+    ``keep`` rows (a new generation folder; readers switch after the write). ``new`` takes
+    the store's types: one folder never holds two. Each call copies the store; a feed that
+    grows is kept by ``feed_log``."""
+    new = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in existing.schema])
     write_table(existing, f"{path}/gen0", "overwrite")
     write_table(new, f"{path}/gen0", "append")
     store = spark.read.parquet(f"{path}/gen0")
