@@ -80,25 +80,33 @@ def best_scenarios(model: PipelineModel, feats: DataFrame) -> DataFrame:
 SCENARIOS = [("halve_weight", 0.5, None), ("ship_monday", 1.0, 0), ("halve_weight_monday", 0.5, 0)]
 
 
-def scenario_deltas(model: PipelineModel, feats: DataFrame) -> DataFrame:
-    """New risk minus baseline for each order and scenario. The baseline is
-    one more literal scenario row (factor 1, own day), so one ``transform``
-    scores all rows; a per-order window over the order's 1 + len(SCENARIOS)
-    rows supplies the baseline to each scenario row (no join)."""
-    from pyspark.sql import Window
+BASELINE = "baseline"
+
+
+def scenario_rows(model: PipelineModel, feats: DataFrame) -> DataFrame:
+    """A row for each order and scenario, and one for the order as it is."""
     base = _base_inputs(model, feats)
-    sc = F.array(F.struct(F.lit("baseline").alias("scenario"), F.lit(1.0).alias("factor"),
+    sc = F.array(F.struct(F.lit(BASELINE).alias("scenario"), F.lit(1.0).alias("factor"),
                           F.lit(None).cast("int").alias("day")),
                  *[F.struct(F.lit(n).alias("scenario"), F.lit(f).alias("factor"),
                             F.lit(d).cast("int").alias("day")) for n, f, d in SCENARIOS])
     rows = base.select("*", F.explode(sc).alias("s"))
-    sim = model.transform(rows.select(
+    return rows.select(
         "order_id", "payment_type", "order_value", F.col("s.scenario").alias("scenario"),
         (F.col("weight_kg") * F.col("s.factor") * 1000.0).alias("product_weight_g"),
-        F.coalesce(F.col("s.day"), F.col("day_of_week")).alias("day_of_week")))
+        F.coalesce(F.col("s.day"), F.col("day_of_week")).alias("day_of_week"))
+
+
+def scenario_deltas(model: PipelineModel, feats: DataFrame) -> DataFrame:
+    """New risk minus baseline for each order and scenario. The baseline is
+    one more literal scenario row (factor 1, own day), so one ``transform``
+    scores all rows; a per-order window over the order's 1 + len(SCENARIOS)
+    rows supplies the baseline to each scenario row (no join)."""
+    from pyspark.sql import Window
+    sim = model.transform(scenario_rows(model, feats))
     risk = sim.select("order_id", "scenario", (ML.prob1() * 100.0).alias("sim_risk"))
     w = Window.partitionBy("order_id")
-    with_base = risk.withColumn("base_risk", F.max(F.when(F.col("scenario") == "baseline",
+    with_base = risk.withColumn("base_risk", F.max(F.when(F.col("scenario") == BASELINE,
                                                           F.col("sim_risk"))).over(w))
-    return (with_base.where(F.col("scenario") != "baseline")
+    return (with_base.where(F.col("scenario") != BASELINE)
                      .withColumn("risk_diff", F.col("sim_risk") - F.col("base_risk")))

@@ -10,9 +10,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tradewind.operators import ml as ML
+from tradewind.operators import tree_attribution as TA
+from tradewind.operators import whatif as WI
 from tradewind.plans import ml_plans as MP
 from tradewind.plans.catalog import register
 from tradewind.plans.feature_plans import RISK_BASE_SQL, SELLER_FEATURES_CTES, churn_agg_sql, seller_agg_sql
@@ -70,6 +73,46 @@ def attribution_check(spark, d):
     return out
 
 
+@register("attribution_whatif_check", with_views(
+    f"SELECT {_OPEN_ORDERS} * {len(WI.SCENARIOS)} AS rows, CAST(0 AS BIGINT) AS broken"))
+def attribution_whatif_check(spark, d):
+    """The differences of the parts add up to the difference of the margins, and the
+    margins' risks differ by the simulation's ``risk_diff``."""
+    keys = ["order_id", "scenario"]
+    sums = MP.attribution_whatif(spark, d).groupBy(*keys).agg(
+        F.sum("phi_diff").alias("s"), F.max("sim_margin").alias("sim"), F.max("base_margin").alias("base"), F.max("risk_diff").alias("told"))
+    both = sums.join(MP.whatif_delta(spark, d), keys, "full")
+    bad = (F.abs(F.col("s") - (F.col("sim") - F.col("base"))) > 1e-9) | (F.abs(F.col("told") - F.col("risk_diff")) > 1e-6)
+    return _check(both, F.coalesce(bad, F.lit(True)))
+
+
+@register("explainer_check", with_views(
+    f"SELECT 'risk' AS model, {_OPEN_ORDERS} AS rows, CAST(0 AS BIGINT) AS broken UNION ALL SELECT 'churn', {_CUSTOMERS}, 0"))
+def explainer_check(spark, d):
+    """The bundle holds its explainer. Saved and loaded back, it explains every
+    open order and customer as before, and the parts explain the model's own margin."""
+    out = None
+    for name, (model, ex), inputs, key in (
+            ("risk", MP.risk_explainer(spark, d), lambda m: MP.coded_orders(spark, d, m), "order_id"),
+            ("churn", MP.churn_explainer(spark, d), lambda m: ML.customer_serving_features(from_testdata(spark, d)), "customer_id")):
+        path = scratch_dir(spark, f"models/{uuid.uuid4().hex}/{name}")
+        TA.save_bundle(model, ex, path)
+        loaded, again = TA.load_bundle(spark, path)
+        rows = inputs(model)
+        stage = loaded.stages[-1]
+        scored = VectorAssembler(inputCols=ex.features, outputCol="features", handleInvalid="keep").transform(rows)
+        if name == "risk":
+            scored = model.stages[1].transform(rows)
+        margin = stage.transform(scored).select(key, TA.margin(stage, scored).alias("margin"))
+        first = TA.attribute(rows, [key], ex).select(key, F.col("phi").alias("first"), F.col("base_value").alias("first_base"))
+        both = TA.attribute(inputs(loaded), [key], again).join(first, key, "full").join(margin, key, "full")
+        off = F.exists(F.zip_with("phi", "first", lambda a, b: F.abs(a - b)), lambda x: x > 1e-12)
+        bad = off | (F.abs(F.col("base_value") - F.col("first_base")) > 1e-12) | (F.abs(F.col("full_value") - F.col("margin")) > 1e-9)
+        row = _check(both, F.coalesce(bad, F.lit(True))).select(F.lit(name).alias("model"), "rows", "broken")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register("bundle_check", with_views(
     f"SELECT 'risk' AS model, {_RISK_ROWS} AS rows, CAST(0 AS BIGINT) AS broken UNION ALL SELECT 'churn', {_TRAINED_CUSTOMERS}, 0 "
     f"UNION ALL SELECT 'seller', {_TRAINED_SELLERS}, 0", SELLER_FEATURES_CTES))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tradewind.operators import attribution as AT
 from tradewind.operators import features as FE
 from tradewind.operators import ml as ML
+from tradewind.operators import tree_attribution as TA
 from tradewind.operators import whatif as WI
 from tradewind.plans.catalog import register
 from tradewind.plans.feature_plans import SELLER_FEATURES_CTES
@@ -183,28 +184,61 @@ def whatif_delta(spark, d):
 
 # ---------------------------------------------------------------- attribution
 
+def risk_explainer(spark, d):
+    model, _ = risk_model(spark, d)
+    k = _key(spark, "risk-explainer", d)
+    with _LOCK:
+        if k not in _CACHE:
+            _CACHE[k] = TA.explainer(spark, model.stages[-1], ML.RISK_INPUTS)
+        return model, _CACHE[k]
+
+
+def churn_explainer(spark, d):
+    model, _ = churn_model(spark, d)
+    k = _key(spark, "churn-explainer", d)
+    with _LOCK:
+        if k not in _CACHE:
+            _CACHE[k] = TA.explainer(spark, model.stages[-1], ML.CHURN_INPUTS)
+        return model, _CACHE[k]
+
+
+def coded_orders(spark, d, model):
+    """Open orders with the inputs that the trees see."""
+    feats = ML.open_order_features(from_testdata(spark, d)).withColumn("payment_type", ML.known_payment(model))
+    return model.stages[0].transform(feats).select("order_id", *ML.RISK_INPUTS)
+
+
 @register("attribution_risk")
 def attribution_risk(spark, d):
-    """Log-odds attribution for every open order."""
-    model, rows = risk_model(spark, d)
-    b = from_testdata(spark, d)
-    feats = ML.open_order_features(b).withColumn("payment_type", ML.known_payment(model))
-    # the pipeline output already carries the coded inputs (payment_code)
-    orders = model.transform(feats).select("order_id", *ML.RISK_INPUTS)
-    train = model.stages[0].transform(rows.where(F.col("part") == "train"))
-    bg = AT.kmeans_background(train, ML.RISK_INPUTS, integer_features=("payment_code", "day_of_week"))
-    return AT.shapley(orders, "order_id", ML.RISK_INPUTS, bg,
-                      AT.margin_scorer(model.stages[-1], ML.RISK_INPUTS, margin=True))
+    """Path-dependent log-odds attribution for every open order."""
+    model, ex = risk_explainer(spark, d)
+    return TA.long_form(TA.attribute(coded_orders(spark, d, model), ["order_id"], ex), ["order_id"], ex)
 
 
 @register("attribution_churn")
 def attribution_churn(spark, d):
-    """Class-1 probability attribution for every customer."""
-    model, rows = churn_model(spark, d)
+    """Path-dependent attribution of the class-1 probability for every customer."""
+    _, ex = churn_explainer(spark, d)
     feats = ML.customer_serving_features(from_testdata(spark, d))
-    bg = AT.kmeans_background(rows.where(F.col("part") == "train"), ML.CHURN_INPUTS)
-    return AT.shapley(feats, "customer_id", ML.CHURN_INPUTS, bg,
-                      AT.margin_scorer(model.stages[-1], ML.CHURN_INPUTS, margin=False))
+    return TA.long_form(TA.attribute(feats, ["customer_id"], ex), ["customer_id"], ex)
+
+
+@register("attribution_whatif")
+def attribution_whatif(spark, d):
+    """Attribution of every simulated order, beside that of the order as it is: for
+    each order, scenario and feature both parts and their difference."""
+    model, ex = risk_explainer(spark, d)
+    rows = WI.scenario_rows(model, ML.open_order_features(from_testdata(spark, d)))
+    coded = model.stages[0].transform(rows).select("order_id", "scenario", *ML.RISK_INPUTS)
+    parts = TA.attribute(coded, ["order_id", "scenario"], ex)
+    base = parts.where(F.col("scenario") == WI.BASELINE).select("order_id", F.col("phi").alias("base_phi"), F.col("full_value").alias("base_margin"))
+    both = parts.where(F.col("scenario") != WI.BASELINE).join(base, "order_id")
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in ex.features]).alias("feature"), F.col("phi"), F.col("base_phi"))).alias("p")
+    risk = lambda m: F.lit(100.0) / (1 + F.exp(-F.col(m)))
+    return both.select("order_id", "scenario", each, F.col("full_value").alias("sim_margin"), "base_margin",
+                       (risk("full_value") - risk("base_margin")).alias("risk_diff")).select(
+        "order_id", "scenario", "p.feature", "p.phi", "p.base_phi", (F.col("p.phi") - F.col("p.base_phi")).alias("phi_diff"),
+        "base_margin", "sim_margin", "risk_diff")
 
 
 @register("attribution_seller")
