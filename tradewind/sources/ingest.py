@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tradewind.sources import csv_records
+
 # The reference's file -> table catalogue.
 CATALOGUE = {
     "olist_customers_dataset.csv": "customers",
@@ -66,14 +68,15 @@ def file_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-#: Tables with free text, whose quoted fields may hold line breaks. Only these are read
-#: a file at a time; the others are split like any text.
+#: Tables with free text, whose quoted fields may hold line breaks: their records are put
+#: together across byte ranges. The others are split at line breaks.
 FREE_TEXT = {"order_reviews"}
 
 
 def read_csv_text(spark: SparkSession, path: str, table: str = "") -> DataFrame:
-    return (spark.read.option("header", True).option("multiLine", table in FREE_TEXT).option("escape", '"')
-            .option("inferSchema", False).csv(path))
+    if table in FREE_TEXT:
+        return csv_records.read_csv(spark, path)
+    return spark.read.option("header", True).option("escape", '"').option("inferSchema", False).csv(path)
 
 
 def coerce(df: DataFrame, schema: T.StructType) -> DataFrame:
