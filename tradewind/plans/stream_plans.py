@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tradewind.operators import actions as AC
 from tradewind.operators import alerts as AL
+from tradewind.operators import ml as ML
 from tradewind.plans import ml_plans as MP
 from tradewind.plans.alert_plans import ALERT_CTES, ENTITY_SQL, PARSED_COLS
 from tradewind.plans.catalog import register
@@ -22,12 +23,11 @@ from tradewind.session import scratch_dir
 from tradewind.sources.alert_source import raw_alerts
 from tradewind.sources.business import from_testdata
 from tradewind.streaming import alert_stream as AS
+from tradewind.streaming import change_monitor as CM
 from tradewind.streaming import cooldown as CS
 from tradewind.streaming import monitor as MO
 
 ARRIVALS = 3
-#: Input rows for each partition of a stream's state (fixed when its checkpoint begins).
-ROWS_PER_STATE_PARTITION = 1_000_000
 
 
 def _slices(df, order_col):
@@ -68,27 +68,107 @@ def alert_stream(spark, d):
     return spark.read.parquet(f"{base}/alerts")
 
 
-def _monitor(spark, d):
+ORDER, CUSTOMER = "order", "customer"
+#: Changes for each partition of the monitor's state (fixed when its checkpoint begins).
+CHANGES_PER_STATE_PARTITION = 1_000_000
+
+
+def _watch(spark, log, flag, order_col="event_time"):
+    """Land the change log slice by slice, let the monitor take each, return its snapshots' folder."""
     base = scratch_dir(spark, f"streams/{uuid.uuid4().hex}")
-    b = from_testdata(spark, d)
-    orders = (b.orders_nodates.where(F.col("order_status").isin("processing", "shipped"))
-              .select("order_id", F.col("order_purchase_timestamp").alias("event_time")))
-    _arrive(orders, "event_time", f"{base}/in", lambda: MO.start_monitor(
-        spark.readStream.schema("order_id string, event_time timestamp_ntz").parquet(f"{base}/in"),
-        lambda: MP.monitor_counts(spark, d), f"{base}/snapshot", f"{base}/ckpt"))
+    own = spark.newSession()  # the stream's settings are its own
+    parts = max(spark.sparkContext.defaultParallelism, -(-log.count() // CHANGES_PER_STATE_PARTITION))
+    schema = log.schema
+    _arrive(log, order_col, f"{base}/in", lambda: CM.start_change_monitor(
+        own.readStream.schema(schema).parquet(f"{base}/in"), flag, f"{base}/snapshot", f"{base}/ckpt", state_partitions=parts))
     return f"{base}/snapshot"
 
 
+def model_changes(spark, d):
+    """A change for each open order and customer, with what the models score."""
+    b = from_testdata(spark, d)
+    orders = ML.open_order_features(b).join(b.orders_nodates.select("order_id", F.col("order_purchase_timestamp").alias("event_time")), "order_id")
+    orders = orders.select(F.lit(ORDER).alias("kind"), F.col("order_id").alias("entity_id"), "event_time", "product_weight_g", "order_value",
+                           "day_of_week", "payment_type")
+    customers = ML.customer_serving_features(b).select(F.lit(CUSTOMER).alias("kind"), F.col("customer_id").alias("entity_id"), *ML.CHURN_INPUTS)
+    return orders.unionByName(customers, allowMissingColumns=True).withColumns({"seq": F.lit(1).cast("long"), "closing": F.lit(False)})
+
+
+def model_flag(spark, d):
+    """Changed rows scored by the fitted models."""
+    risk, churn = MP.risk_model(spark, d)[0], MP.churn_model(spark, d)[0]
+    columns = ("kind", "entity_id", "seq", "closing", "event_time", "flag")
+
+    def flag(rows):
+        score = ML.prob1() * 100.0
+        orders = risk.transform(rows.where(F.col("kind") == ORDER).withColumn("payment_type", ML.known_payment(risk)))
+        customers = churn.transform(rows.where(F.col("kind") == CUSTOMER))
+        return (orders.withColumn("flag", score > MP.RISK_ALERT).select(*columns)
+                .unionByName(customers.withColumn("flag", score > MP.CHURN_ALERT).select(*columns)))
+    return flag
+
+
+def _model_totals(spark, d):
+    return CM.read_totals(spark, _watch(spark, model_changes(spark, d), model_flag(spark, d)))
+
+
 @register("monitor_stream")
 def monitor_stream(spark, d):
-    """Counts published by the micro-batch monitor (raw snapshot text)."""
-    return spark.read.text(AS.latest_generation(spark, _monitor(spark, d)))
+    """Counts published by the change monitor over the fitted models' scores (raw snapshot text)."""
+    return CM.kpi_text(_model_totals(spark, d), ORDER, CUSTOMER)
 
 
 @register("kpi_snapshot")
 def kpi_snapshot(spark, d):
     """The last published snapshot, fields defaulted when missing."""
-    return MO.read_snapshot(spark, _monitor(spark, d))
+    base = scratch_dir(spark, f"streams/{uuid.uuid4().hex}/kpi")
+    monitor_stream(spark, d).write.mode("overwrite").text(AS.generation_path(base, 0))
+    return MO.read_snapshot(spark, base)
+
+
+# Inserts, changes and closings by rule, with stand-in scores in tenths; the last change of an entity counts.
+_CHANGES_SQL = f""", chg AS (
+  SELECT '{ORDER}' AS kind, order_id AS entity_id, 1 AS seq, false AS closing, o_orderkey * 37 % 1000 > 700 AS flag FROM b_orders_base
+  UNION ALL SELECT '{ORDER}', order_id, 2, false, o_orderkey * 91 % 1000 > 700 FROM b_orders_base WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT '{ORDER}', order_id, 3, true, false FROM b_orders_base WHERE order_status NOT IN ('processing', 'shipped')
+  UNION ALL SELECT '{CUSTOMER}', customer_id, 1, false, c_custkey * 53 % 1000 > 500 FROM b_customers
+  UNION ALL SELECT '{CUSTOMER}', customer_id, 2, false, c_custkey * 77 % 1000 > 500 FROM b_customers WHERE c_custkey % 2 = 0
+), last AS (SELECT kind, entity_id, max_by(flag, seq) AS flag, max_by(closing, seq) AS closing FROM chg GROUP BY kind, entity_id)
+"""
+
+
+def rule_changes(spark, d):
+    """A change log of all orders and customers: inserts, changed scores, closings."""
+    b = from_testdata(spark, d)
+    at = F.col("order_purchase_timestamp")
+    o = b.orders_nodates.select(F.lit(ORDER).alias("kind"), F.col("order_id").alias("entity_id"), F.col("o_orderkey").alias("k"), "order_status", at)
+    c = b.customers.select(F.lit(CUSTOMER).alias("kind"), F.col("customer_id").alias("entity_id"), F.col("c_custkey").alias("k"))
+    day = lambda n: at + F.expr(f"INTERVAL {n} DAYS")
+
+    def change(rows, seq, tenths, event_time, closing=False):
+        return rows.select("kind", "entity_id", F.lit(seq).cast("long").alias("seq"), F.lit(closing).alias("closing"),
+                           tenths.cast("int").alias("tenths"), event_time.cast("timestamp_ntz").alias("event_time"))
+
+    parts = [change(o, 1, F.col("k") * 37 % 1000, day(0)), change(o.where("k % 3 = 0"), 2, F.col("k") * 91 % 1000, day(40)),
+             change(o.where("order_status NOT IN ('processing', 'shipped')"), 3, F.lit(None), day(80), True),
+             change(c, 1, F.col("k") * 53 % 1000, F.lit(None)), change(c.where("k % 2 = 0"), 2, F.col("k") * 77 % 1000, F.lit("1995-06-01"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def rule_flag(rows):
+    limit = F.when(F.col("kind") == ORDER, MP.RISK_ALERT * 10).otherwise(MP.CHURN_ALERT * 10)
+    return rows.withColumn("flag", F.col("tenths") > limit)
+
+
+@register("monitor_changes", with_views(
+    "SELECT kind, CAST(count(*) FILTER (WHERE flag AND NOT closing) AS BIGINT) AS flagged, CAST(count(*) FILTER (WHERE NOT closing) AS BIGINT) AS open, "
+    "(SELECT count(*) FROM chg c WHERE c.kind = l.kind AND NOT c.closing) AS scored FROM last l GROUP BY kind", _CHANGES_SQL))
+def monitor_changes(spark, d):
+    """Counts moved by signed differences; as many rows scored as changed."""
+    return CM.read_totals(spark, _watch(spark, rule_changes(spark, d), rule_flag)).drop("us")
 
 
 # The chain of passed requests, followed request by request.
@@ -121,17 +201,12 @@ def action_cooldown(spark, d):
 
 @register("action_cooldown_stream", COOLDOWN_SQL)
 def action_cooldown_stream(spark, d):
-    """T5 / X7 stream form (stateful processor, RocksDB state store)."""
+    """T5 / X7 stream form: micro-batches against the passed requests that still count."""
     base = scratch_dir(spark, f"streams/{uuid.uuid4().hex}")
-    requests = cooldown_requests(spark, d)
-    own = spark.newSession()  # the stream's settings are its own
-    own.conf.set("spark.sql.shuffle.partitions", max(
-        spark.sparkContext.defaultParallelism, -(-requests.count() // ROWS_PER_STATE_PARTITION)))
 
     def start():
-        stream = own.readStream.schema("entity_id string, action string, ts timestamp_ntz").parquet(f"{base}/in")
-        return (CS.cooldown_stream(stream).writeStream.format("parquet").option("path", f"{base}/out")
-                .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
+        stream = spark.readStream.schema("entity_id string, action string, ts timestamp_ntz").parquet(f"{base}/in")
+        return CS.start_cooldown(stream, f"{base}/out", f"{base}/state", f"{base}/ckpt")
 
-    _arrive(requests, "ts", f"{base}/in", start)
-    return spark.read.parquet(f"{base}/out")
+    _arrive(cooldown_requests(spark, d), "ts", f"{base}/in", start)
+    return CS.read_results(spark, f"{base}/out").drop("late")
