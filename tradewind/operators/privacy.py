@@ -79,14 +79,18 @@ def seller_weekly(b: Biz) -> DataFrame:
 QUERY_BATCH = 256  # query vectors inlined per scoring pass
 
 
+def dot(a: F.Column, b: F.Column) -> F.Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
+                       F.lit(0.0), lambda acc, v: acc + v)
+
+
+def length(a: F.Column) -> F.Column:
+    return F.sqrt(F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")),
+                              F.lit(0.0), lambda acc, v: acc + v))
+
+
 def cosine(a: F.Column, b: F.Column) -> F.Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                      F.lit(0.0), lambda acc, v: acc + v)
-    na = F.sqrt(F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")),
-                            F.lit(0.0), lambda acc, v: acc + v))
-    nb = F.sqrt(F.aggregate(F.transform(b, lambda x: x.cast("double") * x.cast("double")),
-                            F.lit(0.0), lambda acc, v: acc + v))
-    return F.try_divide(dot, na * nb)
+    return F.try_divide(dot(a, b), length(a) * length(b))
 
 
 def label_centroids(vectors: DataFrame) -> DataFrame:

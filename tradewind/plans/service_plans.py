@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tradewind.operators import privacy as PV
 from tradewind.operators import rules as RU
+from tradewind.operators import vector_index as VI
 from tradewind.plans import rule_plans as RP
 from tradewind.plans.catalog import register
 from tradewind.plans.oracle_views import money_sum, with_views
@@ -77,7 +78,7 @@ def seller_weekly(spark, d):
     return PV.seller_weekly(from_testdata(spark, d))
 
 
-@register("retrieve_topk", with_views("""
+_TOPK_SQL = with_views("""
 SELECT query_label, rank, vec_id, round(score, 6) AS score FROM (
   SELECT query_label, vec_id, score,
          row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id ASC) AS rank
@@ -92,12 +93,42 @@ WHERE rank <= 10
            FROM embeddings),
 cent AS (SELECT label AS query_label, list(m ORDER BY i) AS centroid
          FROM (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM ex GROUP BY 1, 2) g GROUP BY 1)
-"""))
+""")
+
+
+@register("retrieve_topk", _TOPK_SQL)
 def retrieve_topk(spark, d):
     v = read_table(spark, d, "embeddings")
     return PV.retrieve_topk(v, PV.label_centroids(v), k=10)
 
 
+def _indexed(spark, d, probes):
+    v = read_table(spark, d, "embeddings")
+    index = VI.VectorIndex.build(v)
+    found, cells = index.search(PV.label_centroids(v), 10, probes, id_col="query_label", vector_col="centroid")
+    return index, found.select(F.col("query").alias("query_label"), "rank", "vec_id", F.round("score", 6).alias("score")), cells
+
+
+@register("retrieve_index", _TOPK_SQL)
+def retrieve_index(spark, d):
+    """The same search through the stored cells, exact: cells that no bound excludes are read."""
+    return _indexed(spark, d, None)[1]
+
+
+#: Cells that the approximate search looks into: a third.
+PROBES = VI.CELLS // 3
+
+
+@register("retrieve_recall", "SELECT count(DISTINCT label) AS queries, true AS enough FROM embeddings")
+def retrieve_recall(spark, d):
+    """Queries of the approximate search, and whether it finds 0.9 of what the plain scan finds."""
+    v = read_table(spark, d, "embeddings")
+    _, found, _ = _indexed(spark, d, PROBES)
+    exact = PV.retrieve_topk(v, PV.label_centroids(v), k=10).select("query_label", "vec_id")
+    hits = exact.join(found.select("query_label", "vec_id", F.lit(1).alias("hit")), ["query_label", "vec_id"], "left")
+    return hits.agg(F.countDistinct("query_label").alias("queries"), (F.count("hit") >= 0.9 * F.count("vec_id")).alias("enough"))
+
+
 # ---------------------------------------------------------------- ingest
 
 
