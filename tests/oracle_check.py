@@ -63,7 +63,7 @@ def main(argv):
     keys = argv[2:]
     import __spark_entry__ as E
     from tradewind.session import build_session
-    spark = build_session("local[8]", shuffle_partitions=8)
+    spark = build_session(os.environ.get("MASTER", "local[8]"), shuffle_partitions=8)
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     results = {}
