@@ -2,21 +2,20 @@
 
 * delivery risk: boosted trees on (weight, order value, weekday, payment code)
 * churn: random forest on five customer aggregates
-* seller segments: standardised features, k-means k = 4, best of 10 seeds
+* seller segments: standardised features, k-means k = 4, best of 10 starts
 
-Splits are hash buckets of the row key (deterministic, no shuffle; an order's
-fan-out rows stay on one side). Class weights come from the training part.
+Splits are stratified and exact (``split``): of each class, round(0.8 n) orders or
+customers; an order's fan-out rows stay on one side. Class weights come from the
+training part.
 Only metrics and small model metadata reach the driver.
 """
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,13 +24,15 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.dates import weekday_mon0, weekday_sun0
 from tradewind.operators import features as FE
+from tradewind.operators import kmeans as KM
 from tradewind.operators import metrics as MT
 from tradewind.operators import rules as RU
+from tradewind.operators import split as SP
 from tradewind.sources.business import Biz
 from tradewind.sources.tables import spread
 
 SEED = 42
-TRAIN_PCT = 80
+TRAIN_SHARE = 0.8
 # Reference hyper-parameters (fixed values).
 RISK_TREES, RISK_DEPTH, RISK_RATE = 200, 5, 0.05
 CHURN_TREES, CHURN_DEPTH = 200, 8
@@ -44,10 +45,6 @@ CHECKPOINT_INTERVAL = 25
 RISK_INPUTS = ["product_weight_g", "order_value", "day_of_week", "payment_code"]
 
 
-def split_part(key: F.Column, seed: int = SEED, train_pct: int = TRAIN_PCT) -> F.Column:
-    return F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < train_pct, "train").otherwise("test")
-
-
 def with_class_weight(df: DataFrame, label: str) -> tuple[DataFrame, float]:
     """weight = negatives / positives for label 1 (from the training part)."""
     c = df.where(F.col("part") == "train").groupBy(label).count().collect()
@@ -61,8 +58,7 @@ def with_class_weight(df: DataFrame, label: str) -> tuple[DataFrame, float]:
 
 
 def risk_training_rows(b: Biz) -> DataFrame:
-    f = FE.risk_features(b)
-    return f.withColumn("part", split_part(F.col("order_id")))
+    return SP.stratified(FE.materialize(FE.risk_features(b)), "order_id", "is_risk", TRAIN_SHARE, SEED)
 
 
 def _risk_pipeline(trees: int) -> Pipeline:
@@ -102,7 +98,7 @@ CHURN_INPUTS = FE.CHURN_FEATURES
 
 
 def churn_training_rows(b: Biz) -> DataFrame:
-    return FE.churn_features(b).withColumn("part", split_part(F.col("customer_id")))
+    return SP.stratified(FE.materialize(FE.churn_features(b)), "customer_id", "is_churn", TRAIN_SHARE, SEED)
 
 
 def fit_churn(b: Biz, trees: int = CHURN_TREES) -> tuple[PipelineModel, DataFrame]:
@@ -120,34 +116,22 @@ def fit_churn(b: Biz, trees: int = CHURN_TREES) -> tuple[PipelineModel, DataFram
 # ---------------------------------------------------------------- sellers
 
 #: Partitions of the rows that k-means is fitted on (one row a seller), a fixed number.
-FIT_PARTITIONS = 32
+FIT_PARTITIONS = 8
 
 SELLER_INPUTS = FE.SELLER_FEATURES
 
 
 def fit_sellers(b: Biz, k: int = SELLER_K, starts: int = SELLER_STARTS) -> tuple[PipelineModel, DataFrame]:
-    """Scaler + k-means; of ``starts`` seeds keep the lowest training cost."""
+    """Scaler + k-means; of ``starts`` starts, moved together, the one of the least cost."""
     rows = FE.seller_features(b).withColumn("total_orders", F.col("total_orders").cast("double")).persist()
     vec = VectorAssembler(inputCols=SELLER_INPUTS, outputCol="raw_features")
     sc = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     prep = Pipeline(stages=[vec, sc]).fit(rows)
-    scaled = prep.transform(rows)
-    # Hashed by seller and sorted inside: seeding draws by partition and place, so
-    # neither may depend on how the rows came in or on the number of executors.
-    scaled = scaled.repartition(FIT_PARTITIONS, "seller_id").sortWithinPartitions("seller_id").persist()
-    # The starts are independent jobs: submitted together, the scheduler runs
-    # their tasks side by side. The choice stays deterministic: lowest
-    # training cost, then lowest seed.
-    def fit(s):
-        km = KMeans(k=k, seed=SEED + s, maxIter=SELLER_ITERATIONS, featuresCol="features",
-                    predictionCol="cluster").fit(scaled)
-        return km.summary.trainingCost, s, km
-
-    with ThreadPoolExecutor(max_workers=min(starts, 4)) as pool:
-        fits = list(pool.map(fit, range(starts)))
-    best = min(fits, key=lambda t: (t[0], t[1]))[2]
-    scaled.unpersist()
-    model = PipelineModel(stages=[prep.stages[0], prep.stages[1], best])
+    points = prep.transform(rows).select(F.col("seller_id").alias("id"), vector_to_array("features").alias("x"))
+    points = points.repartition(FIT_PARTITIONS, "id").sortWithinPartitions("id").persist()
+    centres, _, _ = KM.fit(points, k, starts, SELLER_ITERATIONS, SEED)
+    points.unpersist()
+    model = PipelineModel(stages=[prep.stages[0], prep.stages[1], KM.as_model(rows, centres, "features", "cluster")])
     return model, rows
 
 
@@ -158,6 +142,11 @@ def silhouette(model: PipelineModel, rows: DataFrame) -> float:
     return ev.evaluate(pred)
 
 
+def euclidean_silhouette(model: PipelineModel, rows: DataFrame, sample: int | None = None) -> DataFrame:
+    """The reference's silhouette: Euclidean distances, every seller against all (or a sample)."""
+    return KM.euclidean_silhouette(model.transform(rows), "features", "cluster", sample)
+
+
 def cluster_profile(model: PipelineModel, rows: DataFrame) -> DataFrame:
     pred = model.transform(rows)
     return pred.groupBy("cluster").agg(*[F.bround(F.avg(c), 2).alias(c) for c in SELLER_INPUTS],

@@ -130,15 +130,20 @@ def bundle_check(spark, d):
     return out
 
 
+_PARTS = """SELECT '{model}' AS model, cls AS label, count(*) AS units, CAST(floor(count(*) * 0.8 + 0.5) AS BIGINT) AS train, CAST(0 AS BIGINT) AS torn
+FROM (SELECT {key}, max({label}) AS cls FROM {table} GROUP BY 1) u GROUP BY 2"""
+
+
 @register("split_check", with_views(
-    f"SELECT 'risk' AS model, {_RISK_ROWS} AS rows, CAST(0 AS BIGINT) AS broken UNION ALL SELECT 'churn', {_TRAINED_CUSTOMERS}, 0"))
+    _PARTS.format(model="risk", key="order_id", label="is_risk", table="rf") + " UNION ALL "
+    + _PARTS.format(model="churn", key="customer_id", label="is_churn", table="cfl"), MP.SPLIT_CTES))
 def split_check(spark, d):
-    """M2: both parts together are all rows, and each label's training share is within 10 points of 80 %."""
+    """M2: of each class exactly round(0.8 n) units train, and no unit is on both sides."""
     b = from_testdata(spark, d)
     out = None
-    for name, rows, label in (("risk", ML.risk_training_rows(b), "is_risk"), ("churn", ML.churn_training_rows(b), "is_churn")):
-        by = rows.groupBy(label).agg(F.count("*").alias("n"), F.count_if(F.col("part") == "train").alias("train"))
-        off = (F.col("n") >= 1000) & (F.abs(F.col("train") / F.col("n") - ML.TRAIN_PCT / 100) > 0.1)
-        row = by.agg(F.sum("n").alias("rows"), F.count_if(off).alias("broken")).select(F.lit(name).alias("model"), "rows", "broken")
+    for name, rows, key, label in (("risk", ML.risk_training_rows(b), "order_id", "is_risk"), ("churn", ML.churn_training_rows(b), "customer_id", "is_churn")):
+        units = rows.groupBy(key).agg(F.max(label).alias("label"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+        row = units.groupBy("label").agg(F.count(F.lit(1)).alias("units"), F.count_if(F.col("hi") == "train").alias("train"),
+                                         F.count_if(F.col("lo") != F.col("hi")).alias("torn")).select(F.lit(name).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
     return out

@@ -19,7 +19,7 @@ from tradewind.operators import ml as ML
 from tradewind.operators import tree_attribution as TA
 from tradewind.operators import whatif as WI
 from tradewind.plans.catalog import register
-from tradewind.plans.feature_plans import SELLER_FEATURES_CTES
+from tradewind.plans.feature_plans import RISK_FEATURES_CTES, SELLER_FEATURES_CTES, churn_agg_sql, churn_features_ctes
 from tradewind.plans.oracle_views import with_views
 from tradewind.session import scratch_dir
 from tradewind.sources.business import from_testdata
@@ -59,7 +59,19 @@ def seller_model(spark, d):
 # ---------------------------------------------------------------- training / evaluation
 
 
-@register("split_counts")
+def _split_sql(model, table, key, label):
+    """Rows of each part: of each class, the units with the smallest hashes."""
+    return f"""SELECT '{model}' AS model, part, {label} AS label, count(*) AS n FROM (
+  SELECT r.{label}, CASE WHEN u.nth <= floor(u.units * 0.8 + 0.5) THEN 'train' ELSE 'test' END AS part
+  FROM {table} r JOIN (
+    SELECT unit, row_number() OVER (PARTITION BY cls ORDER BY md5(unit || ':{ML.SEED}')) AS nth, count(*) OVER (PARTITION BY cls) AS units
+    FROM (SELECT {key} AS unit, max({label}) AS cls FROM {table} GROUP BY 1) c) u ON u.unit = r.{key}) p GROUP BY 2, 3"""
+
+
+SPLIT_CTES = RISK_FEATURES_CTES + churn_features_ctes(churn_agg_sql())
+
+
+@register("split_counts", with_views(_split_sql("risk", "rf", "order_id", "is_risk") + " UNION ALL " + _split_sql("churn", "cfl", "customer_id", "is_churn"), SPLIT_CTES))
 def split_counts(spark, d):
     b = from_testdata(spark, d)
     return (ML.split_counts(ML.risk_training_rows(b), "is_risk", "risk")
@@ -106,7 +118,8 @@ def seller_clusters(spark, d):
 def seller_silhouette(spark, d):
     model, rows = seller_model(spark, d)
     s = ML.silhouette(model, rows)
-    return spark.createDataFrame([("squared_euclidean", float(s))], "distance string, silhouette double")
+    squared = spark.createDataFrame([("squared_euclidean", float(s))], "distance string, silhouette double")
+    return squared.unionByName(ML.euclidean_silhouette(model, rows).select(F.lit("euclidean").alias("distance"), "silhouette"))
 
 
 @register("cluster_profile")
