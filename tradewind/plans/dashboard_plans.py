@@ -72,11 +72,13 @@ def mom_delta(spark, d):
     return dash.mom_delta(monthly_kpis(spark, d))
 
 
+# Items are counted per product first; the categories' names are matched by product.
 _CATEGORY_SALES_SQL = """
-SELECT t.product_category_name_english AS category_raw, count(i.order_item_id) AS total_sold
-FROM b_items i JOIN b_products p ON i.product_id = p.product_id
-JOIN b_categories t ON trim(p.product_category_name) = trim(t.product_category_name)
-GROUP BY 1
+SELECT product_category_name_english AS category_raw, CAST(sum(sold) AS BIGINT) AS total_sold
+FROM (SELECT product_id, count(order_item_id) AS sold FROM b_items GROUP BY product_id) per_product
+JOIN (SELECT product_id, trim(product_category_name) AS named FROM b_products) USING (product_id)
+JOIN (SELECT trim(product_category_name) AS named, product_category_name_english FROM b_categories) USING (named)
+GROUP BY product_category_name_english
 """
 
 _TITLE_SQL = ("array_to_string(list_transform(string_split(replace(category_raw, '_', ' '), ' '), "
