@@ -58,7 +58,7 @@ MANY_LINKS = 4096
 #: Parts of the space of id pairs; and bytes of documents' pairs that one task looks up.
 BUCKETS, LOOKUP_BYTES = 32, 64_000_000
 #: Pairs after which a task gives out the counts it has summed.
-SUMMED = 2_000_000
+SUMMED = 500_000
 DOC, PAIRS, OPEN = 0, 1, 2
 _FIELDS = {"kind": pa.int32(), "batch": pa.int64(), "at": pa.int32(), "doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(),
            "n_groups": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string(), "part": pa.int32(), "n_parts": pa.int32(),
@@ -339,17 +339,18 @@ def _finished(batch: int, docs: list[tuple[int, int | None, Fragment | None]], s
             if edges[k] < edges[k + 1]:
                 first = np.flatnonzero(np.r_[True, key[part][1:] != key[part][:-1]])
                 n_docs = np.diff(np.r_[first, edges[k + 1] - edges[k]])
+                narrow = bool(time[part].max() < 1 << 16)
                 rows.append({"kind": PAIRS, "batch": batch, "bucket": k, "data": b"".join([
-                    struct.pack("<2Q", len(first), edges[k + 1] - edges[k]), key[part][first].astype("<u8").tobytes(), n_docs.astype("<u4").tobytes(),
-                    place[part].astype("<u4").tobytes(), time[part].astype("<u8").tobytes()])})
+                    struct.pack("<2Q?", len(first), edges[k + 1] - edges[k], narrow), key[part][first].astype("<u8").tobytes(), n_docs.astype("<u4").tobytes(),
+                    place[part].astype("<u4").tobytes(), time[part].astype("<u2" if narrow else "<u8").tobytes()])})
     yield _rows(rows, _FIELDS)
 
 
 def _pairs(data: bytes) -> tuple[np.ndarray, ...]:
     """Distinct keys and their numbers of documents; place and times of each document's pair, in order of the keys."""
-    n, m = struct.unpack_from("<2Q", data)
-    at, out = 16, []
-    for count, kind in ((n, "<u8"), (n, "<u4"), (m, "<u4"), (m, "<u8")):
+    n, m, narrow = struct.unpack_from("<2Q?", data)
+    at, out = struct.calcsize("<2Q?"), []
+    for count, kind in ((n, "<u8"), (n, "<u4"), (m, "<u4"), (m, "<u2" if narrow else "<u8")):
         out.append(np.frombuffer(data, kind, count, at))
         at += out[-1].nbytes
     return tuple(out)
@@ -371,6 +372,7 @@ def _composed(open_rows: DataFrame, size_b: int) -> DataFrame:
 def _counts(pairs: DataFrame) -> DataFrame:
     """bucket, key, n: in how many documents each id pair is linked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _PAIRS.clear()  # what this worker remembered of words is of no more use
         held: dict[int, list] = {}
         size = 0
 
@@ -405,6 +407,7 @@ def _looked_up(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     stream = left.unionByName(right).repartition(int(BUCKETS * salts), "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _PAIRS.clear()
         here, parts, table = None, [], None
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
