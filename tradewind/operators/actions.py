@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind.session import scratch_dir
@@ -25,16 +25,30 @@ def severity(action: F.Column) -> F.Column:
     return F.when(action.isin(*CRITICAL_ACTIONS), "critical").otherwise("warning")
 
 
+def json_text(c: F.Column) -> F.Column:
+    """A string as it stands between the quotes of what ``json.dumps`` writes: everything
+    beyond printable ASCII as \\uXXXX of its UTF-16 units, in lower-case digits."""
+    quoted = F.to_json(F.array(c))
+    inner = F.substring(quoted, F.lit(3), F.length(quoted) - 4)
+    units = lambda ch: F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+    def escaped(ch):
+        u = units(ch)
+        return F.when(F.length(u) == 8, F.concat(F.lit("\\u"), F.substring(u, 1, 4), F.lit("\\u"), F.substring(u, 5, 4))).otherwise(F.concat(F.lit("\\u"), u))
+    ascii_only = F.array_join(F.transform(F.split(inner, ""), lambda ch: F.when(ch.rlike(r"^[\x00-\x7E]$"), ch).otherwise(escaped(ch))), "")
+    wide = F.when(inner.rlike(r"[^\x00-\x7E]"), ascii_only).otherwise(inner)
+    # Control characters without a short form: the JSON writer's digits are upper-case.
+    return F.when(wide.contains("\\u00"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        wide, r"(?<!\\)((?:\\\\)*\\u00[01])A", "$1a"), r"(?<!\\)((?:\\\\)*\\u00[01])B", "$1b"), r"(?<!\\)((?:\\\\)*\\u00[01])C", "$1c"),
+        r"(?<!\\)((?:\\\\)*\\u00[01])D", "$1d"), r"(?<!\\)((?:\\\\)*\\u00[01])E", "$1e"), r"(?<!\\)((?:\\\\)*\\u00[01])F", "$1f")).otherwise(wide)
+
+
 def action_events(decisions: DataFrame) -> DataFrame:
     """decisions(order_id, seller_id, action, risk_score_tenths, decided_at) ->
     payload rows. The payload text is what ``json.dumps`` writes for the
     reference's dict (key order, separators, \\u escapes, float text)."""
     sev = severity(F.col("action"))
 
-    def text(c):  # as it stands between the quotes of a JSON text
-        quoted = F.to_json(F.array(c))
-        return F.substring(quoted, F.lit(3), F.length(quoted) - 4)
-
+    text = json_text
     order, seller = text(F.col("order_id")), text(F.col("seller_id"))
     score_txt = F.concat(F.floor(F.col("risk_score_tenths") / 10).cast("string"), F.lit("."),
                          (F.col("risk_score_tenths") % 10).cast("string"))
@@ -58,6 +72,23 @@ def audit_records(hits: DataFrame, entity_type: str, key: str, status: str,
                        F.col("rule").alias("action"), ts.alias("timestamp"), F.lit(status).alias("status"))
 
 
+AUDIT_SCHEMA = "entity_type string, entity_id string, action string, timestamp string, status string"
+
+
+def append_audit(records: DataFrame, path: str, run: str) -> None:
+    """Append audit ``records`` to the table at ``path``, a partition for each day and run. A
+    run of one name replaces its own partitions, so a repeated run adds nothing."""
+    day = F.coalesce(F.substring("timestamp", 1, 10), F.lit("unknown"))
+    (records.withColumn("day", day).withColumn("run", F.lit(run)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(path))
+
+
+def read_audit(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """The audit rows, of one ``day`` only if asked for (its partition alone is read)."""
+    rows = spark.read.schema(AUDIT_SCHEMA + ", day string, run string").parquet(path)
+    return (rows if day is None else rows.where(F.col("day") == day)).drop("day", "run")
+
+
 def cooldown(requests: DataFrame, entity: str = "entity_id", action: str = "action",
              ts: str = "ts", hours: int = COOLDOWN_HOURS) -> DataFrame:
     """Greedy cooldown: a request passes if it is at least ``hours`` after the

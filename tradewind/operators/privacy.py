@@ -7,6 +7,8 @@ the advisor). Text generation itself is an external service and not built.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,6 @@ from tradewind.functions.money import money_sum
 from tradewind.functions.text import mask_email, mask_name
 from tradewind.sources.business import Biz
 
-ANON_SALT = "tradewind-anon-v1"
 VOUCHER_CODE = "COMEBACK20"  # the reference's default voucher
 
 # Message template per churn rule (our wording); {name} is the masked name.
@@ -38,9 +39,18 @@ def masked_names(customers: DataFrame) -> DataFrame:
     return customers.select("customer_id", mask_name(F.col("customer_name")).alias("masked_name"))
 
 
-def anonymized_customers(customers: DataFrame, salt: str = ANON_SALT) -> DataFrame:
-    """Salted SHA-256 pseudonym plus masked name; raw id and name dropped."""
-    return customers.select(F.sha2(F.concat(F.lit(salt), F.col("customer_id")), 256).alias("anon_id"),
+def hmac_sha256(key: bytes, message: F.Column) -> F.Column:
+    """HMAC-SHA-256 in hex, by two hashes: without the key nobody can try ids."""
+    block = (key if len(key) <= 64 else hashlib.sha256(key).digest()).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytearray(b ^ x for b in block))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def anonymized_customers(customers: DataFrame, key: bytes) -> DataFrame:
+    """Keyed pseudonym (HMAC) plus masked name; raw id and name dropped. The ``key`` is the
+    caller's secret."""
+    return customers.select(hmac_sha256(key, F.col("customer_id")).alias("anon_id"),
                             mask_name(F.col("customer_name")).alias("masked_name"))
 
 

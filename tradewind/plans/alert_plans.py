@@ -219,6 +219,15 @@ def focus_list_sellers(spark, d):
 # ---------------------------------------------------------------- prefix lookups
 
 
+def known_payment_types(b: Biz) -> DataFrame:
+    """The classes that the encoder is trained on: payment types of delivered orders with an
+    item of a known product. Two semi joins on the bucketed order id, no fan-out rows."""
+    sold = b.items.join(b.products.select("product_id"), "product_id", "left_semi").select("order_id")
+    delivered = b.orders_nodates.where(F.col("order_status") == FE.DELIVERED).select("order_id")
+    paid = b.payments.where(F.col("payment_type").isNotNull()).select("order_id", "payment_type")
+    return paid.join(delivered, "order_id", "left_semi").join(sold, "order_id", "left_semi").select("payment_type").distinct()
+
+
 def prefix_lookup_order(b: Biz, ids: DataFrame) -> DataFrame:
     """Form values for each focus order id: first matching row in a stated
     order; null values and missing rows take the form's defaults."""
@@ -233,9 +242,9 @@ def prefix_lookup_order(b: Biz, ids: DataFrame) -> DataFrame:
     w = Window.partitionBy("focus_id").orderBy("order_id", "order_item_id", "product_id", "seller_id",
                                               "payment_sequential")
     first = rows.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    classes = FE.risk_base(b).select("payment_type").where(F.col("payment_type").isNotNull()).distinct()
+    classes = known_payment_types(b)
     first_class = classes.select(F.min("payment_type")).scalar()
-    first = first.join(F.broadcast(classes.withColumn("known", F.lit(True))), "payment_type", "left")
+    first = first.join(classes.withColumn("known", F.lit(True)), "payment_type", "left")
     j = ids.join(first.drop("position"), "focus_id", "left")
     matched = F.col("rn").isNotNull()
     kg = F.coalesce(F.col("product_weight_g") / F.lit(1000.0), F.lit(1.5))
@@ -359,11 +368,15 @@ def prefix_lookup_seller_q(spark, d):
 # ---------------------------------------------------------------- actions and audit
 
 
-def decisions(b: Biz) -> DataFrame:
+def decisions(b: Biz, scores: DataFrame | None = None) -> DataFrame:
     """Open orders scored 70+ get an action by score band (our policy):
-    90+ lock the seller, 80+ change hub, else open a ticket."""
-    s = RP.order_score(b)
-    x = ((F.col("o_orderkey") * 37) % 1000)
+    90+ lock the seller, 80+ change hub, else open a ticket. ``scores``: (order_id,
+    risk_score) of a fitted model, or the stand-in."""
+    if scores is None:
+        s = RP.order_score(b).withColumn("tenths", (F.col("o_orderkey") * 37) % 1000)
+    else:
+        s = scores.select("order_id", F.floor(F.col("risk_score") * 10).alias("tenths"))
+    x = F.col("tenths")
     o = (b.orders_nodates.where(F.col("order_status").isin(*RP.OPEN_STATUSES))
          .select("order_id", "order_purchase_timestamp").join(s, "order_id")
          .where(x >= 700))
@@ -448,10 +461,13 @@ SELECT 'seller', seller_id, rule, strftime({RP.ASOF_SQL} + INTERVAL 7 HOUR, '%Y-
 FROM ({_SELLER_RULES_BODY}) s
 """, RP.CHURN_RULE_CTES + RP.SELLER_RULE_CTES))
 def audit_trail(spark, d):
+    """The records are appended to the audit table, a partition a day, and read back."""
     from tradewind.operators.inputs import as_of
     b = from_testdata(spark, d)
     at = as_of(b)
     c = AC.audit_records(RU.churn_rules(RP.churn_rule_table(b)), "customer", "customer_id",
                          "AWAITING_APPROVAL", at)
     s = AC.audit_records(RU.seller_rules(RP.seller_rule_table(b)), "seller", "seller_id", "PENDING", at)
-    return c.unionByName(s)
+    path = scratch_dir(spark, f"audit/{uuid.uuid4().hex}")
+    AC.append_audit(c.unionByName(s), path, "run-1")
+    return AC.read_audit(spark, path)

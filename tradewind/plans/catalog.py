@@ -38,4 +38,5 @@ def load_all() -> None:
         ml_plans,
         stream_plans,
         check_plans,
+        fitted_plans,
     )

@@ -151,10 +151,12 @@ def bulky_flag(spark, d):
     return RU.bulky_flags(from_testdata(spark, d).products)
 
 
-def churn_rule_table(b: Biz) -> DataFrame:
-    """Serving aggregate (no delivered filter) + derived inputs + score."""
+def churn_rule_table(b: Biz, scores: DataFrame | None = None) -> DataFrame:
+    """Serving aggregate (no delivered filter) + derived inputs + score: ``scores``
+    (customer_id, churn_prob) of a fitted model, or the stand-in."""
     agg = FE._churn_aggregate(b, delivered_only=False)
-    return (agg.join(customer_score(b), "customer_id")
+    scores = customer_score(b) if scores is None else scores.select("customer_id", "churn_prob")
+    return (agg.join(scores, "customer_id")
                .join(IN.customer_inputs(b), "customer_id", "left")
                .select("customer_id", "churn_prob", "frequency",
                        F.coalesce("monetary", F.lit(500.0)).alias("monetary"),
@@ -190,15 +192,18 @@ def churn_rules(spark, d):
     return RU.churn_rules(churn_rule_table(from_testdata(spark, d)))
 
 
-def seller_rule_table(b: Biz) -> DataFrame:
-    """Seller measures for the rules. The (seller, order) facts feed four
-    aggregates, so they are written once to the shared checkpoint folder."""
+def seller_rule_table(b: Biz, clusters: DataFrame | None = None) -> DataFrame:
+    """Seller measures for the rules, with the ``clusters`` (seller_id, cluster) of a fitted
+    model or the stand-in. The (seller, order) facts feed four aggregates, so they are
+    written once to the shared checkpoint folder. A seller whom no cluster is known of
+    (too few orders to be clustered) is judged by the other measures."""
     facts = FE.materialize(FE.seller_order_facts(b))
     agg = FE.seller_aggregate(b, for_serving=True, facts=facts).select("seller_id", "cancellation_rate",
                                                                       "avg_rating")
     drops = IN.rating_drop_weeks(b, facts).select("seller_id", "rating_drop_weeks")
     inc = IN.price_increase(b, facts).select("seller_id", "price_increase_pct")
-    t = (IN.seller_inputs(b, facts).join(seller_cluster(b), "seller_id")
+    clusters = seller_cluster(b) if clusters is None else clusters
+    t = (IN.seller_inputs(b, facts).join(clusters, "seller_id", "left")
          .join(agg, "seller_id", "left").join(drops, "seller_id", "left")
          .join(inc, "seller_id", "left"))
     return t.withColumn("rating_drop_weeks",

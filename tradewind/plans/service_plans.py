@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tradewind.functions.dates import month_label_text
 from tradewind.operators import privacy as PV
 from tradewind.operators import rules as RU
 from tradewind.operators import vector_index as VI
@@ -34,11 +35,16 @@ def mask_name(spark, d):
     return PV.masked_names(from_testdata(spark, d).customers)
 
 
+#: The key of the test data's pseudonyms, so that both engines make the same ones; real runs pass their own.
+TEST_KEY = b"tradewind test key"
+_PADS = {x: "".join(f"{b ^ x:02X}" for b in TEST_KEY.ljust(64, b"\0")) for x in (0x36, 0x5C)}
+
+
 @register("anonymize_customers", with_views(
-    f"SELECT sha256('{PV.ANON_SALT}' || customer_id) AS anon_id, "
+    f"SELECT sha256(unhex('{_PADS[0x5C]}') || unhex(sha256(unhex('{_PADS[0x36]}') || encode(customer_id)))) AS anon_id, "
     r"regexp_replace(customer_name, '(\S)\S*', '\1***', 'g') AS masked_name FROM b_customers"))
 def anonymize_customers(spark, d):
-    return PV.anonymized_customers(from_testdata(spark, d).customers)
+    return PV.anonymized_customers(from_testdata(spark, d).customers, TEST_KEY)
 
 
 def _outreach_case():
@@ -201,6 +207,21 @@ def coerce_timestamps(spark, d):
     return tables["orders"].select(*_ORDER_COLS.split(", "))
 
 
+@register("coerce_review_dates", with_views("SELECT order_id, review_score, review_creation_date, review_answer_timestamp FROM b_reviews"))
+def coerce_review_dates(spark, d):
+    """S3: the two review columns, of the file with free text."""
+    tables, _ = IG.ingest(spark, _extract_dir(spark, d, ["order_reviews"]), dedup=False)
+    return tables["order_reviews"].select("order_id", "review_score", "review_creation_date", "review_answer_timestamp")
+
+
+@register("month_text", with_views(
+    "SELECT substring(strftime(order_purchase_timestamp, '%Y-%m-%d %H:%M:%S'), 1, 7) AS month, count(*) AS orders FROM b_orders_base GROUP BY 1"))
+def month_text(spark, d):
+    """the month as the first seven characters of the time's text."""
+    o = from_testdata(spark, d).orders_nodates
+    return o.groupBy(month_label_text("order_purchase_timestamp").alias("month")).agg(F.count(F.lit(1)).alias("orders"))
+
+
 @register("dedup_rows", with_views(f"SELECT DISTINCT {_ORDER_COLS} FROM b_orders"))
 def dedup_rows(spark, d):
     """The same extract loaded twice collapses to one copy of each row."""
