@@ -72,3 +72,27 @@ def test_equals_a_rescan(spark, tmp_path):
 def test_no_changes_yet(spark, tmp_path):
     assert CM.read_totals(spark, str(tmp_path / "none")).count() == 0
     assert MO.read_snapshot(spark, str(tmp_path / "none")).first() == (0, 0, "")
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    w = Watch(spark, tmp_path)
+    w.take([("order", f"o{k}", 1, False, 90) for k in range(20)])
+    state = f"{tmp_path}/snap/state/buckets=2"
+    assert CM.bucket_versions(spark, state, 1) == {0: 0, 1: 0}
+    w.take([("order", "o3", 2, True, None)])
+    after = CM.bucket_versions(spark, state, 2)
+    assert sorted(after.values()) == [0, 1]  # the other bucket is that of the first batch
+    w.take([("order", "o3", 1, False, 99), ("order", "o3", 3, False, 10)])
+    assert w.totals() == w.rescan() == {"order": (19, 20, 22)}
+
+
+def test_a_lost_snapshot_is_counted_again_from_the_former_buckets(spark, tmp_path):
+    import shutil
+    w = Watch(spark, tmp_path)
+    w.take([("order", f"o{k}", 1, False, 90) for k in range(9)])
+    w.take([("order", "o3", 2, True, None), ("order", "o4", 2, False, 1)])
+    shutil.rmtree(f"{tmp_path}/snap/gen={1:012d}")
+    for f in ("1", ".1.crc"):
+        os.unlink(f"{tmp_path}/ckpt/commits/{f}")
+    w.run()
+    assert w.totals() == w.rescan() == {"order": (7, 8, 10)}

@@ -69,13 +69,15 @@ def alert_stream(spark, d):
 
 
 ORDER, CUSTOMER = "order", "customer"
-#: Changes for each partition of the monitor's state (fixed when its checkpoint begins).
+#: Changes for each bucket of the monitor's state (fixed when its first one is written).
 CHANGES_PER_STATE_PARTITION = 1_000_000
 
 
 def _watch(spark, log, flag, order_col="event_time"):
     """Land the change log slice by slice, let the monitor take each, return its snapshots' folder."""
     base = scratch_dir(spark, f"streams/{uuid.uuid4().hex}")
+    log.write.parquet(f"{base}/log")  # read once for each slice
+    log = spark.read.parquet(f"{base}/log")
     own = spark.newSession()  # the stream's settings are its own
     parts = max(spark.sparkContext.defaultParallelism, -(-log.count() // CHANGES_PER_STATE_PARTITION))
     schema = log.schema
