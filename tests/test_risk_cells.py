@@ -43,3 +43,17 @@ def test_bins_of_missing_values_and_of_limits(spark):
     got = {r["id"]: (r["order_value"], r["product_weight_g"]) for r in ML.tree_inputs(model, df, "id").collect()}
     assert got[2] == got[3]  # a missing value is above every threshold, as in the trees
     assert got[1][0] < got[3][0] <= ML.RISK_BINS - 1
+
+
+def test_scores_by_cell_are_those_of_every_row(spark):
+    model, rows = ML.fit_risk(_biz(spark, 300), trees=3)
+    rows = rows.select("order_id", "payment_type", "order_value", "product_weight_g", "day_of_week")
+    rows = rows.unionByName(rows).unionByName(spark.createDataFrame([("x", "voucher", None, None, None), ("y", "new", float("nan"), 1e9, 3)], rows.schema))
+    got = ML.score_by_cell(model, rows)
+    assert got.columns == [*rows.columns, "p1"]
+    want = model.transform(rows).select(*rows.columns, ML.prob1().alias("p1"))
+    assert got.count() == want.count() == rows.count()
+    assert got.exceptAll(want).count() == 0
+    # The trees see distinct cells only: the exploded options of a whole order book are many rows a cell.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" in plan[plan.index("Join"):]

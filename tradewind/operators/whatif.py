@@ -3,8 +3,9 @@
 The reference loops over (weight, weekday) options for one order and calls
 the model once per option. Here every open order's option grid is exploded
 into rows (bounded per order: 7 weekdays x ceil(weight / 0.5) parcel sizes),
-scored in one ``transform`` and reduced per order with ``min(struct)``. The
-grid never leaves its order's partition until the per-order reduction.
+scored by the cell it falls into (the trees see bins, and a cell goes through
+them once) and reduced per order with ``min(struct)``. The grid never leaves
+its order's partition until the per-order reduction.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def best_scenarios(model: PipelineModel, feats: DataFrame) -> DataFrame:
     strictly below it; ties go to the first option in grid order.
 
     The baseline is one more row of the order's option set, so a single
-    ``transform`` scores everything and one per-order aggregate picks both
+    scoring covers everything and one per-order aggregate picks both
     the baseline and the best option (no join back to the inputs).
     """
     base = _base_inputs(model, feats)
@@ -57,10 +58,10 @@ def best_scenarios(model: PipelineModel, feats: DataFrame) -> DataFrame:
         F.flatten(F.transform(grid, lambda g: F.transform(days, lambda dd: opt(False, g["i"], g["kg"], dd)))))
     rows = base.select("order_id", "payment_type", "order_value", "weight_kg",
                        F.col("day_of_week").alias("base_day"), F.explode(options).alias("o"))
-    scored = model.transform(rows.select("order_id", "payment_type", "order_value", "weight_kg", "base_day", "o",
+    scored = ML.score_by_cell(model, rows.select("order_id", "payment_type", "order_value", "weight_kg", "base_day", "o",
                                          (F.col("o.kg") * 1000.0).alias("product_weight_g"),
                                          F.col("o.day").alias("day_of_week")))
-    risk = ML.prob1() * 100.0
+    risk = F.col("p1") * 100.0
     agg = scored.groupBy("order_id").agg(
         F.max(F.when(F.col("o.is_base"), risk)).alias("base_risk"),
         F.min(F.when(~F.col("o.is_base"), F.struct(risk.alias("risk"), F.col("o.widx").alias("widx"),
@@ -99,12 +100,12 @@ def scenario_rows(model: PipelineModel, feats: DataFrame) -> DataFrame:
 
 def scenario_deltas(model: PipelineModel, feats: DataFrame) -> DataFrame:
     """New risk minus baseline for each order and scenario. The baseline is
-    one more literal scenario row (factor 1, own day), so one ``transform``
-    scores all rows; a per-order window over the order's 1 + len(SCENARIOS)
+    one more literal scenario row (factor 1, own day), so one scoring
+    covers all rows; a per-order window over the order's 1 + len(SCENARIOS)
     rows supplies the baseline to each scenario row (no join)."""
     from pyspark.sql import Window
-    sim = model.transform(scenario_rows(model, feats))
-    risk = sim.select("order_id", "scenario", (ML.prob1() * 100.0).alias("sim_risk"))
+    sim = ML.score_by_cell(model, scenario_rows(model, feats))
+    risk = sim.select("order_id", "scenario", (F.col("p1") * 100.0).alias("sim_risk"))
     w = Window.partitionBy("order_id")
     with_base = risk.withColumn("base_risk", F.max(F.when(F.col("scenario") == BASELINE,
                                                           F.col("sim_risk"))).over(w))
