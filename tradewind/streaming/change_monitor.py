@@ -109,7 +109,10 @@ def start_change_monitor(changes: DataFrame, flag: Callable[[DataFrame], DataFra
         buckets = (_names(session, f"{snapshot_dir}/state", "buckets=") or [state_partitions or DEFAULT_BUCKETS])[0]
         state_dir, now_ms = f"{snapshot_dir}/state/buckets={buckets}", int(time.time() * 1000)
         versions = bucket_versions(session, state_dir, epoch_id)
-        last = _last_changes(batch, buckets).persist()
+        # Written, not persisted: tasks of a persisted plan carry what it was made from, here the models of ``flag``.
+        landed, last = f"{snapshot_dir}/state/landed", _last_changes(batch, buckets)
+        last.write.mode("overwrite").parquet(landed)
+        last = session.read.schema(last.schema).parquet(landed)
         touched = sorted(r["bucket"] for r in last.select("bucket").distinct().collect())
         paths = [f"{generation_path(state_dir, versions[k])}/bucket={k}" for k in touched if k in versions]
         before = session.read.schema(STATE).parquet(*paths) if paths else None
@@ -117,7 +120,6 @@ def start_change_monitor(changes: DataFrame, flag: Callable[[DataFrame], DataFra
             before = before.where((F.col("code") != CLOSED) | (F.col("closed_ms") >= now_ms - CLOSED_FOR))
         own = generation_path(state_dir, epoch_id)
         _moved(last, before, buckets, now_ms).write.mode("overwrite").partitionBy("bucket").parquet(own)
-        last.unpersist()
         moved = session.read.schema(STATE).parquet(own).groupBy("kind").agg(
             F.sum("delta").alias("flagged"), F.sum("open_delta").alias("open"), F.sum("scored").alias("scored"), F.max("us").alias("us"))
         counted = [g for g in done if g < epoch_id]
