@@ -19,7 +19,7 @@ from tradewind.plans import ml_plans as MP
 from tradewind.plans.alert_plans import ALERT_CTES, ENTITY_SQL, PARSED_COLS
 from tradewind.plans.catalog import register
 from tradewind.plans.oracle_views import with_views
-from tradewind.session import scratch_dir
+from tradewind.session import DROP_SHUFFLES, scratch_dir, written
 from tradewind.sources.alert_source import raw_alerts
 from tradewind.sources.business import from_testdata
 from tradewind.streaming import alert_stream as AS
@@ -76,9 +76,9 @@ CHANGES_PER_STATE_PARTITION = 1_000_000
 def _watch(spark, log, flag, order_col="event_time"):
     """Land the change log slice by slice, let the monitor take each, return its snapshots' folder."""
     base = scratch_dir(spark, f"streams/{uuid.uuid4().hex}")
-    log.write.parquet(f"{base}/log")  # read once for each slice
-    log = spark.read.parquet(f"{base}/log")
+    log = written(log)  # read once for each slice
     own = spark.newSession()  # the stream's settings are its own
+    own.conf.set(DROP_SHUFFLES, "true")
     parts = max(spark.sparkContext.defaultParallelism, -(-log.count() // CHANGES_PER_STATE_PARTITION))
     schema = log.schema
     _arrive(log, order_col, f"{base}/in", lambda: CM.start_change_monitor(
