@@ -8,6 +8,7 @@ import time
 import pytest
 
 from tests.conftest import SMOKE, make_biz
+from tradewind.operators import features as FE
 from tradewind.operators import ml as ML
 from tradewind.session import DROP_SHUFFLES, shuffles_dropped
 from tradewind.sources import adapter as A
@@ -91,3 +92,10 @@ def test_first_row_of_each_open_order(spark):
     assert got.count() == len(want) and skipped > 5
     # The first row is chosen below the product join: what is dealt by product is one row an order.
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weights_before_the_fan_out_give_the_same_rows(spark):
+    b = _biz(spark)
+    last, first = FE.risk_features(b), FE.risk_features(b, lambda rows: rows)
+    assert first.columns == last.columns and last.count() == first.count() > 50
+    assert first.exceptAll(last).count() == last.exceptAll(first).count() == 0
